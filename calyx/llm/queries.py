@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calyx.llm import bpe, canon, components, formatting, mixing, residue, survivors
+from calyx.llm import bpe, canon, components, formatting, mixing, nearsets, residue, survivors
 from calyx.runtime import table
 
 #: Two slides are linked from this similarity on.
@@ -94,6 +94,20 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.collapse_formatting(table(spark, sf_dir, "pdf_file"), "file_id", "name", "page1_text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = nearsets.similar_pairs(table(spark, sf_dir, "slide_info"), "global_id", "text_content")
+    return pairs.select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per slide its group of near-duplicates, and its highest similarity anew."""
+    found = nearsets.similarity_groups(table(spark, sf_dir, "slide_info"), "global_id", "text_content")
+    return found.select(
+        F.col("id").cast("int").alias("global_id"), F.col("cluster_id").cast("int").alias("cluster_id"), "n_links",
+        F.round("max_similarity", 9).alias("max_similarity"),
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -172,7 +186,7 @@ SQL["p2_found"] = f"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_clusters, p2_found, p2_survivors, p2_sources, p3_found, p3_unmatched, p4_found, p4_records,
-        p6_ids, p6_roundtrip, p7_mix, p7_report, p8_found, p8_clean,
+        p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mix, p7_report, p8_found, p8_clean,
     )}
 
 
