@@ -50,7 +50,7 @@ THRESHOLD = 0.7
 #: Counters of the cost sketch: 2^21 of one size at any scale, sent as 32 blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 32
 #: Signatures one task gathers, about.
-GROUP_SIGNATURES = 6_000_000
+GROUP_SIGNATURES = 10_000_000
 #: Pairs compared at once within a task.
 BLOCK_PAIRS = 1_000_000
 #: The smallest size band, and the runs a segment has at the band's upper edge.
@@ -65,7 +65,7 @@ def normalised(text: Column) -> Column:
 
 def _segments(hi: int) -> int:
     """Segments of a band: smaller sets hold rarer runs, so theirs are smaller."""
-    return max(4, int(hi / (2.0 if hi <= 256 else 4.0)))
+    return max(4, int(hi / (1.0 if hi <= 256 else 3.0)))
 
 
 def _words(hi: int) -> int:
@@ -228,6 +228,12 @@ def _emit_signatures(threshold: float, table, groups: dict[int, tuple[int, int]]
     return emit
 
 
+def _three_bytes(signature: np.ndarray) -> np.ndarray:
+    """The low 24 bits: a group has fewer signatures than that has values, and chance
+    partners are dropped with all others that are not similar."""
+    return signature.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
+
+
 def _blobs(ids, sizes, hi, band, keep_full, keep_less, group) -> Iterator[pd.DataFrame]:
     begin, number = group
     width = _words(hi)
@@ -243,7 +249,7 @@ def _blobs(ids, sizes, hi, band, keep_full, keep_less, group) -> Iterator[pd.Dat
         o = np.argsort((b << 20) | d, kind="stable")
         order.append(o)
         docs.append(d[o])
-        sigs.append((s & _U(0xFFFFFFFF)).astype(np.uint32)[o])
+        sigs.append(_three_bytes(s[o]))
         buckets.append(b[o])
     edges = [np.searchsorted(b, np.arange(number + 1)) for b in buckets]
     for g in range(number):
@@ -279,7 +285,9 @@ def _read_blobs(blobs: list[bytes]):
         of_full, of_less = take(np.uint32, n), take(np.uint32, n)
         sketches.append(take(np.uint64, n * width).reshape(n, width))
         for (sig, doc), counts, total in ((full, of_full, nf), (less, of_less, nl)):
-            sig.append(take(np.uint32, total))
+            wide = np.zeros((total, 4), dtype=np.uint8)
+            wide[:, :3] = take(np.uint8, 3 * total).reshape(total, 3)
+            sig.append(wide.view(np.uint32).reshape(-1))
             doc.append(np.repeat(np.arange(base, base + n), counts))
         base += n
     sizes_all = np.concatenate(sizes)
