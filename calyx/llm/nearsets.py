@@ -69,8 +69,8 @@ def _segments(hi: int) -> int:
 
 
 def _words(hi: int) -> int:
-    """64-bit words of a band's odd sketch: about one bit per run."""
-    return max(2, hi // 64)
+    """64-bit words of a band's odd sketch: two bits per run, so that it does not fill up."""
+    return max(2, hi // 32)
 
 
 def _bands_of(size: int, threshold: float) -> list[int]:
@@ -363,11 +363,11 @@ def _verify(threshold: float, run: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             similar = np.zeros(len(pdf))
-            cache: dict[str, frozenset] = {}
+            cache: dict[str, frozenset] = {}  # kept small: the pairs of a text come together
 
             def runs(text: str) -> frozenset:
                 if text not in cache:
-                    if len(cache) > 20_000:
+                    if len(cache) > 500:
                         cache.clear()
                     cache[text] = frozenset(text[i : i + run] for i in range(len(text) - run + 1))
                 return cache[text]
