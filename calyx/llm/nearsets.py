@@ -50,9 +50,11 @@ THRESHOLD = 0.7
 #: Counters of the cost sketch: 2^21 of one size at any scale, sent as 32 blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 32
 #: Signatures one task gathers, about.
-GROUP_SIGNATURES = 10_000_000
+GROUP_SIGNATURES = 5_000_000
 #: Pairs compared at once within a task.
-BLOCK_PAIRS = 1_000_000
+BLOCK_PAIRS = 200_000
+#: Characters of texts a worker handles at once; a longer text is handled by itself.
+BATCH_CHARS = 1_500_000
 #: The smallest size band, and the runs a segment has at the band's upper edge.
 FIRST_BAND = 32
 _U = np.uint64
@@ -145,7 +147,7 @@ def _batches(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray,
     step, start, total = [], 0, 0
     for i, n in enumerate(pdf["text"].str.len()):
         total += n
-        if total > 8_000_000 or i - start >= 20_000:
+        if total > BATCH_CHARS or i - start >= 20_000:
             step.append((start, i + 1))
             start, total = i + 1, 0
     step.append((start, len(pdf)))
