@@ -50,7 +50,7 @@ THRESHOLD = 0.7
 #: Counters of the cost sketch: 2^21 of one size at any scale, sent as 32 blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 32
 #: Signatures one task gathers, about.
-GROUP_SIGNATURES = 5_000_000
+GROUP_SIGNATURES = 12_000_000
 #: Pairs compared at once within a task.
 BLOCK_PAIRS = 200_000
 #: Characters of texts a worker handles at once; a longer text is handled by itself.
