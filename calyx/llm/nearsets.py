@@ -335,6 +335,8 @@ def _match_groups(threshold: float):
             _, blobs = groups.popitem()
             ids, sizes, sketch, full, less = _read_blobs(blobs)
             mask = _U((1 << 26) - 1)
+            half = sketch.shape[1] // 2  # half a sketch is enough to drop most pairs
+            front, back = np.ascontiguousarray(sketch[:, :half]), np.ascontiguousarray(sketch[:, half:])
             least = np.searchsorted(sizes, np.ceil(sizes * threshold - 1e-9)).astype(np.uint64)
             most = np.searchsorted(sizes, np.floor(sizes / threshold + 1e-9), side="right").astype(np.uint64)
             place = (full & mask).astype(np.int64)
@@ -348,11 +350,14 @@ def _match_groups(threshold: float):
             for left, lo, hi in jobs:
                 for a, j in _ranges(left, lo, hi):
                     b = place[j]
-                    apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
-                    near = (apart <= ratio * (sizes[a] + sizes[b]) + 1e-9) & (a != b)
+                    most_apart = ratio * (sizes[a] + sizes[b]) + 1e-9
+                    apart = np.bitwise_count(front[a] ^ front[b]).sum(axis=1, dtype=np.int64)
+                    near = np.flatnonzero((apart <= most_apart) & (a != b))
+                    x, y = a[near], b[near]
+                    apart = apart[near] + np.bitwise_count(back[x] ^ back[y]).sum(axis=1, dtype=np.int64)
+                    near = apart <= most_apart[near]
                     if near.any():
-                        x, y = a[near], b[near]
-                        found.append(np.unique((np.minimum(x, y) << 26) | np.maximum(x, y)))
+                        found.append(np.unique((np.minimum(x, y)[near] << 26) | np.maximum(x, y)[near]))
             if found:
                 pairs = np.unique(np.concatenate(found))
                 x, y = ids[pairs >> 26], ids[pairs & ((1 << 26) - 1)]
