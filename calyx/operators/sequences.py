@@ -36,7 +36,8 @@ def graded_rows(rows: DataFrame, doc: str, order: str, cells: str) -> DataFrame:
     marked = base.withColumn("_starts", starts).withColumn("_term", F.last(F.when(starts, F.col("_first")), True).over(upto))
     marked = marked.withColumn("_above", F.last(label, True).over(before)).withColumn("_block", F.sum(F.when(starts, 1).otherwise(0)).over(upto))
     opens = (F.col("_first") == "1级") & F.col("_term").isNotNull() & ~F.col("_above").eqNullSafe(F.lit("class"))
-    marked = marked.withColumn("_open", F.max(F.when(opens, F.col(order))).over(upto))
+    in_block = W.partitionBy(doc, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = marked.withColumn("_open", F.max(F.when(opens, F.col(order))).over(in_block))
     second = F.min(F.when((F.col("_first") == "2级") & F.col("_open").isNotNull(), F.col(order))).over(W.partitionBy(doc, "_block", "_open"))
     marked = marked.withColumn("_second", second)
     third_from = F.coalesce("_second", "_open")

@@ -43,8 +43,8 @@ def without_repeats(events: DataFrame, time: str, keys: list[str], late: str = "
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
 
 
-def running_totals(events: DataFrame, key: str, value: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """``key, n, total`` after every micro-batch; the state of an idle key is dropped."""
+def running_totals(events: DataFrame, key: str, value: str, idle_ms: int | None = None) -> DataFrame:
+    """``key, n, total`` after every micro-batch; with ``idle_ms`` the state of an idle key is dropped."""
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -54,12 +54,14 @@ def running_totals(events: DataFrame, key: str, value: str, idle_ms: int = 3_600
         for batch in batches:
             n, total = n + len(batch), total + float(batch[value].fillna(0).sum())
         state.update((n, total))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: [group[0]], "n": [n], "total": [total]})
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.ProcessingTimeTimeout
+        update, f"{key} {kind}, n long, total double", "n long, total double", "update",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
