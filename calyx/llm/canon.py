@@ -35,9 +35,8 @@ MAX_WORDS = 6
 
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
 _WORDS = re.compile(r"[^\W_]+")
-_CLOSING = re.compile(r"\s*[\[(（【〔{][^\[\](){}（）【】〔〕]*[\])）】〕}]\W*$")
-_BREAK = re.compile(r"\s+[-–—/|#]+\s+|[,;，；]\s*|\s[-–—/|#]+(?=\w)")
-_LAST_WORD = re.compile(r"[\s_]+\S*$")
+_OPENERS, _CLOSERS = "[(（【〔{", "])）】〕}"
+_BREAK = re.compile(r"(?<=\s)[-–—/|#]+\s|[,;，；]|(?<=\s)[-–—/|#]+(?=\w)")
 _NUMBERED = re.compile(r"\d")
 
 
@@ -112,7 +111,7 @@ class ReferenceTrie:
 
     def __init__(self, substitute: bool):
         self.root = Node()
-        self.most = 0
+        self.most = self.longest = 0
         self.substitute = substitute
 
     def add(self, path: str, entry: int, plain: bool) -> None:
@@ -121,7 +120,7 @@ class ReferenceTrie:
             node = node.next.setdefault(c, Node())
         node.entries[entry] = node.entries.get(entry, False) or plain
         node.limit, node.depth, node.missing = allowed_errors(path), len(path), allowed_missing(path)
-        self.most = max(self.most, node.limit)
+        self.most, self.longest = max(self.most, node.limit), max(self.longest, len(path))
 
     def _rank(self, node: Node, rows: list[int], goal: int, size: int) -> int | None:
         """Errors at the end of the value, if the path allows them."""
@@ -139,7 +138,7 @@ class ReferenceTrie:
         """
         found: dict[int, tuple[int, int, int]] = {}
         n, k = len(value), self.most
-        if not n:
+        if not n or n > self.longest + k:
             return found
         masks: dict[str, int] = {}
         for i, c in enumerate(value):
@@ -173,29 +172,65 @@ class ReferenceTrie:
         return found
 
 
-def readings(value: str) -> Iterator[str]:
-    """Compact forms of ``value``: whole, then with remarks set aside step by step."""
+def _letters(text: str, limit: int) -> int:
+    """Letters and digits of a text, counted up to one more than the limit."""
+    n = 0
+    for c in text:
+        if c.isalnum():
+            n += 1
+            if n > limit:
+                break
+    return n
+
+
+def _without_closing(text: str) -> str:
+    """The text without a bracketed part at its end; unchanged if there is none."""
+    end = len(text)
+    while end and not text[end - 1].isalnum() and text[end - 1] not in _CLOSERS:
+        end -= 1
+    if not end or text[end - 1] not in _CLOSERS:
+        return text
+    start = max(text.rfind(c, 0, end - 1) for c in _OPENERS)
+    if start < 0 or any(text.find(c, start + 1, end - 1) >= 0 for c in _CLOSERS):
+        return text
+    return text[:start].rstrip()
+
+
+def readings(value: str, limit: int = 1_000) -> Iterator[str]:
+    """Compact forms of ``value``: whole, then with remarks set aside step by step.
+
+    Forms of more than ``limit`` letters are longer than every path and not made, so
+    a very long value costs time in proportion to its length.
+    """
     seen = set()
 
     def fresh(form: str) -> Iterator[str]:
-        done = compact(form)
-        if done and done not in seen:
+        if _letters(form, limit) <= limit and (done := compact(form)) and done not in seen:
             seen.add(done)
             yield done
 
     plain = unicodedata.normalize("NFKC", value).strip()
     yield from fresh(plain)
     rest = plain
-    while (shorter := _CLOSING.sub("", rest).strip()) and shorter != rest:
+    while (shorter := _without_closing(rest)) != rest and shorter:
         rest = shorter
         yield from fresh(rest)
     for base in dict.fromkeys((plain, rest)):
-        cuts = [m.start() for m in _BREAK.finditer(base) if m.start() > 0]
+        cuts, letters, at = [], 0, 0
+        for m in _BREAK.finditer(base):
+            letters += _letters(base[at : m.start()], limit)
+            at = m.start()
+            if letters > limit:
+                break
+            if at:
+                cuts.append(at)
         for at in reversed(cuts):
             yield from fresh(base[:at])
-    while (match := _LAST_WORD.search(rest)) and match.start() > 0 and (_NUMBERED.search(match.group()) or not compact(match.group())):
-        rest = rest[: match.start()]
-        yield from fresh(rest)
+    words = re.split(r"[\s_]+", rest)
+    while len(words) > 1 and (_NUMBERED.search(words[-1]) or not compact(words[-1])):
+        words.pop()
+        if len(words) <= limit:
+            yield from fresh(" ".join(words))
 
 
 class Mapper:
@@ -226,7 +261,8 @@ class Mapper:
         value is preferred to dropping one of its words.
         """
         found: dict[int, tuple[int, int, int, int]] = {}
-        for aside, reading in enumerate(readings(value)):
+        longest = max((t.longest + t.most for t in self.tries.get(field, ())), default=0)
+        for aside, reading in enumerate(readings(value, longest)):
             for trie in self.tries.get(field, ()):
                 for entry, (errors, cut, depth) in trie.within(reading).items():
                     rank = (errors + (2 if aside else 0), aside, cut, depth)

@@ -184,4 +184,4 @@ def with_residue(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def without_residue(documents: DataFrame, key: str, text: str) -> DataFrame:
     """``documents`` without those that hold residue; null and blank texts stay."""
-    return residue(documents, key, text).where(F.size("residue_kinds") == 0).drop("residue_kinds")
+    return documents.where(F.size(residue_kinds(F.col(text))) == 0)

@@ -67,17 +67,20 @@ def preferred_rows(
     ranks = trust.where(F.col(trust_source).isNotNull()).groupBy(F.col(trust_source).alias(source)).agg(
         F.min(trust_rank).alias("_rank")
     )
-    rows = records.where(F.col(entity).isNotNull() & F.col(row_id).isNotNull()).join(runtime.small(ranks), source, "left")
+    rows = records.where(F.col(entity).isNotNull() & F.col(row_id).isNotNull()).select(
+        F.col(entity).alias("_entity"), F.col(row_id).alias("_id"), F.col(source).alias(source), F.col(recorded).alias("_at"),
+        *[value.isNotNull().alias(f"_has_{name}") for name, value in usable.items()],
+    ).join(runtime.small(ranks), source, "left")
     order = F.struct(
         F.col("_rank").isNotNull().alias("known"), (-F.col("_rank")).alias("rank"),
-        F.col(recorded).isNotNull().alias("dated"), F.col(recorded).alias("at"), F.col(row_id).alias("id"),
+        F.col("_at").isNotNull().alias("dated"), F.col("_at").alias("at"), F.col("_id").alias("id"),
     )
-    best = rows.groupBy(entity).agg(
-        F.min(row_id).alias("_low"), F.max(row_id).alias("_high"),
-        *[F.max(F.when(value.isNotNull(), order)).alias(f"_best_{name}") for name, value in usable.items()],
+    best = rows.groupBy("_entity").agg(
+        F.min("_id").alias("_low"), F.max("_id").alias("_high"),
+        *[F.max(F.when(F.col(f"_has_{name}"), order)).alias(f"_best_{name}") for name in usable],
     ).where("_low < _high")
     picks = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"_best_{name}.id").alias(row_id)) for name in usable])
-    return best.select(entity, F.explode(picks).alias("_p")).select(entity, "_p.*").where(F.col(row_id).isNotNull())
+    return best.select(F.col("_entity").alias(entity), F.explode(picks).alias("_p")).select(entity, "_p.*").where(F.col(row_id).isNotNull())
 
 
 def claims_of(records: DataFrame, entity: str, source: str, fields: dict[str, Column]) -> DataFrame:
