@@ -7,7 +7,6 @@ a lost executor costs one round. The driver sees only counts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from calyx import runtime
@@ -54,5 +53,4 @@ def clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataF
         if not moved:
             break
     roots = state.df.where("node = label").select(F.col("label"))
-    numbered = roots.withColumn("cluster", F.row_number().over(W.orderBy("label")) - 1)
-    return state.df.join(numbered, "label").select("node", "cluster", "label")
+    return state.df.join(runtime.numbered(roots, "label", "cluster"), "label").select("node", "cluster", "label")

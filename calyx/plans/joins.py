@@ -67,7 +67,7 @@ def j8_label_candidates(spark: SparkSession, d: str) -> DataFrame:
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     line = table(spark, d, "lineitem")
     items = line.selectExpr("concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(l_quantity as int)) AS item", "l_suppkey AS doc", "l_linenumber AS page", "cast(l_quantity * 2 as double) AS x0", "cast(l_orderkey % 97 as double) AS top", "cast(l_quantity * 2 + 5 as double) AS x1", "cast(l_orderkey % 97 + 3 as double) AS bottom")
-    boxes = line.where("l_orderkey % 400 = 1").selectExpr("l_suppkey AS doc", "l_linenumber AS page", "cast(l_quantity as double) AS x0", "cast(l_partkey % 60 as double) AS top", "cast(l_quantity + 30 as double) AS x1", "cast(l_partkey % 60 + 20 as double) AS bottom")
+    boxes = line.where("l_tax = 0 and l_discount = 0").selectExpr("l_suppkey AS doc", "l_linenumber AS page", "cast(l_quantity as double) AS x0", "cast(l_partkey % 60 as double) AS top", "cast(l_quantity + 30 as double) AS x1", "cast(l_partkey % 60 + 20 as double) AS bottom")
     return items, boxes
 
 
@@ -141,7 +141,7 @@ def j20_inherited(spark: SparkSession, d: str) -> DataFrame:
 
 def j21_positional(spark: SparkSession, d: str) -> DataFrame:
     """Nations without a customer of their number take the customer at their position; positions out of range are left out."""
-    nations, customers = table(spark, d, "nation").select("n_nationkey", "n_regionkey"), table(spark, d, "customer").where("c_custkey <= 1000").select("c_custkey", "c_nationkey")
+    nations, customers = table(spark, d, "nation").select("n_nationkey", "n_regionkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
     matched = customers.where("c_custkey % 9 = 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_custkey").alias("c_custkey")).join(nations.where("n_regionkey < 3").select("n_nationkey"), "n_nationkey")
     rest = nations.join(matched, "n_nationkey", "left_anti")
     numbered = keyed.top_ranked(customers.select("c_custkey").withColumn("_k", F.lit(0)), ["_k"], [F.asc("c_custkey")], 100, "position").drop("_k")
@@ -187,7 +187,7 @@ SQL = {
     "j8_label_candidates": """WITH l AS (SELECT p_partkey, 'plated' AS category, contains(p_type, 'PLATED')::INT + contains(p_type, 'STEEL')::INT + contains(p_type, 'BRUSHED')::INT AS score FROM part UNION ALL SELECT p_partkey, 'small', contains(p_type, 'SMALL')::INT + contains(p_type, 'TIN')::INT + contains(p_type, 'BURNISHED')::INT FROM part
         UNION ALL SELECT p_partkey, 'economy', contains(p_type, 'ECONOMY')::INT + contains(p_type, 'BRASS')::INT + contains(p_type, 'ANODIZED')::INT FROM part) SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, p_partkey) AS rank FROM l WHERE score > 0 QUALIFY rank <= 3""",
     "j9_not_overlapping": """WITH i AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(l_quantity as int)) AS item, l_suppkey AS doc, l_linenumber AS page, l_quantity * 2 AS x0, l_orderkey % 97 AS top, l_quantity * 2 + 5 AS x1, l_orderkey % 97 + 3 AS bottom FROM lineitem),
-        b AS (SELECT l_suppkey AS doc, l_linenumber AS page, l_quantity AS x0, l_partkey % 60 AS top, l_quantity + 30 AS x1, l_partkey % 60 + 20 AS bottom FROM lineitem WHERE l_orderkey % 400 = 1)
+        b AS (SELECT l_suppkey AS doc, l_linenumber AS page, l_quantity AS x0, l_partkey % 60 AS top, l_quantity + 30 AS x1, l_partkey % 60 + 20 AS bottom FROM lineitem WHERE l_tax = 0 AND l_discount = 0)
         SELECT item, doc, page FROM i WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc = i.doc AND b.page = i.page AND i.x0 <= b.x1 AND i.x1 >= b.x0 AND i.top <= b.bottom AND i.bottom >= b.top)""",
     "j10_looked_back": "WITH t AS (SELECT *, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS g FROM events) SELECT event_id, coalesce(" + ", ".join(f"lag(g, {i}) OVER w" for i in range(1, 6)) + ") AS tag FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "j11_kept_and_removed": "SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) THEN 'kept' ELSE 'removed' END AS state FROM part",
@@ -200,7 +200,7 @@ SQL = {
     "j18_template_rank": """WITH f AS (SELECT DISTINCT p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48), l AS (SELECT DISTINCT p_brand, p_type FROM part) SELECT p_brand, round(avg((p_type IN (SELECT p_type FROM f))::INT), 6) AS ratio FROM l GROUP BY 1 ORDER BY avg((p_type IN (SELECT p_type FROM f))::INT) DESC, 1 LIMIT 1""",
     "j19_in_networks": """SELECT c_custkey, 10 * 16777216 + c_nationkey * 65536 AS network, CASE WHEN c_nationkey % 2 = 0 THEN 16 ELSE 24 END AS prefix FROM customer WHERE c_nationkey % 2 = 0 OR c_custkey % 7 = 0""",
     "j20_inherited": "SELECT n.n_nationkey, coalesce(m.n_name, n.n_name) AS name FROM nation n LEFT JOIN nation m ON n.n_nationkey % 3 = 0 AND m.n_nationkey = n.n_nationkey + 1",
-    "j21_positional": """WITH c AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey <= 1000), m AS (SELECT c_nationkey AS n_nationkey, min(c_custkey) AS c_custkey FROM c WHERE c_custkey % 9 = 0 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) GROUP BY 1), p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS position FROM c)
+    "j21_positional": """WITH c AS (SELECT c_custkey, c_nationkey FROM customer), m AS (SELECT c_nationkey AS n_nationkey, min(c_custkey) AS c_custkey FROM c WHERE c_custkey % 9 = 0 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) GROUP BY 1), p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS position FROM c)
         SELECT *, 'rule' AS how FROM m UNION ALL SELECT n_nationkey, c_custkey, 'position' FROM nation JOIN p ON n_nationkey = position WHERE n_nationkey NOT IN (SELECT n_nationkey FROM m)""",
     "j22_in_final": "SELECT DISTINCT global_id, CASE WHEN global_id IN (SELECT global_id FROM merge_report WHERE decision = 'keep_unique' AND global_id IS NOT NULL) THEN 'yes' ELSE 'no' END AS in_final FROM slide_info",
     "j23_stale_outputs": "WITH m AS (SELECT l_orderkey, min(l_shipdate) AS made FROM lineitem WHERE l_orderkey % 6 <> 0 GROUP BY 1) SELECT o_orderkey FROM orders LEFT JOIN m ON o_orderkey = l_orderkey WHERE made IS NULL OR made < o_orderdate",

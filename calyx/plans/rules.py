@@ -19,7 +19,7 @@ def _slides(spark: SparkSession, d: str) -> DataFrame:
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
     """A graded table from order lines: one document per supplier."""
-    rows = table(spark, d, "lineitem").where("l_suppkey <= 40").selectExpr(
+    rows = table(spark, d, "lineitem").selectExpr(
         "l_suppkey AS doc", "l_orderkey * 10 + l_linenumber AS ord",
         "CASE l_partkey % 9 WHEN 0 THEN concat('术语', l_partkey % 50) WHEN 1 THEN '1级' WHEN 2 THEN '2级' WHEN 3 THEN '3级' WHEN 4 THEN '4级' WHEN 5 THEN '胃肠系统疾病' WHEN 6 THEN '首选术语' WHEN 7 THEN '' ELSE 'Total' END AS label",
         "concat(cast(l_quantity as int), ' ( ', l_linenumber, '.00)') AS share", "cast(l_linenumber as string) AS events", "l_partkey",
@@ -221,7 +221,7 @@ QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:1] in
 
 _SL = "SELECT DISTINCT global_id, source_path, coalesce(title, '') AS title, coalesce(text_content, '') AS text, shape_count, has_table FROM slide_info"
 _GR = """WITH r AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS ord, CASE l_partkey % 9 WHEN 0 THEN concat('术语', l_partkey % 50) WHEN 1 THEN '1级' WHEN 2 THEN '2级' WHEN 3 THEN '3级' WHEN 4 THEN '4级' WHEN 5 THEN '胃肠系统疾病' WHEN 6 THEN '首选术语' WHEN 7 THEN '' ELSE 'Total' END AS label,
-    concat(l_quantity::INT, ' ( ', l_linenumber, '.00)') AS share, l_quantity::INT AS q, l_linenumber AS e FROM lineitem WHERE l_suppkey <= 40), g AS (SELECT doc, ord, min((label, share, e, q)) AS r FROM r GROUP BY 1, 2)"""
+    concat(l_quantity::INT, ' ( ', l_linenumber, '.00)') AS share, l_quantity::INT AS q, l_linenumber AS e FROM lineitem), g AS (SELECT doc, ord, min((label, share, e, q)) AS r FROM r GROUP BY 1, 2)"""
 _PLACE = "CASE WHEN contains(title, 'Timeline') OR contains(title, 'Outlook') THEN 0 WHEN contains(title, 'Efficacy') THEN 1 WHEN contains(title, 'Safety') THEN 2 WHEN contains(title, 'Results') OR contains(title, 'Profile') THEN 3 END"
 _CH = "lower(concat(title, ' ', text))"
 _HINT = f"WHEN regexp_matches({_CH}, '[0-9]') AND (contains({_CH}, '安全') OR contains({_CH}, 'safety') OR contains({_CH}, '不良') OR contains({_CH}, 'adverse')) THEN '3' WHEN regexp_matches({_CH}, '[0-9]') AND (contains({_CH}, '%') OR contains({_CH}, 'percent') OR contains({_CH}, '百分比') OR contains({_CH}, '总体') OR contains({_CH}, 'overview')) THEN '2'"

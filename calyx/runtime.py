@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after a count shows it holds at most this many rows.
@@ -112,3 +112,21 @@ def attach_group(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Colu
     warm_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     joined = rows.join(F.broadcast(hot), keys).unionByName(warm_rows.join(cold, keys))
     return joined.drop("_group_rows")
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with consecutive numbers from 0 in the order of a unique column, without gathering them in one task.
+
+    Rows are put in ranges; each range is numbered by itself and moved up by the
+    rows before it. The driver sees one count per range.
+    """
+    stage = cut(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted(tuple(r) for r in stage.groupBy("_range").agg(F.count(F.lit(1))).collect())
+    start, starts = 0, []
+    for number, size in sizes:
+        starts.append((number, start))
+        start += size
+    before = rows.sparkSession.createDataFrame(starts, "_range int, _before long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    counted = stage.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + inside - 1)
+    return counted.drop("_range", "_before")
