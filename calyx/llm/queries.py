@@ -139,6 +139,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights by temperature alone: the exponent at which the shares have the target's entropy."""
+    target = table(spark, sf_dir, "mix_target")
+    texts = mixing.mix_texts(
+        table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text", target, bpe.count_column(F.col("text"))
+    )
+    sizes = {r["source"]: float(r["tokens"]) for r in mixing.source_sizes(texts)}
+    goal = mixing.entropy({k: v[0] for k, v in mixing.target_rows(target, "source", "target_share", "max_repeats").items()})
+    exponent, weights = mixing.temperature_weights(sizes, goal)
+    rows = [(k, int(n), float(exponent), float(weights.get(k, 0.0))) for k, n in sorted(sizes.items())]
+    return spark.createDataFrame(rows, "source string, available_tokens long, exponent double, weight double")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.with_residue(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
 
@@ -186,7 +199,7 @@ SQL["p2_found"] = f"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_clusters, p2_found, p2_survivors, p2_sources, p3_found, p3_unmatched, p4_found, p4_records,
-        p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mix, p7_report, p8_found, p8_clean,
+        p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mix, p7_report, p7_temperature, p8_found, p8_clean,
     )}
 
 
