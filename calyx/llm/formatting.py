@@ -36,15 +36,21 @@ INVISIBLE = r"[\u00AD\u034F\u061C\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\
 FIELD_END = r"[\n\r\u000B\u000C\u0085\u2028\u2029;\uFF1B|\uFF5C]+"
 
 
+def _letters(text: Column) -> Column:
+    return F.lower(F.upper(F.regexp_replace(text, NOISE, "")))
+
+
 def fold(text: Column) -> Column:
     """Letters, marks and numbers only, without case."""
-    return F.lower(F.upper(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), NOISE, "")))
+    return _letters(F.regexp_replace(text, INVISIBLE, ""))
 
 
 def _field_pattern(labels: Sequence[str]) -> str:
     gap = r"[^\p{L}\p{M}\p{N}\r\n]*"
     names = "|".join(gap.join(label.replace(" ", "")) for label in labels)
-    return rf"(?iu)^{gap}(?:{names})[^\p{{L}}\p{{M}}\p{{N}}]*[:\uFF1A=\uFF1D\-\u2010-\u2015\u2212\uFF0D_/][^\p{{L}}\p{{M}}\p{{N}}]*"
+    # the labels are looked for only where a segment begins with a letter of one
+    starts = "".join(sorted({c for label in labels for c in (label[0].lower(), label[0].upper())}))
+    return rf"(?iu)^{gap}(?=[{starts}])(?:{names})[^\p{{L}}\p{{M}}\p{{N}}]*[:\uFF1A=\uFF1D\-\u2010-\u2015\u2212\uFF0D_/][^\p{{L}}\p{{M}}\p{{N}}]*"
 
 
 def canonical_text(text: Column, labels: Sequence[str] = FIELD_LABELS) -> Column:
@@ -57,13 +63,11 @@ def canonical_text(text: Column, labels: Sequence[str] = FIELD_LABELS) -> Column
     clean = F.regexp_replace(text, INVISIBLE, "")
     parts = F.filter(F.split(clean, FIELD_END), lambda p: p.rlike(r"[\p{L}\p{M}\p{N}]"))
     # label and value stay apart by a tab, so that a longer label never meets a shorter value
-    forms = F.transform(parts, lambda p: F.struct((~p.rlike(_field_pattern(labels))).alias("other"), fold(p).alias("form")))
-    first_other = F.array_position(F.transform(forms, lambda f: f["other"]), True)
-    head = F.when(first_other == 0, F.size(forms)).otherwise(first_other - 1).cast("int")
-    names = F.transform(forms, lambda f: f["form"])
-    fields = F.sort_array(F.slice(names, F.lit(1), head))
-    rest = F.slice(names, head + 1, F.size(forms))
-    return F.concat(F.array_join(fields, "\t"), F.lit("\n"), F.array_join(rest, ""))
+    first_other = F.array_position(F.transform(parts, lambda p: p.rlike(_field_pattern(labels))), False)
+    head = F.when(first_other == 0, F.size(parts)).otherwise(first_other - 1).cast("int")
+    fields = F.sort_array(F.transform(F.slice(parts, F.lit(1), head), _letters))
+    rest = _letters(F.array_join(F.slice(parts, head + 1, F.size(parts)), ""))
+    return F.concat(F.array_join(fields, "\t"), F.lit("\n"), rest)
 
 
 def _usable(records: DataFrame, key: str, name: str, text: str) -> DataFrame:
