@@ -20,9 +20,18 @@ _LONG = rf"(?=[^\s]{{3}}|[\p{{IsHan}}]{{2}}){_NAME}"
 #: Codes that stand in angle brackets in ordinary use, and tags of HTML.
 ORDINARY_ANGLED = (
     "LLOQ ULOQ LOQ LOD BLQ ALQ BLOQ QNS NA ND NR NC a b i p u br hr li ol ul td th tr em div sub sup img "
-    "html body head span table tbody strong title"
+    "html body head span table tbody strong title h1 h2 h3 h4 h5 h6 font center code pre section article nav footer "
+    "header button form input label select option script style link meta iframe video audio canvas svg path small big "
+    "blockquote figure"
 ).split()
 
+#: What slots in quotation marks name; other words in such marks are quoted.
+_FIELDS = (
+    r"country|product|version|indication|reviewer|author|lot|batch|date|title|subject|sample|site|sponsor|protocol|visit|data|dose|study|"
+    r"name|number|address|patient|centre|center|city|titre|lieu|pays|produit|numéro|protocole|promoteur|essai|título|lugar|lote|fecha|país|"
+    r"número|protocolo|promotor|estudio|titel|ort|charge|datum|land|prüfplannummer|sponsorname|nom|nombre"
+)
+
 #: Unfilled slots, by delimiter.
 SLOT_GRAMMARS = {
     "double_brace": rf"\{{\{{\s*{_NAME}\s*\}}\}}",
@@ -31,7 +40,7 @@ SLOT_GRAMMARS = {
     "brace": rf"(?<![\p{{L}}\p{{N}}$\\}}{{])\{{{_LONG}\}}(?!\}})",
     "double_angle": rf"<<\s*{_NAME}\s*>>",
     "angle": rf"(?<!<)<(?!(?i:{'|'.join(ORDINARY_ANGLED)})>){_LONG}>(?!>)",
-    "guillemet": r"«(?=[^»]{3})[\p{L}][\p{L}\p{N}]*(?:[ ._][\p{L}\p{N}]+){0,3}»",
+    "guillemet": rf"«(?=[^»]*[_.]|[^»]*[a-z][A-Z]|[A-Z]{{3,}}[ A-Z]*»|(?iu:{_FIELDS}))[\p{{L}}][\p{{L}}\p{{N}}]*(?:[ ._][\p{{L}}\p{{N}}]+){{0,3}}»",
     "double_bracket": rf"\[\[\s*{_NAME}\s*\]\]",
     "at": rf"@@{_NAME}@@",
     "hash": rf"(?<![\p{{L}}\p{{N}}#])#{_LONG}#(?!#)",
@@ -43,7 +52,7 @@ SLOT_GRAMMARS = {
     "asked_other": r"(?i)[\[<{(](?:bitte|insérer|inserer|saisir|indiquer|insertar|introducir|indicar|TODO|TBD|TBC)[\s:][^\[\]<>{}()\n]{1,60}[\]>})]",
     "tbd": rf"\bTB[DCA]\s?\[\s*{_NAME}\s*\]|\[(?:TBD|TBC|TBA|TODO)\]",
     "blank_line": r"_{4,}|＿{3,}",
-    "marks": r"\[\s*(?:X{2,}|x{2,}|×{2,}|●|•|○|■|□|\*{1,3}|\.{3}|…|_+|\?{2,}|-{2,})?\s*\](?!\()",
+    "marks": r"\[(?:\s*(?:X{2,}|x{2,}|×{2,}|●|•|○|■|□|_+|\?{2,}|-{2,})\s*|\s{2,})\](?!\()",
     "crosses": r"[×Ｘ]{2,}[年月日号]|[×Ｘ]{4,}|(?<![A-Za-z])XX+年|(?<![A-Za-z])X{4,}(?![A-Za-z])",
     "asked_zh": r"[\[【〔（(《{<](?:此处|请|在此)?(?:插入|填写|填入|输入|补充|待补充|待填写?|待定|待补)[：:]?[^\]】〕）)》}>\n]{0,30}[\]】〕）)》}>]",
     "open_zh": r"[\[【〔（(《{<][^\[【〔（(《{<\n\]】〕）)》}>]{1,30}(?:待填写?|待补充?|待定|待确认)[\]】〕）)》}>]|[〔\[【][^〕\]】\n]{1,30}[〕\]】](?:待定|待填|待补)",
@@ -81,7 +90,7 @@ ERROR_GRAMMARS = {
     "status": (
         r"(?im)(?:^|[\n.!?])\s*(?:HTTP(?:/\d\.\d)?\s*)?[45]\d\d\s*[:\-–]?\s*(?:Page not found|Not found|Internal server error|Bad gateway|"
         r"Gateway time|Service unavailable|Access denied|Forbidden|Sign-?in required|Unauthori[sz]ed|Bad request|Too many requests)"
-        r"|\bHTTP(?:/\d\.\d)? ?[45]\d\d\b"
+        r"|(?:^|[\n.!?])\s*HTTP(?:/\d\.\d)? ?[45]\d\d\s*(?:$|[\n.!:])"
     ),
     "english": (
         r"(?i)\b(?:Page not found\b|Internal server error\b|Bad gateway\b|Gateway timed? ?out\b|Service unavailable\b|Access denied\b(?! to)|"
