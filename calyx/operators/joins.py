@@ -97,8 +97,8 @@ def tfidf_pairs(docs: DataFrame, key: str, text: str, max_terms: int = 5000, ngr
     grams = [F.col("w"), *[_grams("w", n) for n in range(2, ngrams + 1)]]
     terms = words.where(F.size("w") > 0).select("id", F.explode(F.concat(*grams)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_terms)
-    n = docs.select(F.countDistinct(key).alias("n"))
-    weighed = terms.join(F.broadcast(vocabulary), "term").join(F.broadcast(n), how="inner").select("id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    n = docs.agg(F.count_distinct(key)).first()[0]
+    weighed = terms.join(F.broadcast(vocabulary), "term").select("id", "term", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = weighed.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
     other = unit.withColumnsRenamed({"id": "b", "w": "wb"})
