@@ -93,7 +93,7 @@ ERROR_GRAMMARS = {
         r"|(?:^|[\n.!?])\s*HTTP(?:/\d\.\d)? ?[45]\d\d\s*(?:$|[\n.!:])"
     ),
     "english": (
-        r"(?i)\b(?:Page not found\b|Internal server error\b|Bad gateway\b|Gateway timed? ?out\b|Service unavailable\b|Access denied\b(?! to)|"
+        r"(?i)(?<![\p{L}\p{N}])(?=[pibgsaycluwtvd])(?:Page not found\b|Internal server error\b|Bad gateway\b|Gateway timed? ?out\b|Service unavailable\b|Access denied\b(?! to)|"
         r"Sign-?in required\b|You do not have permission to|You are not (?:allowed|authori[sz]ed) to|Something went wrong\b|"
         r"Your session (?:has |was )?(?:expired|timed out)|Sign in again to|Log in again to|Unhandled exception in|"
         r"(?:viewer|browser|page|app) failed to load|We could not find the|We can(?:'|no)t find the page|link may be old or mistyped|"
@@ -101,28 +101,28 @@ ERROR_GRAMMARS = {
         r"Too many requests\b|under maintenance[.!,])|(?:^|[\s.!?])Oops!"
     ),
     "chinese": (
-        r"错误\s*\d{3}\s*[：:]|您没有权限(?:查看|访问)|服务器内部(?:出错|错误)|您访问的页面不存在|页面(?:不存在|未找到|找不到)|文件加载失败|"
-        r"登录已(?:超时|过期)|会话已(?:超时|过期)|无法连接数据库|请求过于频繁|系统维护中|请稍后重试|请重新登录|抱歉[！!]"
+        r"(?=[错您服页文登会无请系抱])(?:错误\s*\d{3}\s*[：:]|您没有权限(?:查看|访问)|服务器内部(?:出错|错误)|您访问的页面不存在|页面(?:不存在|未找到|找不到)|文件加载失败|"
+        r"登录已(?:超时|过期)|会话已(?:超时|过期)|无法连接数据库|请求过于频繁|系统维护中|请稍后重试|请重新登录|抱歉[！!])"
     ),
-    "german": r"(?i)Interner (?:Server)?fehler beim|(?:Die )?Seite wurde (?:leider )?nicht gefunden|Ihre Sitzung ist abgelaufen|Zugriff verweigert[.!]|Zugriff auf (?:dieses|das) Dokument verweigert|keine Berechtigung, dieses|melden Sie sich (?:bitte )?(?:erneut|neu) an",
-    "french": r"(?i)page est introuvable|page introuvable|Une erreur interne (?:empêche|s.est)|Votre session a expiré|Accès refusé[ .!]|Accès (?:au|à ce) document refusé|identifiez-vous de nouveau|vous n.avez pas (?:le droit|l.autorisation)",
-    "spanish": r"(?i)Error interno al|No encontramos la página|página no encontrada|Su sesión (?:ha )?(?:caducado|expirado|caducó|expiró)|Acceso denegado(?:[.!]| a este documento)|no tiene permiso para|inicie sesión de nuevo|vuelva a iniciar",
+    "german": r"(?i)(?<!\p{L})(?=[idszkm])(?:Interner (?:Server)?fehler beim|(?:Die )?Seite wurde (?:leider )?nicht gefunden|Ihre Sitzung ist abgelaufen|Zugriff verweigert[.!]|Zugriff auf (?:dieses|das) Dokument verweigert|keine Berechtigung, dieses|melden Sie sich (?:bitte )?(?:erneut|neu) an)",
+    "french": r"(?i)(?<!\p{L})(?=[puvai])(?:page est introuvable|page introuvable|Une erreur interne (?:empêche|s.est)|Votre session a expiré|Accès refusé[ .!]|Accès (?:au|à ce) document refusé|identifiez-vous de nouveau|vous n.avez pas (?:le droit|l.autorisation))",
+    "spanish": r"(?i)(?<!\p{L})(?=[enpsaiv])(?:Error interno al|No encontramos la página|página no encontrada|Su sesión (?:ha )?(?:caducado|expirado|caducó|expiró)|Acceso denegado(?:[.!]| a este documento)|no tiene permiso para|inicie sesión de nuevo|vuelva a iniciar)",
 }
 
 #: Notices that scripts are needed.
 SCRIPT_GRAMMARS = {
     "english": (
-        r"(?i)JavaScript is (?:disabled|turned off|switched off|not enabled|required)|(?:please |need to )(?:enable|turn on|allow|activate) (?:JavaScript|scripts)|"
+        r"(?i)(?<![\p{L}\p{N}])(?=[jpnsryva])(?:JavaScript is (?:disabled|turned off|switched off|not enabled|required)|(?:please |need to )(?:enable|turn on|allow|activate) (?:JavaScript|scripts)|"
         r"Scripts are (?:switched|turned) off|Scripts are disabled|(?:needs|requires) (?:JavaScript|scripts) to (?:run|work)|Your browser blocks scripts|"
-        r"(?:viewer|page|site|app) (?:needs|requires) (?:JavaScript|scripts)"
+        r"(?:viewer|page|site|app) (?:needs|requires) (?:JavaScript|scripts))"
     ),
     "chinese": (
         r"(?<!需要)请?启用浏览器脚本|请(?:启用|开启|允许)[^。！？\n]{0,8}(?:脚本|JavaScript)|允许运行\s*JavaScript|脚本已被(?:拦截|禁用|阻止)|检测到脚本被(?:禁用|拦截)|"
         r"(?:页面|网页)需要脚本支持|浏览器(?:未开启|未启用|不支持|禁用了?|已禁用)\s*(?:JavaScript|脚本)"
     ),
-    "german": r"(?i)JavaScript ist (?:ausgeschaltet|deaktiviert|abgeschaltet)|Browser blockiert Skripte|(?:aktivieren|schalten) Sie (?:bitte )?(?:JavaScript|Skripte)|Ohne (?:Skripte|JavaScript) keine|Ansicht (?:braucht|benötigt) Skripte|Skripte sind (?:aus|blockiert|deaktiviert)",
-    "french": r"(?i)exige des scripts|Activez (?:JavaScript|les scripts)|scripts sont (?:bloqués|désactivés)|JavaScript est (?:coupé|désactivé)",
-    "spanish": r"(?i)scripts están (?:bloqueados|desactivados)|JavaScript está (?:apagado|desactivado|deshabilitado)|(?:Active|Habilite) (?:JavaScript|los scripts)|(?:vista|página) (?:exige|necesita|requiere) scripts",
+    "german": r"(?i)(?<!\p{L})(?=[jbaso])(?:JavaScript ist (?:ausgeschaltet|deaktiviert|abgeschaltet)|Browser blockiert Skripte|(?:aktivieren|schalten) Sie (?:bitte )?(?:JavaScript|Skripte)|Ohne (?:Skripte|JavaScript) keine|Ansicht (?:braucht|benötigt) Skripte|Skripte sind (?:aus|blockiert|deaktiviert))",
+    "french": r"(?i)(?<!\p{L})(?=[easj])(?:exige des scripts|Activez (?:JavaScript|les scripts)|scripts sont (?:bloqués|désactivés)|JavaScript est (?:coupé|désactivé))",
+    "spanish": r"(?i)(?<!\p{L})(?=[sjahvp])(?:scripts están (?:bloqueados|desactivados)|JavaScript está (?:apagado|desactivado|deshabilitado)|(?:Active|Habilite) (?:JavaScript|los scripts)|(?:vista|página) (?:exige|necesita|requiere) scripts)",
 }
 
 _META = r"(?i)\b(?:macros?|syntax|style fields?|notation|separators?|regex(?:es)?|regular expressions?|escape sequence|(?:is|are) defined in|tags? such as|fields? such as|written as|kept as typed)\b|语法|宏|正则|分隔符|格式的字段|形如"
