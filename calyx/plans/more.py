@@ -92,6 +92,9 @@ QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:1] in
 SQL = {
     "pr8_first_filled": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 5 = 0 THEN p_name ELSE '' END AS first FROM part",
     "pr28_publisher_link": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('https://journals.plos.org/plosone/article/file?id=10.1371/journal.pone.', o_custkey, '&type=printable') WHEN 1 THEN concat('https://journals.plos.org/plosmedicine/article/file?id=10.1371/journal.pmed.', o_custkey, '&type=printable') END AS link FROM orders",
+    "f7_value_and_note": """WITH s AS (SELECT serology_id, trim(coalesce(value, ''), ' ') AS v, trim(coalesce(note, ''), ' ') AS n FROM serology_row),
+        k AS (SELECT *, v IN ('阴性', '阳性', '反应', '可疑', '待查') OR (length(v) <= 4 AND regexp_full_match(v, '[一-鿿]+')) AS vn, n IN ('阴性', '阳性', '反应', '可疑', '待查') OR (length(n) <= 4 AND regexp_full_match(n, '[一-鿿]+')) AS nn FROM s)
+        SELECT serology_id, CASE WHEN serology_id % 2 = 0 THEN v WHEN v <> '' AND NOT vn THEN v WHEN n <> '' AND NOT nn THEN n ELSE '' END AS value, CASE WHEN serology_id % 2 = 0 THEN n WHEN v <> '' AND vn THEN v WHEN n <> '' AND nn THEN n ELSE '' END AS note FROM k""",
     "f10_without_brackets": r"SELECT p_partkey, trim(regexp_replace(concat(p_name, '  ', p_brand, '   x'), '\s+', ' ', 'g')) AS title FROM part",
     "f11_joined_numerals": "SELECT p_partkey, concat('phase ', CASE p_partkey % 3 WHEN 0 THEN 'I_IIa' WHEN 1 THEN 'II_III' ELSE 'a/b' END, ' ', p_size) AS title FROM part",
     "f22_hue_colour": "SELECT n_nationkey, CASE n_nationkey * 120 % 360 WHEN 0 THEN 'FF0000' WHEN 120 THEN '00FF00' ELSE '0000FF' END AS colour, '8F9FAF' AS light FROM nation",

@@ -234,6 +234,8 @@ SQL = {
     "pr15_labels_match": """WITH s AS (SELECT p_partkey, lower(CASE WHEN p_size % 10 = 0 THEN '' ELSE p_type END) AS c, CASE p_partkey % 3 WHEN 0 THEN 'steel plated' WHEN 1 THEN 'steel' ELSE concat(lower(p_type), ' x') END AS t, p_partkey % 3 AS k, lower(p_type) AS p FROM part)
         SELECT p_partkey, c <> '' AND (contains(c, t) OR contains(t, c) OR (k = 0 AND contains(c, 'steel') AND contains(c, 'plated')) OR (k = 2 AND contains(c, 'x') AND contains(c, p))) AS strict, contains(c, t) OR contains(t, c) OR (k = 0 AND contains(c, 'steel') AND contains(c, 'plated')) AS older FROM s""",
     "pr16_slot_rule": f"WITH s AS ({_SL}) SELECT global_id FROM s WHERE (contains(title, 'Safety') OR contains(title, 'Efficacy') OR contains(title, 'Outlook')) AND contains(concat(title, chr(10), text), 'the') AND (contains(concat(title, chr(10), text), 'fever') OR contains(concat(title, chr(10), text), 'nausea') OR contains(concat(title, chr(10), text), 'headache'))",
+    "pr18_keyword_bag": f"""WITH s AS ({_SL}), t AS (SELECT global_id, lower(title) AS t FROM s) SELECT global_id FROM t WHERE trim(t, ' ') <> '' AND (contains(t, 'outlook') OR contains(t, 'comparison')
+        OR len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '' AND (contains(w, 'out') OR contains('out', w) OR contains(w, 'com') OR contains('com', w)))) > 0)""",
     "pr19_slide_score": f"WITH s AS ({_SL}) SELECT global_id, coalesce(shape_count, 0) * 10 + CASE WHEN has_table THEN 100 ELSE 0 END + CASE WHEN contains(lower(text), '95% ci') THEN 50 ELSE 0 END + CASE WHEN contains(lower(text), 'booster') THEN 200 ELSE 0 END AS score FROM s",
     "pr20_chapter": f"WITH s AS ({_SL}) SELECT global_id, CASE WHEN trim({_CH}, ' ') = '' THEN NULL WHEN contains({_CH}, 'booster') THEN '4' WHEN contains({_CH}, 'timeline') THEN '1' WHEN contains({_CH}, 'efficacy') OR contains({_CH}, '抗体') THEN '2' WHEN contains({_CH}, 'safety') THEN '3' {_HINT} END AS chapter FROM s",
     "pr39_default_class": f"WITH s AS ({_SL}) SELECT global_id, CASE WHEN trim({_CH}, ' ') = '' THEN '3' WHEN contains({_CH}, 'booster') THEN '4' WHEN contains({_CH}, 'timeline') THEN '1' {_HINT} ELSE '3' END AS chapter FROM s",

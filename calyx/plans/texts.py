@@ -153,6 +153,9 @@ SQL = {
     "f28_snippets": f"""WITH p AS (SELECT doc_id, {_PIECES} AS p FROM documents), i AS (SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i FROM p WHERE len(p) > 1) SELECT doc_id, i - 2 AS hit, md5(trim(concat(right(p[i - 1], 30), 'booster', left(p[i], 30)))) AS snippet FROM i""",
     "w7_misaligned_snippets": f"""WITH p AS (SELECT doc_id, {_PIECES} AS p FROM documents), i AS (SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i FROM p WHERE len(p) > 1) SELECT doc_id, i - 2 AS hit, md5(trim(left(concat(right(p[i], 30), 'booster', left(coalesce(p[i + 1], ''), 30)), 60))) AS snippet FROM i""",
     "f37_bookmark_title": "SELECT DISTINCT global_id, md5(left(trim(regexp_replace(regexp_replace(text_content, '[\\x00-\\x1F]', ' ', 'g'), '[\\s\\x{3000}\\x{A0}\\x{2009}\\x{202F}]+', ' ', 'g')), 180)) AS title FROM slide_info",
+    "f43_warning_summary": r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS w FROM documents),
+        d AS (SELECT doc_id, text, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM l) SELECT doc_id, CASE WHEN text IS NOT NULL THEN least(length(coalesce(array_to_string(w, '; '), '')), 500) END AS chars FROM d""",
+    "f44_fallback_title": r"""WITH l AS (SELECT doc_id, list_filter((string_split(text, chr(10)))[1:15], lambda x: length(trim(x, ' ')) >= 5) AS w FROM documents) SELECT doc_id, md5(trim(w[1], ' ')) AS title FROM l""",
     "k1_cell_text": "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN concat(left(text, 497), '...') ELSE text END) AS cell FROM documents",
     "f36_geometry": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x0, l_linenumber * 10.0::DOUBLE AS t, l_quantity + 20 AS x1, l_linenumber * 10.0::DOUBLE + 15 AS b FROM lineitem),
         q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 4 WHEN 0 THEN x0 WHEN 1 THEN t WHEN 2 THEN 60 - x1 ELSE 80 - b END AS x0, CASE l_partkey % 4 WHEN 0 THEN x1 WHEN 1 THEN b WHEN 2 THEN 60 - x0 ELSE 80 - t END AS x1,
