@@ -9,11 +9,12 @@ from calyx import runtime
 
 
 def duplicate_members(records: DataFrame, key: str, group: Column) -> DataFrame:
-    """Members of groups of two or more rows: ``first_id`` and ``copies`` attached.
+    """``key, first_id, copies`` of the members of groups of two or more rows.
 
-    Rows with a null group value belong to no group.
+    Rows with a null group value belong to no group. Only the key and the group's
+    value are shuffled.
     """
-    keyed = records.withColumn("_group", group).where(F.col("_group").isNotNull())
+    keyed = records.select(key, group.alias("_group")).where(F.col("_group").isNotNull())
     hot = runtime.hot_threshold(0)
     found = runtime.attach_group(keyed, ["_group"], [F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")], hot)
     return found.where("copies > 1").drop("_group")

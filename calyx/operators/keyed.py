@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from calyx import runtime
-
 
 def filled(value: Column) -> Column:
     """The trimmed value; null if nothing is left."""
@@ -103,6 +101,3 @@ def prefix_totals(files: DataFrame, path: str, size: str, changed: str) -> DataF
 def top_overall(rows: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
-
-def hot_groups(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    return runtime.attach_group(rows, keys, aggregates, runtime.hot_threshold(0))

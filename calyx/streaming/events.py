@@ -6,6 +6,7 @@ it, and windows that are closed are final (append mode).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,5 +68,5 @@ def running_totals(events: DataFrame, key: str, value: str, idle_ms: int | None
 
 def to_files(stream: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
     """All that is available, appended to Parquet exactly once; the checkpoint lies in the shared folder."""
-    place = checkpoint or f"{runtime.shared_dir(stream.sparkSession)}/stream-{abs(hash(path))}"
+    place = checkpoint or f"{runtime.shared_dir(stream.sparkSession)}/stream-{hashlib.md5(path.encode()).hexdigest()}"
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", place).outputMode("append").trigger(availableNow=True).start()

@@ -128,3 +128,25 @@ def test_counts_with_zeros(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("z",)], "v string")
     levels = spark.createDataFrame([("a",), ("b",)], "level string")
     assert sorted(tuple(r) for r in keyed.counts_with_zeros(rows, "v", levels, "level").collect()) == [("a", 2), ("b", 0)]
+
+
+def test_numbers_over_all_ranges(spark):
+    from calyx import runtime
+
+    rows = spark.createDataFrame([(x * 7 % 1009, "x") for x in range(1009)], "v int, note string").repartition(5)
+    got = {r.v: r.n for r in runtime.numbered(rows, "v", "n").collect()}
+    assert got == {v: v for v in range(1009)}
+    assert runtime.numbered(rows.limit(0), "v", "n").count() == 0
+
+
+def test_duplicate_members_and_clashing_names(spark):
+    from calyx.operators.duplicates import duplicate_members
+
+    rows = spark.createDataFrame([(1, "a", 0), (2, "a", 0), (3, "b", 0), (4, None, 0), (5, None, 0)], "id int, t string, copies int")
+    assert sorted(tuple(r) for r in duplicate_members(rows, "id", F.col("t")).collect()) == [(1, 1, 2), (2, 1, 2)]
+
+
+def test_folder_totals(spark):
+    rows = spark.createDataFrame([("a/b/f", 1, 5), ("a/g", 2, 9), ("h", 4, 1)], "path string, size int, at int")
+    got = {r.folder: (r.total_size, r.files, r.latest) for r in keyed.prefix_totals(rows, "path", "size", "at").collect()}
+    assert got == {"a": (3, 2, 9), "a/b": (1, 1, 5)}
