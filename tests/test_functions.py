@@ -120,3 +120,23 @@ def test_rotation_there_and_back(spark):
 
 def test_colours_do_not_change(spark):
     assert one(spark, lambda c: geometry.luma_hex(F.length(c), 1.0, 0.5), "", "x" * 120, "x" * 240) == ["FF0000", "00FF00", "0000FF"]
+
+
+def test_arbitrated_titles(spark):
+    good, other = "Optimal approaches to data collection and analysis", "Clinical evaluation of a randomized vaccine trial"
+    rows = [(good, None, ""), (None, other, "Microsoft Word - x.docx"), ("ARTICLE IN PRESS", other, ""), ("Vaccine", None, "Untitled"), (good, other, other)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, meta string")
+    out = titles.arbitrated_title([(F.col("a"), 10.0), (F.col("b"), 8.0)], F.col("meta"))
+    assert [r.t for r in df.select("i", out.alias("t")).orderBy("i").collect()] == [good, other, other, "", other]
+
+
+def test_titles_from_lines(spark):
+    from calyx.operators import sequences
+
+    lines = ["PLOS ONE", "Research Article", "Optimal approaches to data collection", "and analysis of vaccines", "Smith, Jones, Miller", "Body text that follows"]
+    sizes = [30.0, 9.0, 18.04, 17.96, 10.0, 9.0]
+    rows = [("d", i, t, s) for i, (t, s) in enumerate(zip(lines, sizes))] + [("e", 0, "short", 9.0), ("f", 0, "", 9.0)]
+    df = spark.createDataFrame(rows, "doc string, at int, line string, size double")
+    title = "Optimal approaches to data collection and analysis of vaccines"
+    assert [tuple(r) for r in sequences.hierarchy_title(df, "doc", "at", "line", "size", titles.line_kind).collect()] == [("d", title)]
+    assert [tuple(r) for r in sequences.plain_title(df, "doc", "at", F.col("line"), titles.line_kind(F.col("line"))).collect()] == [("d", title)]
