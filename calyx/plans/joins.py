@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyx.functions import identifiers as ids
-from calyx.operators import joins, keyed
+from calyx.operators import joins, keyed, similar
 from calyx.runtime import small, table
 
 
@@ -56,6 +56,12 @@ def j7_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def j7_slides(spark: SparkSession, d: str) -> DataFrame:
+    """All slides by their texts, at the reference's low threshold; one row a pair of text classes, and one a copy."""
+    pairs = similar.tfidf_above(table(spark, d, "slide_info"), "global_id", "text_content", 0.6)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def j8_label_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Parts by how many of a category's labels they name; the three best per category."""
     labels = [("plated", ["PLATED", "STEEL", "BRUSHED"]), ("small", ["SMALL", "TIN", "BURNISHED"]), ("economy", ["ECONOMY", "BRASS", "ANODIZED"])]
@@ -212,3 +218,10 @@ SQL["j7_tfidf"] = rf"""WITH d AS (SELECT canon_id AS id, regexp_extract_all(rege
     v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM f GROUP BY 1 ORDER BY total DESC, term LIMIT 5000), n AS (SELECT count(DISTINCT canon_id) AS n FROM canon_value),
     x AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM f JOIN v USING (term), n), z AS (SELECT id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1), u AS (SELECT id, term, w / norm AS w FROM x JOIN z USING (id))
     SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b USING (term) WHERE a.id < b.id GROUP BY 1, 2"""
+SQL["j7_slides"] = rf"""WITH d AS (SELECT global_id AS id, regexp_extract_all(lower(max(text_content)), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM slide_info WHERE global_id IS NOT NULL GROUP BY 1),
+    t AS (SELECT id, unnest({_G}) AS term FROM d WHERE len(w) > 0), f AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+    v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM f GROUP BY 1 ORDER BY total DESC, term LIMIT 5000), n AS (SELECT count(*) AS n FROM d),
+    g AS (SELECT id, list_reduce(list(tf), lambda x, y: gcd(x, y)) AS g FROM f JOIN v USING (term) GROUP BY 1), k AS (SELECT id, list((term, tf // g) ORDER BY term) AS vector FROM f JOIN v USING (term) JOIN g USING (id) GROUP BY 1),
+    c AS (SELECT id, min(id) OVER (PARTITION BY vector) AS first FROM k),
+    x AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM f JOIN v USING (term) JOIN c USING (id), n WHERE id = first), z AS (SELECT id, sqrt(sum(w * w)) AS norm FROM x GROUP BY 1), u AS (SELECT id, term, w / norm AS w FROM x JOIN z USING (id))
+    SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b USING (term) WHERE a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.6 UNION ALL SELECT first, id, 1.0 FROM c WHERE first <> id"""
