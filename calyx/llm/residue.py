@@ -3,8 +3,9 @@
 Each kind has its own grammar, one regular expression per delimiter style, run by
 the JVM over whole texts. Before the grammars run, passages that only speak of
 such things are discounted: fenced code, lines of code, settings in JSON, and
-sentences about macros, syntax or markers. A text that is mostly code or names a
-template language often is a tutorial; its slots are not counted.
+sentences about macros, syntax or markers, and sentences near which template
+languages are named again and again. A text that is mostly code, or names template
+languages often for its length, is a tutorial; none of its slots is counted.
 """
 
 from __future__ import annotations
@@ -127,17 +128,19 @@ SCRIPT_GRAMMARS = {
 
 _META = r"(?i)\b(?:macros?|syntax|style fields?|notation|separators?|regex(?:es)?|regular expressions?|escape sequence|(?:is|are) defined in|tags? such as|fields? such as|written as|kept as typed)\b|语法|宏|正则|分隔符|格式的字段|形如"
 _CODE = r"```|(?m:^\s*(?:def |return |import |from \w+ import |class |for \w+ in |if .*:$|SELECT |INSERT |#include|function |var |const |let ))|\{\s*\""
+_CODE_LINE = r"(?m)^\s*(?:def |return |import |from \w+ import |class |for \w+ in |if .*:$|SELECT |INSERT |#include|function |var |const |let ).*$"
 
 #: Passages that only speak of slots: fenced code, lines of code, settings in JSON.
 CODE_PASSAGES = (
-    r"(?s)```.*?(?:```|$)",
-    r"(?m)^\s*(?:def |return |import |from \w+ import |class |for \w+ in |if .*:$|SELECT |INSERT |#include|function |var |const |let ).*$",
+    r"(?s)```.*?```|```.*?(?=\n\s*\n|$)",  # a fence left open ends at the next blank line
+    _CODE_LINE,
     r"\{\s*\"[^{}]*\}",
 )
 
-#: A tutorial: at least so many mentions of template languages, or code on most lines.
+#: Template languages are spoken of where at least TUTORIAL_MENTIONS names lie in a sentence and the
+#: NEAR ones on either side of it. A tutorial: so many names, one in NEAR * 2 + 1 sentences, or code on most lines.
 _TUTORIAL = r"(?i)\b(?:jinja2?|mustache|handlebars|templat(?:e|ing) (?:engine|language)|liquid tags?)\b"
-TUTORIAL_MENTIONS = 2
+TUTORIAL_MENTIONS, NEAR = 2, 2
 
 
 def _any(patterns: dict[str, str]) -> str:
@@ -149,14 +152,25 @@ _SLOT_START = r"(?=[\[{<$«@#%?_＿【〔（(《×ＸXT])"
 
 
 def discounted(text: Column) -> Column:
-    """``text`` without code, settings and sentences that speak of markers.
+    """``text`` without code, settings and sentences that speak of markers; empty if it is a tutorial.
 
     Sentences are split once and filtered, so the cost stays linear in the text.
     """
+    lines = F.regexp_count(text, F.lit(r"(?m)^.*\S"))
+    code = F.regexp_count(text, F.lit(_CODE_LINE)) * 2 > lines
+    names = F.regexp_count(text, F.lit(_TUTORIAL))
     for pattern in CODE_PASSAGES:
         text = F.regexp_replace(text, pattern, " ")
-    sentences = F.split(text, r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n")
-    return F.array_join(F.filter(sentences, lambda s: ~s.rlike(_META)), "\n")
+    sentences = F.filter(F.split(text, r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n"), lambda s: s.rlike(r"\S"))
+    width = NEAR * 2 + 1
+    tutorial = code | ((names >= TUTORIAL_MENTIONS) & (names * width >= F.size(sentences)))
+    kept = F.filter(sentences, lambda s: ~s.rlike(_META))
+    named = F.transform(sentences, lambda s: F.regexp_count(s, F.lit(_TUTORIAL)))
+    pad = F.array_repeat(F.lit(0), NEAR)
+    near = F.arrays_zip(sentences.alias("s"), *[F.slice(F.concat(pad, named, pad), i + 1, F.size(sentences)).alias(f"n{i}") for i in range(width)])
+    apart = F.filter(near, lambda x: ~x["s"].rlike(_META) & (sum((x[f"n{i}"] for i in range(width)), F.lit(0)) < TUTORIAL_MENTIONS))
+    local = F.transform(apart, lambda x: x["s"])
+    return F.when(tutorial, "").otherwise(F.array_join(F.when(names >= TUTORIAL_MENTIONS, local).otherwise(kept), "\n"))
 
 
 def residue_kinds(text: Column) -> Column:
@@ -166,9 +180,8 @@ def residue_kinds(text: Column) -> Column:
     Only a text with both a slot and something to discount is searched again.
     """
     slots = f"{_SLOT_START}(?:{_any(SLOT_GRAMMARS)})"
-    speaks = text.rlike(f"{_META}|{_CODE}")
-    tutorial = F.regexp_count(text, F.lit(_TUTORIAL)) >= TUTORIAL_MENTIONS
-    slot = text.rlike(slots) & F.when(speaks, discounted(text).rlike(slots) & ~tutorial).otherwise(True)
+    speaks = text.rlike(f"{_META}|{_CODE}|{_TUTORIAL}")
+    slot = text.rlike(slots) & F.when(speaks, discounted(text).rlike(slots)).otherwise(True)
     kinds = F.array_compact(
         F.array(
             F.when(slot, F.lit("slot")),

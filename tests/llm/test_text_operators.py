@@ -110,3 +110,19 @@ def test_residue_rows(spark):
     assert [tuple(r) for r in residue.with_residue(df, "doc", "text").collect()] == [(1, ["slot"])]
     assert sorted(r.residue_kinds for r in residue.without_residue(df, "doc", "text").collect()) == ["b", "c"]
     assert residue.with_residue(df.limit(0), "doc", "text").count() == 0
+
+
+def test_tutorials_are_discounted_by_place_and_density(spark):
+    plain = "The visit took place as planned. " * 40
+    far = f"Letters use Jinja, not Mustache, and that syntax is fixed.\n{plain}\nDear [Insert name], welcome."
+    cases = {
+        far: True,  # two names far away from the slot
+        "A Jinja page shows {{ user_name }}. Mustache does so too.": False,
+        f"{plain}\nA template engine such as Jinja fills it in.\nIt may be {{{{ user_name }}}} there.\n{plain}": False,
+        "Run it:\n```\nx = {{ user_name }}\n\nDear [Insert name], welcome.": True,  # a fence left open
+        "Run it:\n```\nx = 1\n\ny = {{ user_name }}\n```\nThat is all.": False,
+        "import page\nfor x in rows:\nreturn page\n<b>{{ user_name }}</b>": False,  # code on most lines
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    found = {r.doc_id for r in residue.with_residue(rows, "doc_id", "text").collect()}
+    assert found == {i for i, case in enumerate(cases.values()) if case}
