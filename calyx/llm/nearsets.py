@@ -506,3 +506,15 @@ def similarity_groups(records: DataFrame, key: str, text: str, threshold: float
     alone = of_rep.join(several, "rep", "left_anti").select(F.col("rep").alias("id"), "cluster_id", "n_links", F.col("best").alias("max_similarity"))
     copies = members.join(several.join(of_rep, "rep"), "rep").select("id", "cluster_id", "n_links", F.lit(1.0).alias("max_similarity"))
     return alone.unionByName(copies)
+
+
+def groups_of_all(records: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``similarity_groups`` with one row for every key that is not null.
+
+    ``max_similarity`` is null where it is only known to lie below the threshold.
+    Keys without a text of ``MIN_CHARS`` characters are compared with none: each is
+    its own cluster, and ``n_links`` is null too.
+    """
+    found = similarity_groups(records, key, text, threshold).withColumn("max_similarity", F.when(F.col("max_similarity") > 0, F.col("max_similarity")))
+    every = records.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct()
+    return every.join(found, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id"))

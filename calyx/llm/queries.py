@@ -100,8 +100,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per slide its group of near-duplicates, and its highest similarity anew."""
-    found = nearsets.similarity_groups(table(spark, sf_dir, "slide_info"), "global_id", "text_content")
+    """Per slide, whatever its text, its group of near-duplicates, and its highest similarity anew."""
+    found = nearsets.groups_of_all(table(spark, sf_dir, "slide_info"), "global_id", "text_content")
     return found.select(
         F.col("id").cast("int").alias("global_id"), F.col("cluster_id").cast("int").alias("cluster_id"), "n_links",
         F.round("max_similarity", 9).alias("max_similarity"),

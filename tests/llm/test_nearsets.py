@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from calyx.llm import nearsets
+from calyx.llm import nearsets, queries
 
 
 def _brute(rows, threshold=0.7):
@@ -60,3 +60,12 @@ def test_very_long_texts(spark):
         other[at] = "z"
     df = spark.createDataFrame([(1, "".join(base)), (2, "".join(other)), (3, "".join(reversed(base)))], "gid int, text string")
     assert {(r.id_a, r.id_b) for r in nearsets.similar_pairs(df, "gid", "text").collect()} == {(1, 2)}
+
+
+def test_every_slide_has_a_group(spark, tmp_path):
+    long = "The quick brown fox jumps over the lazy dog and then runs away again"
+    other = "Nothing here is like that text about animals, so it has no partner at all"
+    rows = [(1, long), (1, long), (2, long.upper() + "!"), (3, None), (4, ""), (5, "short"), (6, "short"), (7, other)]
+    spark.createDataFrame(rows, "global_id int, text_content string").write.parquet(f"{tmp_path}/slide_info.parquet")
+    got = sorted(tuple(r) for r in queries.queries()["p5_groups"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 0, 1.0), (2, 1, 0, 1.0), *[(i, i, None, None) for i in (3, 4, 5, 6)], (7, 7, 0, None)]
