@@ -51,7 +51,7 @@ def graded_rows(rows: DataFrame, doc: str, order: str, cells: str) -> DataFrame:
     return last.select("doc", "term", "level", "_r.ord", "_r.groups")
 
 
-def _merge(boxes: list[tuple], pad: float, most: int) -> list[tuple]:
+def _merge(boxes: list[tuple], pad: float, most: int | None) -> list[tuple]:
     meets = lambda a, b: a[2] >= b[0] and a[0] <= b[2] and a[3] >= b[1] and a[1] <= b[3]
     join = lambda a, b: (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
     waiting = sorted(((x0 - pad, t - pad, x1 + pad, b + pad) for x0, t, x1, b in boxes), key=lambda r: (r[1], r[0]))
@@ -61,7 +61,7 @@ def _merge(boxes: list[tuple], pad: float, most: int) -> list[tuple]:
             grown.remove(hit)
             box = join(box, hit)
         grown.append(box)
-        if len(grown) >= most:
+        if most is not None and len(grown) >= most:
             break
     out: list[tuple] = []
     for box in grown:
@@ -73,8 +73,11 @@ def _merge(boxes: list[tuple], pad: float, most: int) -> list[tuple]:
     return out
 
 
-def merged_boxes(boxes: DataFrame, place: Sequence[str], pad: float = 2.0, most: int = 200) -> DataFrame:
-    """Padded boxes of a page grown together while they meet; at most ``most`` a page, which is the rule's own cap."""
+def merged_boxes(boxes: DataFrame, place: Sequence[str], pad: float = 2.0, most: int | None = None) -> DataFrame:
+    """Padded boxes of a page grown together while they meet.
+
+    With ``most`` the rest of a page is dropped once so many are separate; the reference's default is 200.
+    """
     keys = list(place)
     schema = ", ".join([f"{k} {boxes.schema[k].dataType.simpleString()}" for k in keys] + ["x0 double", "top double", "x1 double", "bottom double"])
 

@@ -150,3 +150,9 @@ def test_folder_totals(spark):
     rows = spark.createDataFrame([("a/b/f", 1, 5), ("a/g", 2, 9), ("h", 4, 1)], "path string, size int, at int")
     got = {r.folder: (r.total_size, r.files, r.latest) for r in keyed.prefix_totals(rows, "path", "size", "at").collect()}
     assert got == {"a": (3, 2, 9), "a/b": (1, 1, 5)}
+
+
+def test_crowded_pages_keep_all_boxes(spark):
+    df = spark.createDataFrame([("d", 1, 10.0 * i, 0.0, 10.0 * i + 1, 1.0) for i in range(250)], "doc string, page int, x0 double, top double, x1 double, bottom double")
+    assert sequences.merged_boxes(df, ["doc", "page"]).count() == 250
+    assert sequences.merged_boxes(df, ["doc", "page"], most=200).count() == 200
