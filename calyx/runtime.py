@@ -6,7 +6,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ class Stage:
     def __init__(self, df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path)
@@ -83,6 +84,21 @@ def _drop_stages() -> None:
         stage.drop()
 
 
+@contextmanager
+def removing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a job are removed when it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write and read back: a lineage cut that survives the loss of executors."""
     return Stage(df, label).df
