@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,10 +47,16 @@ from calyx.llm import components
 RUN = 5
 MIN_CHARS = 40
 THRESHOLD = 0.7
-#: Counters of the cost sketch: 2^21 of one size at any scale, sent as 32 blocks.
-SKETCH_BITS, SKETCH_BLOCKS = 21, 32
+#: Counters of the cost sketch for each text, up to 2^24 counters, and the blocks they are sent in.
+SKETCH_PER_TEXT, SKETCH_MOST_BITS, SKETCH_BLOCKS = 8, 24, 32
 #: Signatures one task gathers, about.
 GROUP_SIGNATURES = 12_000_000
+#: A signature with more holders than this is split over several groups, by pairs of blocks of holders.
+HOT_PARTNERS = 20_000
+#: Pairs found that a worker holds before it hands them on.
+FOUND_PAIRS = 2_000_000
+#: Keys of one text that meet in one task.
+MEMBER_BLOCK = 2_000
 #: Pairs compared at once within a task.
 BLOCK_PAIRS = 200_000
 #: Characters of texts a worker handles at once; a longer text is handled by itself.
@@ -66,25 +72,18 @@ def normalised(text: Column) -> Column:
 
 
 def _segments(hi: int) -> int:
-    """Segments of a band: smaller sets hold rarer runs, so theirs are smaller."""
-    return max(4, int(hi / (1.0 if hi <= 256 else 3.0)))
+    """Segments of a band: about one for each run of its largest set."""
+    return max(4, hi)
 
 
 def _words(hi: int) -> int:
-    """64-bit words of a band's odd sketch: two bits per run, so that it does not fill up."""
-    return max(2, hi // 32)
+    """64-bit words of a band's odd sketch: one bit per run, at most half of which fill up."""
+    return max(2, hi // 64)
 
 
-def _bands_of(size: int, threshold: float) -> list[int]:
-    """Upper edges of the bands a set of this size takes part in."""
-    hi = FIRST_BAND
-    while hi <= size:
-        hi *= 2
-    out = [hi]
-    while hi > FIRST_BAND and size * threshold < hi / 2 + 1e-9:
-        hi //= 2
-        out.append(hi)
-    return out
+def _in_band(size, hi: int, threshold: float):
+    """Whether a set of this size has a similar partner, or is one, whose smaller set is of band ``hi``."""
+    return (size >= (hi // 2 if hi > FIRST_BAND else 0)) & (size * threshold < hi + 1e-9)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,16 +95,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def run_sets(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of up to 65,536 texts: 48-bit hashes, ordered by text and hash,
     the number of the text of each, and the size of each text's set."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    windows = np.maximum(lengths - run + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), windows)
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + first[doc]
-    h = np.zeros(len(doc), dtype=np.uint64)
+    count = max(0, len(codes) - run + 1)
+    h = np.zeros(count, dtype=np.uint64)
     for k in range(run):
-        h = h * _U(0x100000001B3) + codes[at + k] + _U(1)
-    key = np.sort((doc.astype(np.uint64) << _U(48)) | (_mix(h) >> _U(16)))
+        h *= _U(0x100000001B3)
+        h += codes[k : k + count]
+        h += _U(1)
+    h = _mix(h)
+    h >>= _U(16)
+    h |= np.repeat(np.arange(len(texts), dtype=np.uint64) << _U(48), lengths)[:count]
+    inside = np.ones(len(codes), dtype=bool)  # a run that would reach into the next text is none
+    ends = np.cumsum(lengths)
+    for k in range(1, run):
+        inside[np.maximum(ends - k, 0)[ends > 0]] = False
+    key = np.sort(h[inside[:count]])
     if len(key):
         key = key[np.r_[True, key[1:] != key[:-1]]]
     docs = (key >> _U(48)).astype(np.int64)
@@ -113,27 +118,34 @@ def run_sets(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray,
 
 
 class _Band:
-    """The signatures of the texts of a batch that take part in one band."""
+    """The signatures of the texts of a batch that take part in one band.
 
-    def __init__(self, runs: np.ndarray, docs: np.ndarray, sizes: np.ndarray, member: np.ndarray, hi: int):
+    ``full``: one per segment that holds runs; ``less``: one per run of the segments
+    that hold several, each the content without that run.
+    """
+
+    def __init__(self, runs: np.ndarray, docs: np.ndarray, member: np.ndarray, hi: int, neighbours: bool):
         chosen = member[docs]
-        runs, self.doc = runs[chosen], docs[chosen]
-        self.runs = runs
+        self.runs, self.doc = runs[chosen], docs[chosen]
         m = _segments(hi)
-        segment = ((runs >> _U(16)) * _U(m)) >> _U(32)  # order of hashes is order of segments
-        start = np.empty(len(runs), dtype=bool)
+        segment = ((self.runs >> _U(16)) * _U(m)) >> _U(32)  # order of hashes is order of segments
+        start = np.empty(len(segment), dtype=bool)
         start[:1] = True
         start[1:] = (segment[1:] != segment[:-1]) | (self.doc[1:] != self.doc[:-1])
         self.first = np.flatnonzero(start)
-        self.count = np.diff(np.r_[self.first, len(runs)])
-        self.rep = np.repeat(np.arange(len(self.first)), self.count)
-        value = _mix(runs)
-        salt = (segment[self.first] + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(hi)
-        whole = np.add.reduceat(value, self.first) if len(runs) else value
-        self.full = _mix(whole + salt)
-        self.less = _mix((whole + salt)[self.rep] - value)
-        self.many = self.count[self.rep] > 1
+        self.count = np.diff(np.r_[self.first, len(segment)])
+        value = _mix(self.runs)
+        whole = np.add.reduceat(value, self.first) if len(segment) else value
+        whole += (segment[self.first] + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(hi)
+        self.full = _mix(whole)
         self.full_doc = self.doc[self.first]
+        self.several = self.count > 1
+        if neighbours:
+            many = np.repeat(self.several, self.count)
+            sizes = self.count[self.several]
+            self.less = _mix(np.repeat(whole[self.several], sizes) - value[many])
+            self.less_doc = self.doc[many]
+            self.less_first = np.cumsum(sizes) - sizes
 
 
 def _need(sizes: np.ndarray, hi: int, threshold: float) -> np.ndarray:
@@ -142,52 +154,55 @@ def _need(sizes: np.ndarray, hi: int, threshold: float) -> np.ndarray:
     return np.floor((1 - threshold) / (1 + threshold) * (sizes + partner) + 1e-9).astype(np.int64) + 1
 
 
-def _batches(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int, _Band]]:
-    """(ids, sizes, upper edge, band) of every band of a batch, in parts of bounded size."""
-    step, start, total = [], 0, 0
+def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """``pdf`` in parts of bounded size."""
+    start = total = 0
     for i, n in enumerate(pdf["text"].str.len()):
         total += n
         if total > BATCH_CHARS or i - start >= 20_000:
-            step.append((start, i + 1))
+            yield pdf.iloc[start : i + 1]
             start, total = i + 1, 0
-    step.append((start, len(pdf)))
-    for a, b in step:
-        if a == b:
-            continue
-        part = pdf.iloc[a:b]
-        runs, docs, sizes = run_sets(list(part["text"]))
-        ids = part["rep"].to_numpy()
-        edges: dict[int, list[int]] = {}
-        for size in np.unique(sizes):
-            for hi in _bands_of(int(size), threshold):
-                edges.setdefault(hi, []).append(size)
-        for hi, of in sorted(edges.items()):
-            member = np.isin(sizes, of)
-            yield ids, sizes, hi, _Band(runs, docs, sizes, member, hi)
-
-
-def _count_signatures(threshold: float):
+    if start < len(pdf):
+        yield pdf.iloc[start:]
+
+
+COUNTED = "kind string, number long, size int, data binary, text string"
+
+
+def _count_signatures(threshold: float, bits: int):
+    """Every text with the size of its set, and the cost sketch: how many segments
+    have a content of each hash, whoever holds them."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        table = np.zeros(1 << bits, dtype=np.uint32)
         made: dict[int, int] = {}
-        shift = _U(64 - SKETCH_BITS)
+        shift = _U(64 - bits)
         for pdf in batches:
-            for ids, sizes, hi, band in _batches(pdf, threshold):
-                table += np.bincount((band.full >> shift).astype(np.int64), minlength=len(table))
-                table += np.bincount((band.less[band.many] >> shift).astype(np.int64), minlength=len(table))
-                made[hi] = made.get(hi, 0) + len(band.full) + int(band.many.sum())
-                weight = np.bincount(band.full_doc, minlength=len(sizes)) + np.bincount(band.full_doc[band.count > 1], minlength=len(sizes))
-                inside = np.unique(band.doc)
-                lone = inside[weight[inside] < _need(sizes, hi, threshold)[inside]]
-                if len(lone):
-                    yield pd.DataFrame({"kind": "lone", "number": ids[lone].astype("int64"), "data": None})
+            for part in _parts(pdf):
+                runs, docs, sizes = run_sets(list(part["text"]))
+                lone = np.zeros(len(part), dtype=bool)
+                hi = FIRST_BAND
+                while hi / 2 <= sizes.max(initial=0):
+                    member = _in_band(sizes, hi, threshold)
+                    if member.any():
+                        band = _Band(runs, docs, member, hi, False)
+                        at, n = np.unique((band.full >> shift).astype(np.int64), return_counts=True)
+                        table[at] += n.astype(np.uint32)
+                        made[hi] = made.get(hi, 0) + len(band.full) + int(band.count[band.several].sum())
+                        weight = np.bincount(band.full_doc, minlength=len(sizes)) + np.bincount(band.full_doc[band.several], minlength=len(sizes))
+                        lone |= member & (weight < _need(sizes, hi, threshold))
+                    hi *= 2
+                yield pd.DataFrame({
+                    "kind": np.where(lone, "lone", "text"), "number": part["rep"].to_numpy(), "size": sizes.astype("int32"),
+                    "data": None, "text": part["text"].to_numpy(),
+                })
         for hi, n in made.items():
-            yield pd.DataFrame({"kind": ["made"], "number": [hi], "data": [struct.pack("<q", n)]})
+            yield pd.DataFrame({"kind": ["made"], "number": [hi], "size": [0], "data": [struct.pack("<q", n)], "text": [None]})
         block = len(table) // SKETCH_BLOCKS
         for i in range(SKETCH_BLOCKS):
-            part = np.minimum(table[i * block : (i + 1) * block], 255).astype(np.uint8)
+            part = table[i * block : (i + 1) * block]
             if part.any():
-                yield pd.DataFrame({"kind": ["block"], "number": [i], "data": [zlib.compress(part.tobytes(), 1)]})
+                yield pd.DataFrame({"kind": ["block"], "number": [i], "size": [0], "data": [zlib.compress(part.tobytes(), 1)], "text": [None]})
 
     return count
 
@@ -196,80 +211,96 @@ def _add_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[tuple[str, int], np.ndarray | int] = {}
     for pdf in batches:
         for kind, number, data in zip(pdf["kind"], pdf["number"], pdf["data"]):
-            new = np.frombuffer(zlib.decompress(data), dtype=np.uint8).astype(np.uint32) if kind == "block" else struct.unpack("<q", data)[0]
+            new = np.frombuffer(zlib.decompress(data), dtype=np.uint32).astype(np.int64) if kind == "block" else struct.unpack("<q", data)[0]
             sums[kind, number] = sums.get((kind, number), 0) + new
     for (kind, number), total in sums.items():
-        data = zlib.compress(total.tobytes(), 1) if kind == "block" else struct.pack("<q", total)
+        data = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) if kind == "block" else struct.pack("<q", total)
         yield pd.DataFrame({"kind": [kind], "number": [number], "data": [data]})
 
 
-def _emit_signatures(threshold: float, table, groups: dict[int, tuple[int, int]]):
-    """Blobs of signatures by group; ``groups``: of each band the first and the number."""
+def _emit_signatures(threshold: float, table, bits: int, hi: int, number: int, most: int):
+    """Blobs of the signatures of band ``hi``, by one of ``number`` groups."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         costs = table.value
-        shift, low = _U(64 - SKETCH_BITS), _U(0xFFFF)
+        shift, low, far = _U(64 - bits), _U(0xFFFF), _U((1 << 44) - 1)
+
+        def cost(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            count = costs[(s >> shift).astype(np.int64)]
+            return np.minimum((count.astype(np.uint64) << _U(16)) | ((s >> _U(8)) & low), far), count
+
         for pdf in batches:
-            for ids, sizes, hi, band in _batches(pdf, threshold):
-                cost = lambda s: (costs[(s >> shift).astype(np.int64)].astype(np.uint64) << _U(16)) | (s >> _U(8)) & low
-                full_cost, less_cost = cost(band.full), cost(band.less)
-                far = _U((1 << 48) - 1)
-                less_cost[~band.many] = far
-                whole = np.maximum(np.maximum.reduceat(less_cost, band.first), full_cost) if len(band.first) else full_cost
-                both = band.count > 1
-                by = band.full_doc.astype(np.uint64) << _U(48)
-                steps = np.sort(np.r_[by | np.minimum(full_cost, far), (by | np.minimum(whole, far))[both]])
-                begin = np.searchsorted(steps, np.arange(len(sizes), dtype=np.uint64) << _U(48))
+            for part in _parts(pdf):
+                runs, docs, sizes = run_sets(list(part["text"]))
+                ids = part["number"].to_numpy()
+                band = _Band(runs, docs, np.ones(len(part), dtype=bool), hi, True)
+                (full_cost, full_count), (less_cost, less_count) = cost(band.full), cost(band.less)
+                several = band.several
+                both = np.maximum(np.maximum.reduceat(less_cost, band.less_first), full_cost[several]) if several.any() else full_cost[:0]
+                by = band.full_doc.astype(np.uint64) << _U(44)
+                steps = np.sort(np.r_[by | full_cost, by[several] | both])
+                begin = np.searchsorted(steps, np.arange(len(sizes), dtype=np.uint64) << _U(44))
                 last = np.r_[begin[1:], len(steps)] - 1
                 at = np.minimum(begin + _need(sizes, hi, threshold) - 1, last)
-                limit = steps[np.clip(at, 0, max(0, len(steps) - 1))] & far if len(steps) else np.zeros(len(sizes), np.uint64)
-                keep_full = full_cost <= limit[band.full_doc]
-                keep_less = band.many & (less_cost <= limit[band.doc])
-                yield from _blobs(ids, sizes, hi, band, keep_full, keep_less, groups[hi])
+                limit = steps[np.clip(at, 0, len(steps) - 1)] & far
+                sides = []
+                for signature, doc, price, count in ((band.full, band.full_doc, full_cost, full_count), (band.less, band.less_doc, less_cost, less_count)):
+                    kept = price <= limit[doc]
+                    sides.append(_placed(signature[kept], doc[kept], count[kept], ids, number, most))
+                yield from _blobs(ids, sizes, hi, band, sides, number)
 
     return emit
 
 
-def _three_bytes(signature: np.ndarray) -> np.ndarray:
-    """The low 24 bits: a group has fewer signatures than that has values, and chance
-    partners are dropped with all others that are not similar."""
-    return signature.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
+def _placed(signature: np.ndarray, doc: np.ndarray, count: np.ndarray, ids: np.ndarray, number: int, most: int) -> np.ndarray:
+    """Group, text and low 24 bits of each signature, ordered.
 
-
-def _blobs(ids, sizes, hi, band, keep_full, keep_less, group) -> Iterator[pd.DataFrame]:
-    begin, number = group
+    A group has fewer signatures than 24 bits have values, and chance partners are
+    dropped with all others that are not similar. A signature with more than
+    ``most`` holders is not left to one group: its holders are cut into blocks
+    by id, and each goes to the groups of the pairs of blocks that hold its own.
+    """
+    group = (signature >> _U(32)) % _U(number)
+    key = (group << _U(44)) | (doc.astype(np.uint64) << _U(24)) | (signature & _U(0xFFFFFF))
+    hot = np.flatnonzero(count > most)
+    if len(hot):
+        more = []
+        parts = -(-count[hot].astype(np.int64) // most)
+        for blocks in np.unique(parts):
+            of = hot[parts == blocks]
+            own = (_mix(ids[doc[of]].astype(np.uint64)) % _U(blocks)).astype(np.uint64)
+            for other in range(int(blocks)):
+                low, high = np.minimum(own, _U(other)), np.maximum(own, _U(other))
+                place = _mix(signature[of] + low * _U(0x9E3779B97F4A7C15) + high * _U(0xC2B2AE3D27D4EB4F)) % _U(number)
+                more.append((place << _U(44)) | (key[of] & _U((1 << 44) - 1)))
+        key = np.concatenate([np.delete(key, hot), *more])
+    return np.sort(key)
+
+
+def _blobs(ids, sizes, hi, band, sides, number) -> Iterator[pd.DataFrame]:
     width = _words(hi)
     bit = (band.runs >> _U(3)) % _U(64 * width)
     flat = band.doc * width + (bit >> _U(6)).astype(np.int64)
     sketch = np.zeros(len(sizes) * width, dtype=np.uint64)
     np.bitwise_xor.at(sketch, flat, _U(1) << (bit & _U(63)))
     sketch = sketch.reshape(len(sizes), width)
-    order, docs, sigs, buckets = [], [], [], []
-    for keep, signature, doc in ((keep_full, band.full, band.full_doc), (keep_less, band.less, band.doc)):
-        s, d = signature[keep], doc[keep]
-        b = ((s >> _U(32)) % _U(number)).astype(np.int64)
-        o = np.argsort((b << 20) | d, kind="stable")
-        order.append(o)
-        docs.append(d[o])
-        sigs.append(_three_bytes(s[o]))
-        buckets.append(b[o])
-    edges = [np.searchsorted(b, np.arange(number + 1)) for b in buckets]
+    edges = [np.searchsorted(key, np.arange(number + 1, dtype=np.uint64) << _U(44)) for key in sides]
     for g in range(number):
-        parts = [slice(e[g], e[g + 1]) for e in edges]
-        d = [x[p] for x, p in zip(docs, parts)]
-        present = np.unique(np.concatenate(d))
+        parts = [key[e[g] : e[g + 1]] for key, e in zip(sides, edges)]
+        counts = [np.bincount(((p >> _U(24)) & _U(0xFFFFF)).astype(np.int64), minlength=len(sizes)) for p in parts]
+        present = np.flatnonzero(counts[0] + counts[1])
         if not len(present):
             continue
-        counts = [np.bincount(np.searchsorted(present, x), minlength=len(present)).astype(np.uint32) for x in d]
         data = b"".join((
-            struct.pack("<qqqq", len(present), width, len(d[0]), len(d[1])), ids[present].astype(np.int64).tobytes(),
-            sizes[present].astype(np.int32).tobytes(), counts[0].tobytes(), counts[1].tobytes(),
-            sketch[present].tobytes(), sigs[0][parts[0]].tobytes(), sigs[1][parts[1]].tobytes(),
+            struct.pack("<qqqq", len(present), width, len(parts[0]), len(parts[1])), ids[present].astype(np.int64).tobytes(),
+            sizes[present].astype(np.int32).tobytes(), *(c[present].astype(np.uint32).tobytes() for c in counts), sketch[present].tobytes(),
+            *(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes() for p in parts),
         ))
-        yield pd.DataFrame({"grp": [begin + g], "hi": [hi], "data": [data]})
+        yield pd.DataFrame({"grp": [g], "data": [data]})
 
 
 def _read_blobs(blobs: list[bytes]):
+    """Ids, sizes and sketches in the order of sizes, and of both kinds of signature the 24 bits and the holders."""
     ids, sizes, sketches, full, less = [], [], [], ([], []), ([], [])
     base = 0
     for blob in blobs:
@@ -290,16 +321,41 @@ def _read_blobs(blobs: list[bytes]):
             wide = np.zeros((total, 4), dtype=np.uint8)
             wide[:, :3] = take(np.uint8, 3 * total).reshape(total, 3)
             sig.append(wide.view(np.uint32).reshape(-1))
-            doc.append(np.repeat(np.arange(base, base + n), counts))
+            doc.append(np.repeat(np.arange(base, base + n, dtype=np.uint32), counts))
         base += n
     sizes_all = np.concatenate(sizes)
     order = np.argsort(sizes_all, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    keys = []
-    for sig, doc in (full, less):
-        keys.append(np.sort((np.concatenate(sig).astype(np.uint64) << _U(26)) | place[np.concatenate(doc)].astype(np.uint64)))
-    return np.concatenate(ids)[order], sizes_all[order], np.concatenate(sketches)[order], *keys
+    place = np.empty(len(order), dtype=np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    holders = [(np.concatenate(sig), place[np.concatenate(doc)]) for sig, doc in (full, less)]
+    return np.concatenate(ids)[order], sizes_all[order], np.concatenate(sketches)[order], *holders
+
+
+def _met(full: tuple[np.ndarray, np.ndarray], less: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that have a partner, each with its holder, ordered: those held in full, and the others."""
+    (fs, fd), (ls, ld) = full, less
+    last = np.zeros(1 << 24, dtype=np.uint32)
+    last[fs] = np.arange(1, len(fs) + 1, dtype=np.uint32)
+    other = ls[kept := last[ls] > 0], ld[kept]
+    twice = np.zeros(1 << 24, dtype=bool)
+    twice[fs[last[fs] != np.arange(1, len(fs) + 1, dtype=np.uint32)]] = True
+    twice[other[0]] = True
+    own = fs[kept := twice[fs]], fd[kept]
+    keyed = [(s.astype(np.uint64) << _U(26)) | d for s, d in (own, other)]
+    for key in keyed:
+        key.sort()
+    return keyed[0], keyed[1]
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row of words."""
+    counts = np.bitwise_count(x)
+    if counts.shape[1] % 8:
+        return counts.sum(axis=1, dtype=np.int64)
+    lanes = counts.view(np.uint64)  # eight counts of up to 64 in a word: added in lanes of 16 bits
+    total = (lanes & _U(0x00FF00FF00FF00FF)) + ((lanes >> _U(8)) & _U(0x00FF00FF00FF00FF))
+    total = (total * _U(0x0001000100010001)) >> _U(48)
+    return (total[:, 0] if total.shape[1] == 1 else total.sum(axis=1)).astype(np.int64)
 
 
 def _ranges(left: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -333,39 +389,44 @@ def _match_groups(threshold: float):
                 groups.setdefault(g, []).append(data)
         while groups:
             _, blobs = groups.popitem()
-            ids, sizes, sketch, full, less = _read_blobs(blobs)
+            ids, sizes, sketch, *held = _read_blobs(blobs)
+            del blobs
+            full, less = _met(*held)
+            del held
             mask = _U((1 << 26) - 1)
-            half = sketch.shape[1] // 2  # half a sketch is enough to drop most pairs
-            front, back = np.ascontiguousarray(sketch[:, :half]), np.ascontiguousarray(sketch[:, half:])
             least = np.searchsorted(sizes, np.ceil(sizes * threshold - 1e-9)).astype(np.uint64)
             most = np.searchsorted(sizes, np.floor(sizes / threshold + 1e-9), side="right").astype(np.uint64)
             place = (full & mask).astype(np.int64)
-            found = []
-            own, theirs = full & ~mask, less & ~mask
             spot = (less & mask).astype(np.int64)
+            own, theirs = full & ~mask, less & ~mask
             jobs = (
                 (place, np.arange(1, len(full) + 1), np.searchsorted(full, own | most[place])),
                 (spot, np.searchsorted(full, theirs | least[spot]), np.searchsorted(full, theirs | most[spot])),
             )
+            found, waiting = [], 0
             for left, lo, hi in jobs:
                 for a, j in _ranges(left, lo, hi):
                     b = place[j]
-                    most_apart = ratio * (sizes[a] + sizes[b]) + 1e-9
-                    apart = np.bitwise_count(front[a] ^ front[b]).sum(axis=1, dtype=np.int64)
-                    near = np.flatnonzero((apart <= most_apart) & (a != b))
-                    x, y = a[near], b[near]
-                    apart = apart[near] + np.bitwise_count(back[x] ^ back[y]).sum(axis=1, dtype=np.int64)
-                    near = apart <= most_apart[near]
-                    if near.any():
-                        found.append(np.unique((np.minimum(x, y)[near] << 26) | np.maximum(x, y)[near]))
+                    near = np.flatnonzero((_bits(sketch[a] ^ sketch[b]) <= ratio * (sizes[a] + sizes[b]) + 1e-9) & (a != b))
+                    if len(near):
+                        x, y = a[near], b[near]
+                        found.append(np.unique((np.minimum(x, y) << 26) | np.maximum(x, y)))
+                        waiting += len(found[-1])
+                    if waiting > FOUND_PAIRS:
+                        yield _pairs(found, ids)
+                        found, waiting = [], 0
             if found:
-                pairs = np.unique(np.concatenate(found))
-                x, y = ids[pairs >> 26], ids[pairs & ((1 << 26) - 1)]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                yield _pairs(found, ids)
 
     return match
 
 
+def _pairs(found: list[np.ndarray], ids: np.ndarray) -> pd.DataFrame:
+    pairs = np.unique(np.concatenate(found))
+    x, y = ids[pairs >> 26], ids[pairs & ((1 << 26) - 1)]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
 def _verify(threshold: float, run: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -413,75 +474,110 @@ def _lone_pairs(reps: DataFrame, lone: DataFrame, threshold: float) -> DataFrame
     return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
 
 
-def text_classes(records: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def text_classes(records: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, list[runtime.Stage]]:
     """Texts of at least ``min_chars`` normalised characters.
 
     Representatives ``rep, text``, one per different normalised text (the smallest
-    key), and members ``id, rep`` of all keys. Rows with a null key or text are
-    left out, repeated rows count once.
+    key); members ``id, rep`` of the keys of texts that several rows hold; and the
+    stages both are read from. Rows with a null key or text are left out, repeated
+    rows count once.
     """
-    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+    found = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("id"), normalised(F.col(text)).alias("text")
     ).where(F.char_length("text") >= min_chars).withColumn("hash", F.unhex(F.md5("text")))
-    classes = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    stage = runtime.cut(classes, "texts")
-    copied = stage.where("n > 1").select("hash", "rep", "n")
-    total = int(stage.agg(F.max("n")).first()[0] or 0)
+    stage = runtime.Stage(found, "texts")
+    rows = stage.df
+    reps = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.first("text").alias("text")).select("rep", "text")
+    copied = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = runtime.Stage(copied, "copied")
+    hot_rows = runtime.hot_threshold(rows.count())
     own = rows.select("id", "hash")
-    if total > runtime.HOT_ROWS:  # copies of a hot text reach it by a broadcast of bounded size
-        hot = copied.where(F.col("n") > runtime.HOT_ROWS)
-        cool = own.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(copied.where(F.col("n") <= runtime.HOT_ROWS), "hash")
-        members = own.join(F.broadcast(hot), "hash").unionByName(cool)
-    else:
-        members = own.join(copied, "hash")
-    return stage.select("rep", "text"), members.select("id", "rep").distinct()
+    members = own.join(held.df.where(F.col("n") <= hot_rows), "hash")
+    if held.df.where(F.col("n") > hot_rows).limit(1).count():  # copies of a hot text reach it by a broadcast of bounded size
+        hot = F.broadcast(held.df.where(F.col("n") > hot_rows))
+        cool = own.join(hot, "hash", "left_anti").join(held.df.where(F.col("n") <= hot_rows), "hash")
+        members = own.join(hot, "hash").unionByName(cool)
+    return reps, members.select("id", "rep").distinct(), [stage, held]
 
 
-def similar_representatives(reps: DataFrame, threshold: float = THRESHOLD, run: int = RUN) -> DataFrame:
-    """``a, b, similarity`` of all pairs of representatives at or above the threshold."""
-    if run != RUN:
-        raise ValueError(f"runs have {RUN} characters")
-    spark = reps.sparkSession
-    counted = reps.mapInPandas(_count_signatures(threshold), "kind string, number long, data binary")
-    seen = runtime.Stage(counted, "signature-counts")
-    lone = seen.df.where("kind = 'lone'").select(F.col("number").alias("rep")).distinct()
-    sums = seen.df.where("kind != 'lone'").repartition(SKETCH_BLOCKS, "kind", "number").mapInPandas(_add_blocks, seen.df.schema)
-    table = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+def _cost_table(counted: DataFrame, bits: int) -> tuple[np.ndarray, dict[int, int]]:
+    """The cost sketch, and of every band the signatures that could be made.
+
+    The driver gets 32 blocks of a sketch of bounded size, and one number per band.
+    """
+    sums = counted.where("data is not null").select("kind", "number", "data")
+    sums = sums.repartition(SKETCH_BLOCKS, "kind", "number").mapInPandas(_add_blocks, "kind string, number long, data binary")
+    table = np.zeros(1 << bits, dtype=np.uint32)
     made: dict[int, int] = {}
     block = len(table) // SKETCH_BLOCKS
-    for kind, number, data in sums.collect():  # 32 blocks of fixed size, and one number per band
+    for kind, number, data in sums.collect():
         if kind == "block":
             table[number * block : (number + 1) * block] = np.frombuffer(zlib.decompress(bytes(data)), dtype=np.uint32)
         else:
             made[number] = made.get(number, 0) + struct.unpack("<q", bytes(data))[0]
-    if not made:
-        seen.drop()
-        return spark.createDataFrame([], "a long, b long, similarity double")
-    groups, begin = {}, 0
-    for hi, n in sorted(made.items()):
-        number = max(1, -(-n * 3 // (4 * GROUP_SIGNATURES)))
-        groups[hi] = (begin, number)
-        begin += number
-    held = spark.sparkContext.broadcast(table)
-    blobs = reps.mapInPandas(_emit_signatures(threshold, held, groups), "grp int, hi int, data binary")
-    met = blobs.repartition(begin, "grp").mapInPandas(_match_groups(threshold), "a long, b long")
-    if lone.limit(1).count():
-        met = met.unionByName(_lone_pairs(reps, lone, threshold))
-    pairs = runtime.cut(met.distinct(), "candidates")
-    texts_a, texts_b = reps.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), reps.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(texts_a, "a").join(texts_b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInPandas(_verify(threshold, run), "a long, b long, similarity double")
+    return table, made
+
+
+def similar_representatives(reps: DataFrame, threshold: float = THRESHOLD, run: int = RUN, used: Sequence[runtime.Stage] = (), most: int = HOT_PARTNERS) -> runtime.Stage:
+    """``a, b, similarity`` of all pairs of representatives at or above the threshold.
+
+    Bands are worked through one after another, and what a band shuffles is removed
+    once its candidates are written, so that the disk in use is that of one band.
+    ``used``: stages that ``reps`` is read from, dropped once they aren't needed.
+    ``most``: holders of a signature beyond which it is split over groups.
+    """
+    if run != RUN:
+        raise ValueError(f"runs have {RUN} characters")
+    spark = reps.sparkSession
+    bits = min(SKETCH_MOST_BITS, max(16, (SKETCH_PER_TEXT * reps.count()).bit_length()))
+    with runtime.removing_shuffles(spark):
+        seen = runtime.Stage(reps.mapInPandas(_count_signatures(threshold, bits), COUNTED), "signature-counts")
+        for stage in used:
+            stage.drop()
+        table, made = _cost_table(seen.df, bits)
+        texts = seen.df.where("data is null")
+        held = spark.sparkContext.broadcast(table)
+        met = []
+        for hi, n in sorted(made.items()):
+            number = max(1, -(-n * 3 // (4 * GROUP_SIGNATURES)))
+            inside = texts.where(_in_band(F.col("size"), hi, threshold)).select("number", "text")
+            blobs = inside.mapInPandas(_emit_signatures(threshold, held, bits, hi, number, most), "grp int, data binary")
+            pairs = blobs.repartition(number, "grp").mapInPandas(_match_groups(threshold), "a long, b long").distinct()
+            met.append(runtime.Stage(pairs, "candidates"))
+        lone = texts.where("kind = 'lone'").select(F.col("number").alias("rep"))
+        if lone.limit(1).count():
+            met.append(runtime.Stage(_lone_pairs(texts.select(F.col("number").alias("rep"), "text"), lone, threshold).distinct(), "candidates"))
+        both = spark.createDataFrame([], "a long, b long")
+        for stage in met:
+            both = both.unionByName(stage.df)
+        for side in "ab":
+            both = both.join(texts.select(F.col("number").alias(side), F.col("text").alias(f"text_{side}")), side)
+        verified = both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(threshold, run), "a long, b long, similarity double")
+        linked = runtime.Stage(verified.distinct(), "links")
+        for stage in (seen, *met):
+            stage.drop()
+        held.destroy()
+    return linked
 
 
 def similar_pairs(records: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``id_a, id_b`` of all pairs of different keys whose texts are similar, copies included."""
-    reps, members = text_classes(records, key, text)
-    linked = similar_representatives(reps, threshold).select("a", "b")
-    sides = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = linked.join(sides[0], "a", "left").join(sides[1], "b", "left").select(
-        F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")
-    )
-    twins = members.select(F.col("id").alias("x"), "rep").join(members.select(F.col("id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
+    """``id_a, id_b`` of all pairs of different keys whose texts are similar, copies included.
+
+    Copies of one text meet by blocks of members, so that a text held by many keys
+    is spread over many tasks.
+    """
+    reps, members, stages = text_classes(records, key, text)
+    members = runtime.Stage(members, "members")
+    linked = similar_representatives(reps, threshold, used=stages).df.select("a", "b")
+    x = members.df.select(F.col("rep").alias("a"), F.col("id").alias("x"))
+    y = members.df.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = linked.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    sizes = runtime.cut(members.df.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("blocks")), "member-blocks")
+    placed = members.df.join(sizes, "rep").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    every = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = every.select("rep", F.col("id").alias("x"), "block", "other")
+    right = every.select("rep", F.col("id").alias("y"), F.col("other").alias("block"), F.col("block").alias("other"))
+    twins = left.join(right, ["rep", "block", "other"]).where("x < y").select("x", "y")
     found = across.unionByName(twins).where("x != y")
     return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
@@ -494,12 +590,14 @@ def similarity_groups(records: DataFrame, key: str, text: str, threshold: float
     is the highest similarity to another key's text (1 for copies, else that of the
     pairs found; 0 without any). Keys with too short a text are left out.
     """
-    reps, members = text_classes(records, key, text)
-    linked = runtime.cut(similar_representatives(reps, threshold), "links")
+    reps, members, stages = text_classes(records, key, text)
+    members = runtime.cut(members, "members")
+    every = runtime.cut(reps.select("rep"), "representatives")
+    linked = similar_representatives(reps, threshold, used=stages).df
     each = linked.select(F.col("a").alias("rep"), "similarity").unionByName(linked.select(F.col("b").alias("rep"), "similarity"))
     links = each.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("best"))
     clusters = components.connected_components(linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    of_rep = reps.select("rep").join(links, "rep", "left").join(clusters.withColumnRenamed("id", "rep"), "rep", "left").select(
+    of_rep = every.join(links, "rep", "left").join(clusters.withColumnRenamed("id", "rep"), "rep", "left").select(
         "rep", F.coalesce("component", "rep").alias("cluster_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("best", F.lit(0.0)).alias("best")
     )
     several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("ids")).where("ids > 1")

@@ -44,12 +44,34 @@ def test_copies_nulls_and_short_texts(spark):
     assert groups[1][0] == groups[2][0] == groups[6][0] == 1 and groups[1][2] == 1.0 and groups[6][1] == 1 and groups[9] == (8, 1, 1.0)
 
 
-def test_texts_without_enough_segments(spark, monkeypatch):
-    monkeypatch.setattr(nearsets, "_segments", lambda hi: 4)  # too few for any text: all go through single runs
+def _reps(spark, rows):
+    norm = [(i, "".join(c for c in t.lower() if c.isalnum())) for i, t in rows]
+    return spark.createDataFrame(list({t: (i, t) for i, t in reversed(norm) if len(t) >= 40}.values()), "rep long, text string")
+
+
+def test_texts_without_enough_segments(spark):
     rows = _texts(3, 25)
-    df = spark.createDataFrame(rows, "gid int, text string")
+    reps = _reps(spark, rows)
+    met = {(r.a, r.b) for r in nearsets._lone_pairs(reps, reps.select("rep"), 0.7).collect()}  # all go through single runs
+    ids = {r.rep for r in reps.collect()}
+    wanted = {p for p in _brute(rows) if set(p) <= ids}
+    assert wanted and wanted <= met
+
+
+def test_hot_signatures_are_split_without_losing_a_pair(spark):
+    rows = _texts(4, 40)
+    reps = _reps(spark, rows)
+    got = {(r.a, r.b) for r in nearsets.similar_representatives(reps, most=2).df.collect()}
+    ids = {r.rep for r in reps.collect()}
+    assert got == {p for p in _brute(rows) if set(p) <= ids} and got
+
+
+def test_copies_of_one_text_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearsets, "MEMBER_BLOCK", 3)
+    text = "one text that many keys hold, long enough to be compared with others"
+    df = spark.createDataFrame([(i, text) for i in range(20)], "gid int, text string")
     got = {(r.id_a, r.id_b) for r in nearsets.similar_pairs(df, "gid", "text").collect()}
-    assert got == _brute(rows) and got
+    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20)}
 
 
 def test_very_long_texts(spark):
