@@ -1,14 +1,18 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead.
 
-A text is read in chunks. The pre-tokenising pattern cuts it into pieces; the last
-matches of a chunk, which later text could still change, wait for the next chunk.
-Inside a piece the encoder keeps, for each of the last few byte positions, the one
-token that ends there in the encoding of the prefix (a token may follow another
-exactly if the pair encodes to itself). Those tokens form back-pointer paths. As
-soon as all paths that can still be extended run through the same boundary, no
-later byte can change what lies before it: the tokens up to there are emitted and
-forgotten. Memory is bounded by the lookahead the merge list needs, not by the
-length of the text, and the work is linear in it.
+A text is read in chunks. The pre-tokenising pattern cuts it into pieces; a run of
+one kind of character that reaches the end of a chunk goes on in the next one, and
+its characters are handed to the transducer as they come. Inside a piece the
+encoder keeps, for each of the last few byte positions, the one token that ends
+there in the encoding of the prefix (a token may follow another exactly if the pair
+encodes to itself). Those tokens form back-pointer paths. The merge list gives the
+lookahead: how far to the right a byte can lie that still changes a merge, over
+chains of merges each of which an earlier one to its right prevents or allows.
+Each time so many further bytes were read the paths are walked back; where all that
+can still be extended run through one boundary, no later byte can change what lies
+before it: the tokens up to there are emitted and forgotten. Memory is bounded by
+the lookahead and the longest token, not by the length of the text or piece, and
+the work is linear in it.
 
 Decoding is an incremental state machine: bytes of tokens go through a UTF-8
 decoder that carries an unfinished character from one token to the next.
@@ -19,6 +23,7 @@ from __future__ import annotations
 import base64
 import codecs
 import os
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,8 +42,8 @@ CHUNK = 1 << 16
 TAIL = 3
 #: Pieces up to this many bytes are remembered, and so many of them.
 MEMO_BYTES, MEMO_SIZE = 64, 200_000
-#: A stable boundary is looked for each time so many further bytes were read.
-FLUSH_EVERY = 256
+#: A run of so many characters that reaches the end of a chunk is handed on before it ends.
+OPEN_AT = 1 << 10
 
 
 class Transducer:
@@ -56,6 +61,9 @@ class Transducer:
         self._follows: dict[tuple[int, int], bool] = {}
         self._memo: dict[str, tuple[int, ...]] = {}
         self._trie = self._suffix_trie()
+        self.lookahead = self._lookahead()
+        #: What a run goes on with, by the kind of its last character.
+        self._more = [(regex.compile(c), regex.compile(c + "*")) for c in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]")]
 
     def _merges(self) -> dict[int, tuple[int, int]]:
         """The two tokens each token was merged from; a single byte stands for itself.
@@ -88,12 +96,41 @@ class Transducer:
             node[None] = rank
         return root
 
-    @property
-    def lookahead_bound(self) -> int:
-        """Bytes of lookahead that always suffice: merges times the longest token.
+    def _lookahead(self) -> int:
+        """Bytes to the right of a merge that can decide whether it is made.
 
-        What a text needs is far less; the encoder finds that from the text itself.
+        A merge (a, b) depends on an earlier merge (s, c) to its right if s is b, or
+        a part at the right end of b, and (s, c) would take s before it is merged
+        into what becomes b. The later merge can in turn depend on what prevents the
+        earlier one, so the lookahead is the longest such chain, in bytes of the
+        c's. Ranks fall along a chain; merges are worked through by rising rank.
         """
+        size = {t: len(b) for t, b in self.token_bytes.items()}
+        ranks: dict[int, list[int]] = {}  # by left part: the merges it takes part in, and the most bytes up to each
+        reach: dict[int, list[int]] = {}
+        most = 0
+        for merge in sorted(self._split):
+            a, b = self._split[merge]
+            if a == merge:
+                continue
+            need, before, part = 0, merge, b
+            while True:
+                at = bisect_left(ranks.get(part, ()), before)
+                if at:
+                    need = max(need, reach[part][at - 1])
+                left, right = self._split[part]
+                if left == part:
+                    break
+                before, part = part, right
+            own = size[b] + need
+            ranks.setdefault(a, []).append(merge)
+            reach.setdefault(a, []).append(max(own, reach[a][-1] if reach.get(a) else 0))
+            most = max(most, own)
+        return most
+
+    @property
+    def lookahead_bound(self) -> int:
+        """Bytes that suffice whatever the merges: their number times the longest token."""
         return len(self._pairs) * self.longest
 
     def follows(self, left: int, right: int) -> bool:
@@ -136,95 +173,76 @@ class Transducer:
         if whole is not None:
             yield whole
             return
-        trie, follows, longest = self._trie, self.follows, self.longest
-        # ends[i]: token that ends at byte base + i in the encoding of that prefix
-        base, ends, lengths = 0, [-1], [0]
-        since = 0
-        for at in range(len(data)):
-            node, back = trie, at
-            chosen, size = -1, 0
-            here = at + 1 - base
-            while True:
-                node = node.get(data[back])
-                if node is None:
-                    break
-                token = node.get(None)
-                if token is not None:
-                    start = back - base
-                    if start < 0:
-                        break
-                    before = ends[start]
-                    if start == 0 and base == 0 or before >= 0 and follows(before, token):
-                        chosen, size = token, here - start
-                        break
-                back -= 1
-                if back < base:
-                    break
-            ends.append(chosen)
-            lengths.append(size)
-            since += 1
-            if since >= FLUSH_EVERY and at + 1 < len(data):
-                since = 0
-                stable = self._stable(lengths, longest)
-                if stable > 0:
-                    yield from self._walk(ends, lengths, stable)
-                    base, ends, lengths = base + stable, ends[stable:], lengths[stable:]
-        yield from self._walk(ends, lengths, len(ends) - 1)
-
-    @staticmethod
-    def _walk(ends: list[int], lengths: list[int], upto: int) -> list[int]:
-        out = []
-        while upto > 0:
-            out.append(ends[upto])
-            upto -= lengths[upto]
-        return out[::-1]
-
-    @staticmethod
-    def _stable(lengths: list[int], longest: int) -> int:
-        """The last boundary through which the paths of all open positions run.
-
-        The next token may begin at any of the last ``longest`` positions. The
-        paths are walked back, the furthest first, until one boundary is left.
-        """
-        last = len(lengths) - 1
-        heads = {p for p in range(max(0, last - longest + 1), last + 1) if lengths[p] or p == 0}
-        while len(heads) > 1:
-            far = max(heads)
-            heads.discard(far)
-            heads.add(far - lengths[far])
-        return heads.pop()
-
-    def pieces(self, chunks: Iterable[str]) -> Iterator[str]:
-        """The pattern's matches over the joined chunks, with a bounded wait."""
-        held = ""
+        path = _Path(self)
+        yield from path.feed(data)
+        yield from path.rest()
+
+    def pieces(self, chunks: Iterable[str]) -> Iterator[tuple[str, bool]]:
+        """The pattern's matches over the joined chunks, each in one or more parts;
+        true with the last part of a match."""
+        held, more = "", None
         for chunk in chunks:
             held += chunk
             done = 0
-            for match in self.pattern.finditer(held):
+            if more is not None:  # a run under way: no look back at what was handed on
+                kind, rest = more
+                done = rest.match(held).end()
+                spaces = kind is self._more[2][0]
+                if done == len(held):
+                    yield held[: done - spaces], False
+                    held = held[done - spaces :]
+                    continue
+                done -= spaces  # the last blank before a word belongs to the word
+                yield held[:done], True
+                more = None
+            for match in self.pattern.finditer(held, done):
                 if match.end() > len(held) - TAIL:
+                    start, end = match.span()
+                    if end == len(held) and end - start >= OPEN_AT:
+                        more = next(m for m in self._more if m[0].match(held, end - 1))
+                        done = end - (more[0] is self._more[2][0])
+                        yield held[start:done], False
                     break
-                yield match.group()
+                yield match.group(), True
                 done = match.end()
             held = held[done:]
-        for match in self.pattern.finditer(held):
-            yield match.group()
+        if more is not None:
+            yield held, True
+        else:
+            for match in self.pattern.finditer(held):
+                yield match.group(), True
+
+    def encode_stream(self, chunks: Iterable[str]) -> Iterator[int]:
+        """Ids of the joined chunks as ordinary text, each as soon as it is stable."""
+        memo, path = self._memo, None
+        for piece, last in self.pieces(chunks):
+            if path is None and last:
+                yield from memo.get(piece) or self._remembered(piece)
+                continue
+            path = path or _Path(self)
+            yield from path.feed(piece.encode("utf-8", "surrogatepass"))
+            if last:
+                yield from path.rest()
+                path = None
+
+    def _remembered(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode("utf-8", "surrogatepass")
+        ids = tuple(self.encode_piece(data))
+        if len(data) <= MEMO_BYTES:
+            if len(self._memo) >= MEMO_SIZE:
+                self._memo.clear()
+            self._memo[piece] = ids
+        return ids
 
     def encode(self, text: str | None, chunk: int = CHUNK) -> list[int]:
         """Ids of ``text`` as ordinary text; an empty list for null and empty."""
         if not text:
             return []
-        out: list[int] = []
-        memo = self._memo
-        for piece in self.pieces(text[i : i + chunk] for i in range(0, len(text), chunk)):
-            ids = memo.get(piece)
-            if ids is None:
-                data = piece.encode("utf-8", "surrogatepass")
-                ids = tuple(self.encode_piece(data))
-                if len(data) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_SIZE:
-                        memo.clear()
-                    memo[piece] = ids
-            out.extend(ids)
+        if len(text) > chunk:
+            return list(self.encode_stream(text[i : i + chunk] for i in range(0, len(text), chunk)))
+        memo, out = self._memo, []
+        for piece in self.pattern.findall(text):
+            out.extend(memo.get(piece) or self._remembered(piece))
         return out
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
@@ -240,6 +258,69 @@ class Transducer:
         return "".join(self.decode_stream(ids))
 
 
+class _Path:
+    """The open end of the encoding of a piece whose bytes come bit by bit."""
+
+    def __init__(self, coder: Transducer):
+        self.coder = coder
+        self.first = True  # nothing was emitted yet
+        self.data = bytearray()  # the bytes from the last emitted boundary on
+        self.ends, self.lengths = [-1], [0]  # by position: the token that ends there, and its bytes
+        self.every = coder.lookahead + coder.longest
+
+    def feed(self, data: bytes) -> Iterator[int]:
+        trie, follows = self.coder._trie, self.coder.follows
+        for at in range(0, len(data), self.every):
+            begin = len(self.data)
+            self.data += data[at : at + self.every]
+            held, ends, lengths, first = self.data, self.ends, self.lengths, self.first
+            for here in range(begin, len(held)):
+                node, back, chosen, size = trie, here, -1, 0
+                while back >= 0:
+                    node = node.get(held[back])
+                    if node is None:
+                        break
+                    token = node.get(None)
+                    if token is not None:
+                        before = ends[back]
+                        if (back == 0 and first) or (before >= 0 and follows(before, token)):
+                            chosen, size = token, here + 1 - back
+                            break
+                    back -= 1
+                ends.append(chosen)
+                lengths.append(size)
+            stable = self._stable()
+            if stable > 0:
+                yield from self._walk(stable)
+                self.data, self.ends, self.lengths = held[stable:], ends[stable:], lengths[stable:]
+                self.first = False
+
+    def rest(self) -> list[int]:
+        return self._walk(len(self.ends) - 1)
+
+    def _walk(self, upto: int) -> list[int]:
+        out = []
+        while upto > 0:
+            out.append(self.ends[upto])
+            upto -= self.lengths[upto]
+        return out[::-1]
+
+    def _stable(self) -> int:
+        """The last boundary through which the paths of all open positions run.
+
+        The next token may begin at any of the last ``longest`` positions. The
+        paths are walked back, the furthest first, until one boundary is left.
+        """
+        lengths = self.lengths
+        last = len(lengths) - 1
+        heads = {p for p in range(max(0, last - self.coder.longest + 1), last + 1) if lengths[p] or p == 0}
+        while len(heads) > 1:
+            far = max(heads)
+            heads.discard(far)
+            heads.add(far - lengths[far])
+        return heads.pop()
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Transducer:
     """The transducer of a ranks file: a token in base 64 and its rank in each line."""
@@ -254,8 +335,16 @@ def vocabulary_path(name: str = VOCABULARY, folder: str = TOKENIZER_DIR) -> str:
 def _runs(path: str, kind: T.DataType, make) -> Column:
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:
-        coder = load(path)
-        return pd.Series([make(coder, t) for t in texts], dtype=object if isinstance(kind, T.ArrayType) else None)
+        coder, made = load(path), {}
+        out = []
+        for t in texts:  # a text that a batch repeats is coded once
+            known = made.get(t) if isinstance(t, str) else None
+            if known is None:
+                known = make(coder, t)
+                if isinstance(t, str):
+                    made[t] = known
+            out.append(known)
+        return pd.Series(out, dtype=object if isinstance(kind, T.ArrayType) else None)
 
     return run
 

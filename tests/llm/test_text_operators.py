@@ -38,6 +38,31 @@ def test_long_runs_and_round_trip(coder, reference):
     assert coder.encode(None) == coder.encode("") == [] and coder.lookahead_bound > coder.longest
 
 
+@needs_vocabulary
+def test_runs_are_handed_on_in_bounded_memory(coder, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "OPEN_AT", 4)  # nearly every run that reaches the end of a chunk is open
+    rnd = random.Random(5)
+    parts = ["a", "th", "ing", "é", "\u0301", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "!", "...", "报", "\u3000", "😀", "\r\n"]
+    for _ in range(600):
+        text = "".join(rnd.choice(parts) * rnd.choice([1, 1, 2, 5, 30]) for _ in range(rnd.randint(1, 40)))
+        assert coder.encode(text, chunk=rnd.choice([5, 7, 16, 64])) == reference.encode_ordinary(text)
+    assert 0 < coder.lookahead < coder.lookahead_bound
+    letters = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000)).encode()
+    path, ids, held = bpe._Path(coder), [], 0
+    for at in range(0, len(letters), 100):
+        ids += path.feed(letters[at : at + 100])
+        held = max(held, len(path.ends))
+    assert ids + path.rest() == reference.encode_ordinary(letters.decode()) and held < 2 * (coder.lookahead + coder.longest)
+
+
+@needs_vocabulary
+def test_a_chain_of_merges_gives_the_lookahead():
+    ranks = {bytes([b]): b - 97 for b in range(97, 103)} | {b"ef": 6, b"de": 7, b"cd": 8, b"bc": 9, b"ab": 10}
+    small = bpe.Transducer(ranks)
+    # ab waits for c, which cd may take, which e may take d from, which f may take e from
+    assert small.lookahead == 5 and list(small.encode("abcde")) == [0, 9, 7] and list(small.encode("abcdef")) == [10, 8, 6]
+
+
 @needs_vocabulary
 def test_columns(spark, coder):
     df = spark.createDataFrame([(1, "hello"), (2, None), (3, ""), (1, "hello")], "doc long, ids string")
