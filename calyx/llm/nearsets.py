@@ -50,17 +50,17 @@ THRESHOLD = 0.7
 #: Counters of the cost sketch for each text, up to 2^24 counters, and the blocks they are sent in.
 SKETCH_PER_TEXT, SKETCH_MOST_BITS, SKETCH_BLOCKS = 8, 24, 32
 #: Signatures one task gathers, about.
-GROUP_SIGNATURES = 12_000_000
+GROUP_SIGNATURES = 24_000_000
 #: A signature with more holders than this is split over several groups, by pairs of blocks of holders.
 HOT_PARTNERS = 20_000
 #: Pairs found that a worker holds before it hands them on.
 FOUND_PAIRS = 2_000_000
 #: Keys of one text that meet in one task.
 MEMBER_BLOCK = 2_000
-#: Pairs compared at once within a task.
-BLOCK_PAIRS = 200_000
+#: Pairs compared at once within a task: few enough for the processor's cache.
+BLOCK_PAIRS = 12_000
 #: Characters of texts a worker handles at once; a longer text is handled by itself.
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 400_000
 #: The smallest size band, and the runs a segment has at the band's upper edge.
 FIRST_BAND = 32
 _U = np.uint64
@@ -72,13 +72,13 @@ def normalised(text: Column) -> Column:
 
 
 def _segments(hi: int) -> int:
-    """Segments of a band: about one for each run of its largest set."""
-    return max(4, hi)
+    """Segments of a band: smaller sets hold rarer runs, so theirs are smaller."""
+    return max(4, int(hi / (1.0 if hi <= 128 else 1.5 if hi <= 256 else 3.0 if hi <= 512 else 5.0)))
 
 
 def _words(hi: int) -> int:
-    """64-bit words of a band's odd sketch: one bit per run, at most half of which fill up."""
-    return max(2, hi // 64)
+    """64-bit words of a band's odd sketch: two bits per run, so that it does not fill up."""
+    return max(2, hi // 32)
 
 
 def _in_band(size, hi: int, threshold: float):
@@ -226,8 +226,11 @@ def _emit_signatures(threshold: float, table, bits: int, hi: int, number: int, m
         shift, low, far = _U(64 - bits), _U(0xFFFF), _U((1 << 44) - 1)
 
         def cost(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            count = costs[(s >> shift).astype(np.int64)]
-            return np.minimum((count.astype(np.uint64) << _U(16)) | ((s >> _U(8)) & low), far), count
+            count = costs[(s >> shift).view(np.int64)]
+            price = count.astype(np.uint64)
+            price <<= _U(16)
+            price |= (s >> _U(8)) & low
+            return np.minimum(price, far, out=price), count
 
         for pdf in batches:
             for part in _parts(pdf):
@@ -243,69 +246,80 @@ def _emit_signatures(threshold: float, table, bits: int, hi: int, number: int, m
                 last = np.r_[begin[1:], len(steps)] - 1
                 at = np.minimum(begin + _need(sizes, hi, threshold) - 1, last)
                 limit = steps[np.clip(at, 0, len(steps) - 1)] & far
-                sides = []
-                for signature, doc, price, count in ((band.full, band.full_doc, full_cost, full_count), (band.less, band.less_doc, less_cost, less_count)):
+                keys = []
+                for kind, signature, doc, price, count in ((0, band.full, band.full_doc, full_cost, full_count), (1, band.less, band.less_doc, less_cost, less_count)):
                     kept = price <= limit[doc]
-                    sides.append(_placed(signature[kept], doc[kept], count[kept], ids, number, most))
-                yield from _blobs(ids, sizes, hi, band, sides, number)
+                    keys += _placed(signature[kept], kind, doc[kept], count[kept], ids, number, most)
+                yield from _blobs(ids, sizes, hi, band, np.sort(np.concatenate(keys)), number)
 
     return emit
 
 
-def _placed(signature: np.ndarray, doc: np.ndarray, count: np.ndarray, ids: np.ndarray, number: int, most: int) -> np.ndarray:
-    """Group, text and low 24 bits of each signature, ordered.
+def _placed(signature: np.ndarray, kind: int, doc: np.ndarray, count: np.ndarray, ids: np.ndarray, number: int, most: int) -> list[np.ndarray]:
+    """Group, text, low 24 bits and kind of each signature, in one word.
 
-    A group has fewer signatures than 24 bits have values, and chance partners are
-    dropped with all others that are not similar. A signature with more than
-    ``most`` holders is not left to one group: its holders are cut into blocks
-    by id, and each goes to the groups of the pairs of blocks that hold its own.
+    A group has few more signatures than 24 bits have values, and chance partners
+    are dropped with all others that are not similar. A signature with more than
+    ``most`` holders is not left to one group: its holders are cut into blocks by
+    id, and each goes to the groups of the pairs of blocks that hold its own.
     """
-    group = (signature >> _U(32)) % _U(number)
-    key = (group << _U(44)) | (doc.astype(np.uint64) << _U(24)) | (signature & _U(0xFFFFFF))
+    key = (signature >> _U(32)) % _U(number)
+    key <<= _U(20)
+    key |= doc.view(np.uint64)
+    key <<= _U(25)
+    key |= (signature & _U(0xFFFFFF)) << _U(1)
+    key |= _U(kind)
     hot = np.flatnonzero(count > most)
-    if len(hot):
-        more = []
-        parts = -(-count[hot].astype(np.int64) // most)
-        for blocks in np.unique(parts):
-            of = hot[parts == blocks]
-            own = (_mix(ids[doc[of]].astype(np.uint64)) % _U(blocks)).astype(np.uint64)
-            for other in range(int(blocks)):
-                low, high = np.minimum(own, _U(other)), np.maximum(own, _U(other))
-                place = _mix(signature[of] + low * _U(0x9E3779B97F4A7C15) + high * _U(0xC2B2AE3D27D4EB4F)) % _U(number)
-                more.append((place << _U(44)) | (key[of] & _U((1 << 44) - 1)))
-        key = np.concatenate([np.delete(key, hot), *more])
-    return np.sort(key)
-
-
-def _blobs(ids, sizes, hi, band, sides, number) -> Iterator[pd.DataFrame]:
+    if not len(hot):
+        return [key]
+    out = [np.delete(key, hot)]
+    parts = -(-count[hot].astype(np.int64) // most)
+    for blocks in np.unique(parts):
+        of = hot[parts == blocks]
+        own = _mix(ids[doc[of]].astype(np.uint64)) % _U(blocks)
+        for other in range(int(blocks)):
+            low, high = np.minimum(own, _U(other)), np.maximum(own, _U(other))
+            place = _mix(signature[of] + low * _U(0x9E3779B97F4A7C15) + high * _U(0xC2B2AE3D27D4EB4F)) % _U(number)
+            out.append((place << _U(45)) | (key[of] & _U((1 << 45) - 1)))
+    return out
+
+
+def _blobs(ids, sizes, hi, band, keys, number) -> Iterator[pd.DataFrame]:
+    """Of each group the texts with their ids, sizes and sketches, and their signatures:
+    the low 16 of 24 bits as they are, the text and the high 8 bits, which rise,
+    by one bit for each signature in a row of bits (Elias-Fano)."""
     width = _words(hi)
     bit = (band.runs >> _U(3)) % _U(64 * width)
-    flat = band.doc * width + (bit >> _U(6)).astype(np.int64)
+    flat = band.doc * width + (bit >> _U(6)).view(np.int64)
     sketch = np.zeros(len(sizes) * width, dtype=np.uint64)
     np.bitwise_xor.at(sketch, flat, _U(1) << (bit & _U(63)))
     sketch = sketch.reshape(len(sizes), width)
-    edges = [np.searchsorted(key, np.arange(number + 1, dtype=np.uint64) << _U(44)) for key in sides]
+    edges = np.searchsorted(keys, np.arange(number + 1, dtype=np.uint64) << _U(45))
     for g in range(number):
-        parts = [key[e[g] : e[g + 1]] for key, e in zip(sides, edges)]
-        counts = [np.bincount(((p >> _U(24)) & _U(0xFFFFF)).astype(np.int64), minlength=len(sizes)) for p in parts]
-        present = np.flatnonzero(counts[0] + counts[1])
-        if not len(present):
+        part = keys[edges[g] : edges[g + 1]]
+        if not len(part):
             continue
+        doc = ((part >> _U(25)) & _U(0xFFFFF)).view(np.int64)
+        new = np.r_[True, doc[1:] != doc[:-1]]
+        present = doc[new]
+        row = np.zeros(len(present) * 256 + len(part), dtype=np.uint8)
+        row[((np.cumsum(new) - 1) << 8) + ((part >> _U(17)) & _U(0xFF)).view(np.int64) + np.arange(len(part))] = 1
         data = b"".join((
-            struct.pack("<qqqq", len(present), width, len(parts[0]), len(parts[1])), ids[present].astype(np.int64).tobytes(),
-            sizes[present].astype(np.int32).tobytes(), *(c[present].astype(np.uint32).tobytes() for c in counts), sketch[present].tobytes(),
-            *(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 8)[:, :3]).tobytes() for p in parts),
+            struct.pack("<qqq", len(present), width, len(part)), ids[present].astype(np.int64).tobytes(), sizes[present].astype(np.int32).tobytes(),
+            sketch[present].tobytes(), ((part >> _U(1)) & _U(0xFFFF)).astype("<u2").tobytes(),
+            np.packbits((part & _U(1)).astype(np.uint8)).tobytes(), np.packbits(row).tobytes(),
         ))
         yield pd.DataFrame({"grp": [g], "data": [data]})
 
 
 def _read_blobs(blobs: list[bytes]):
     """Ids, sizes and sketches in the order of sizes, and of both kinds of signature the 24 bits and the holders."""
-    ids, sizes, sketches, full, less = [], [], [], ([], []), ([], [])
+    ids, sizes, sketches, held = [], [], [], ([], [])
     base = 0
-    for blob in blobs:
-        n, width, nf, nl = struct.unpack_from("<qqqq", blob)
-        at = 32
+    while blobs:
+        blob = blobs.pop()
+        n, width, total = struct.unpack_from("<qqq", blob)
+        at = 24
 
         def take(kind, count):
             nonlocal at
@@ -315,19 +329,26 @@ def _read_blobs(blobs: list[bytes]):
 
         ids.append(take(np.int64, n))
         sizes.append(take(np.int32, n))
-        of_full, of_less = take(np.uint32, n), take(np.uint32, n)
         sketches.append(take(np.uint64, n * width).reshape(n, width))
-        for (sig, doc), counts, total in ((full, of_full, nf), (less, of_less, nl)):
-            wide = np.zeros((total, 4), dtype=np.uint8)
-            wide[:, :3] = take(np.uint8, 3 * total).reshape(total, 3)
-            sig.append(wide.view(np.uint32).reshape(-1))
-            doc.append(np.repeat(np.arange(base, base + n, dtype=np.uint32), counts))
+        low = take("<u2", total)
+        kind = np.unpackbits(take(np.uint8, -(-total // 8)), count=total).view(bool)
+        row = np.flatnonzero(np.unpackbits(take(np.uint8, -(-(n * 256 + total) // 8)), count=n * 256 + total))
+        row -= np.arange(total)
+        sig = ((row & 0xFF) << 16).astype(np.uint32) | low
+        doc = (row >> 8).astype(np.uint32) + np.uint32(base)
+        for side, of in zip(held, (~kind, kind)):
+            side.append((sig[of], doc[of]))
         base += n
     sizes_all = np.concatenate(sizes)
     order = np.argsort(sizes_all, kind="stable")
     place = np.empty(len(order), dtype=np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    holders = [(np.concatenate(sig), place[np.concatenate(doc)]) for sig, doc in (full, less)]
+    holders = []
+    for side in held:
+        sig = np.concatenate([x for x, _ in side])
+        doc = np.concatenate([x for _, x in side])
+        side.clear()
+        holders.append((sig, place[doc]))
     return np.concatenate(ids)[order], sizes_all[order], np.concatenate(sketches)[order], *holders
 
 
@@ -404,14 +425,21 @@ def _match_groups(threshold: float):
                 (spot, np.searchsorted(full, theirs | least[spot]), np.searchsorted(full, theirs | most[spot])),
             )
             found, waiting = [], 0
+            half = sketch.shape[1] // 2
+            fold = np.ascontiguousarray(sketch[:, :half] ^ sketch[:, half:])  # the sketch of half as many bits
             for left, lo, hi in jobs:
                 for a, j in _ranges(left, lo, hi):
                     b = place[j]
-                    near = np.flatnonzero((_bits(sketch[a] ^ sketch[b]) <= ratio * (sizes[a] + sizes[b]) + 1e-9) & (a != b))
-                    if len(near):
-                        x, y = a[near], b[near]
-                        found.append(np.unique((np.minimum(x, y) << 26) | np.maximum(x, y)))
-                        waiting += len(found[-1])
+                    apart = fold.take(a, axis=0)
+                    apart ^= fold.take(b, axis=0)
+                    most_apart = ratio * (sizes[a] + sizes[b]) + 1e-9
+                    near = np.flatnonzero((_bits(apart) <= most_apart) & (a != b))
+                    x, y = a[near], b[near]
+                    near = _bits(sketch[x] ^ sketch[y]) <= most_apart[near]
+                    x, y = x[near], y[near]
+                    if len(x):
+                        found.append((np.minimum(x, y) << 26) | np.maximum(x, y))
+                        waiting += len(x)
                     if waiting > FOUND_PAIRS:
                         yield _pairs(found, ids)
                         found, waiting = [], 0
