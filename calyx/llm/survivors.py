@@ -15,22 +15,24 @@ Two ways to judge, which answer different questions:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyx import runtime
 
 #: The decisions a report can carry, without separators.
 DECISIONS = {"keepunique": "keep_unique", "keeppartialoverlap": "keep_partial_overlap", "dropconflict": "drop_conflict"}
-#: Sources are few (tools); beyond this number the model refuses to run.
-MAX_SOURCES = 1_000
-ITERATIONS = 20
+#: The fit ends once no sensitivity or specificity moves by more than this, and fails after so many passes.
+TOLERANCE, PASSES = 1e-3, 2_000
 #: Prior counts of the beta distributions: of truth, and of right and wrong answers.
 PRIOR_TRUE, PRIOR_FALSE = 2.0, 2.0
 PRIOR_SENSITIVITY, PRIOR_SPECIFICITY = (2.0, 2.0), (4.0, 1.0)
+#: Log odds stay within this.
+FAR_ODDS = 14.0
 WORDED = r"[\p{L}\p{Nd}]"
 
 
@@ -113,73 +115,114 @@ def _observed(claims: DataFrame) -> DataFrame:
     )
 
 
-def _as_map(params: dict[tuple[str, str], float]) -> Column:
-    return F.create_map(*[F.lit(x) for (field, source), v in sorted(params.items()) for x in (f"{field}\u0001{source}", float(v))])
+#: Log odds by field, kind of parameter and source.
+Quality = dict[tuple[str, str, str | None], float]
 
 
-def _probability(sens: dict, spec: dict, prior: dict[str, float]) -> Column:
-    """Posterior of a pattern: log odds of the prior and of every observation."""
-    import math
+def _probability() -> Column:
+    """Posterior of a pattern with its field's parameters: log odds of the prior and of every observation."""
+    log_odds = F.aggregate("stating", F.col("base"), lambda acc, s: acc + F.col("stated")[s])
+    return 1 / (1 + F.exp(-F.aggregate("silent", log_odds, lambda acc, s: acc + F.col("unsaid")[s])))
 
-    odds = {k: math.log(sens[k] / (1 - spec[k])) for k in sens}
-    missing = {k: math.log((1 - sens[k]) / spec[k]) for k in sens}
-    key = lambda s: F.concat_ws("\u0001", "field", s)
-    stated, silent = _as_map(odds), _as_map(missing)
-    base = F.create_map(*[F.lit(x) for f, p in sorted(prior.items()) for x in (f, math.log(p / (1 - p)))])
-    log_odds = F.aggregate("stating", base[F.col("field")], lambda acc, s: acc + stated[key(s)])
-    log_odds = F.aggregate("silent", log_odds, lambda acc, s: acc + silent[key(s)])
-    return 1 / (1 + F.exp(-log_odds))
 
+def _parameters(spark: SparkSession, odds: Quality) -> DataFrame:
+    """One row per field: the log odds of its prior and, by source, of a statement and of silence.
 
-def latent_truth(claims: DataFrame, iterations: int = ITERATIONS, tolerance: float = 1e-4) -> Truth:
+    A join brings them to the patterns, so that plans do not grow with the sources.
+    """
+    rows: dict[str, tuple[dict, dict]] = {}
+    sure = lambda x: 1 / (1 + math.exp(-x))
+    for (field, kind, source), x in odds.items():
+        stated, unsaid = rows.setdefault(field, ({}, {}))
+        if kind == "sensitivity":
+            a, d = sure(x), sure(odds[field, "specificity", source])
+            stated[source], unsaid[source] = math.log(a / (1 - d)), math.log((1 - a) / d)
+    found = [(f, float(odds[f, "prior", None]), stated, unsaid) for f, (stated, unsaid) in rows.items()]
+    return spark.createDataFrame(found, "field string, base double, stated map<string,double>, unsaid map<string,double>")
+
+
+def _pass(judged: DataFrame, trusted: dict[tuple[str, str], tuple[float, float]]) -> Quality:
+    """The parameters, as log odds, that the patterns with their probabilities ``p`` give.
+
+    The driver gets one row per field and source.
+    """
+    seen = judged.select("field", "n", "p", F.explode(F.concat(
+        F.transform("stating", lambda s: F.struct(s.alias("source"), F.lit(1.0).alias("said"))),
+        F.transform("silent", lambda s: F.struct(s.alias("source"), F.lit(0.0).alias("said"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("source"), F.lit(1.0).alias("said"))),
+    )).alias("o"))
+    true, false = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
+    counts = seen.groupBy("field", "o.source").agg(
+        F.sum(true * F.col("o.said")), F.sum(true), F.sum(false * (1 - F.col("o.said"))), F.sum(false)
+    ).collect()
+    odds: Quality = {}
+    (a, b), (c, d) = PRIOR_SENSITIVITY, PRIOR_SPECIFICITY
+    for field, source, hit, positive, rejected, negative in counts:
+        if source is None:
+            odds[field, "prior", None] = math.log((positive + PRIOR_TRUE) / (negative + PRIOR_FALSE))
+            continue
+        right, wrong = trusted.get((field, source), (0.0, 0.0))
+        odds[field, "sensitivity", source] = math.log((hit + a + right) / (positive - hit + b + wrong))
+        odds[field, "specificity", source] = math.log((rejected + c + right) / (negative - rejected + d + wrong))
+    return {k: max(-FAR_ODDS, min(FAR_ODDS, x)) for k, x in odds.items()}
+
+
+def _moved(x: Quality, y: Quality) -> float:
+    sure = lambda v: 1 / (1 + math.exp(-v))
+    return max((abs(sure(x[k]) - sure(y[k])) for k in x), default=0.0)
+
+
+def latent_truth(
+    claims: DataFrame, tolerance: float = TOLERANCE, passes: int = PASSES, trusted: dict[tuple[str, str], tuple[float, float]] | None = None
+) -> Truth:
     """Fit the model to ``claims(entity, source, field, value)``.
 
     Repeated claims count once. An entity with one claim is judged by its source's
-    quality alone. An empty input gives empty results. Sensitivity and specificity
-    start from agreement with the share of reporting sources that state a value.
+    quality alone. An empty input gives empty results. The fit starts from the share
+    of reporting sources that state a value. ``trusted`` gives, of a field and source,
+    right and wrong answers known beforehand, as a prior. Expectation-maximisation
+    runs until no parameter moves by more than ``tolerance``, every third pass from
+    a point ahead on the line of the last two (squared extrapolation); a fit that
+    has not settled after ``passes`` raises an error.
     """
-    observed = runtime.cut(_observed(claims), "claims")
-    patterns = runtime.cut(
-        observed.groupBy("field", "stating", "silent").agg(F.count(F.lit(1)).alias("n")), "patterns"
-    )
-    spark = claims.sparkSession
-    names = patterns.select("field", F.explode(F.concat("stating", "silent")).alias("source")).distinct()
-    if names.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    stages = [runtime.Stage(_observed(claims), "claims")]
+    observed = stages[0].df
+    stages.append(runtime.Stage(observed.groupBy("field", "stating", "silent").agg(F.count(F.lit(1)).alias("n")), "patterns"))
+    patterns = stages[1].df
+    spark, trusted = claims.sparkSession, trusted or {}
     share = F.size("stating") / (F.size("stating") + F.size("silent"))
-    probability, sens, spec = F.least(F.greatest(share, F.lit(0.05)), F.lit(0.95)), {}, {}
-    prior: dict[str, float] = {}
-    for _ in range(iterations):
-        judged = patterns.withColumn("p", probability)
-        seen = judged.select(
-            "field", "n", "p",
-            F.explode(F.concat(
-                F.transform("stating", lambda s: F.struct(s.alias("source"), F.lit(1.0).alias("said"))),
-                F.transform("silent", lambda s: F.struct(s.alias("source"), F.lit(0.0).alias("said"))),
-            )).alias("o"),
-        )
-        true, false = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        counts = seen.groupBy("field", "o.source").agg(
-            F.sum(true * F.col("o.said")), F.sum(true), F.sum(false * (1 - F.col("o.said"))), F.sum(false)
-        ).collect()  # at most MAX_SOURCES rows
-        before = dict(sens), dict(spec)
-        (a, b), (c, d) = PRIOR_SENSITIVITY, PRIOR_SPECIFICITY
-        for field, source, hit, positive, rejected, negative in counts:
-            sens[field, source] = (hit + a) / (positive + a + b)
-            spec[field, source] = (rejected + c) / (negative + c + d)
-        totals = judged.groupBy("field").agg(F.sum(true), F.sum("n")).collect()  # one row per field
-        prior = {f: (t + PRIOR_TRUE) / (n + PRIOR_TRUE + PRIOR_FALSE) for f, t, n in totals}
-        if not counts:
+    fit = lambda odds: _pass(patterns.join(runtime.small(_parameters(spark, odds)), "field").withColumn("p", _probability()), trusted)
+    now = _pass(patterns.withColumn("p", F.least(F.greatest(share, F.lit(0.05)), F.lit(0.95))), trusted)
+    made, step = 1, 2.0
+    while now:
+        first = fit(now)
+        if _moved(first, now) < tolerance:
+            now = first
             break
-        probability = _probability(sens, spec, prior)
-        if before[0] and max(abs(x[k] - y[k]) for x, y in zip((sens, spec), before) for k in x) < tolerance:
+        second = fit(first)
+        if _moved(second, first) < tolerance:
+            now = second
             break
-    values = observed.select(
-        "entity", "field", "value", F.size("stating").alias("votes"), probability.cast("double").alias("probability")
-    )
-    rows = [(f, s, float(sens[f, s]), float(spec[f, s])) for f, s in sorted(sens)]
-    sources = spark.createDataFrame(rows, "field string, source string, sensitivity double, specificity double")
-    return Truth(values, sources)
+        r = {k: first[k] - now[k] for k in now}
+        v = {k: second[k] - first[k] - r[k] for k in now}
+        length = math.sqrt(sum(x * x for x in r.values()) / max(1e-12, sum(x * x for x in v.values())))
+        length = max(1.0, min(length, step))
+        ahead = {k: max(-FAR_ODDS, min(FAR_ODDS, now[k] + 2 * length * r[k] + length**2 * v[k])) for k in now}
+        landed = fit(ahead)
+        made += 3
+        if _moved(landed, ahead) <= 2 * _moved(second, first):
+            now, step = landed, step * 2 if length == step else step
+        else:  # too far ahead
+            now, step = second, max(2.0, step / 2)
+        if made > passes:
+            raise RuntimeError(f"the quality model did not settle in {passes} passes")
+    judged = observed.join(runtime.small(_parameters(spark, now)), "field").withColumn("probability", _probability())
+    values = runtime.cut(judged.select("entity", "field", "value", F.size("stating").alias("votes"), F.col("probability").cast("double").alias("probability")), "judged")
+    for stage in stages:
+        stage.drop()
+    sure = lambda x: 1 / (1 + math.exp(-x))
+    rows = [(f, s, sure(x), sure(now[f, "specificity", s])) for (f, kind, s), x in sorted(now.items(), key=str) if kind == "sensitivity"]
+    return Truth(values, spark.createDataFrame(rows, "field string, source string, sensitivity double, specificity double"))
 
 
 def merged_records(truth: Truth, single: Sequence[str], multiple: Sequence[str], threshold: float = 0.5) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from calyx.llm import components, survivors
@@ -92,6 +93,52 @@ def test_truth_finds_the_careless_source(spark):
     assert right > 320
 
 
+def _planted(seed, entities, quality, flags=("a", "b", "c", "d", "e")):
+    """Flags of which each entity truly has about half, stated by sources of known sensitivity and specificity."""
+    rnd = random.Random(seed)
+    true = {e: {f for f in flags if rnd.random() < 0.5} for e in range(entities)}
+    rows = []
+    for e in range(entities):
+        for source, (sensitivity, specificity) in quality.items():
+            rows += [(e, source, "flags", f) for f in flags if rnd.random() < (sensitivity if f in true[e] else 1 - specificity)]
+    return true, rows
+
+
+def test_planted_sources_are_recovered(spark):
+    quality = {"s1": (0.95, 0.95), "s2": (0.85, 0.9), "s3": (0.7, 0.97), "s4": (0.9, 0.7), "s5": (0.6, 0.6)}
+    true, rows = _planted(11, 1500, quality)
+    claims = spark.createDataFrame(rows, "entity int, source string, field string, value string")
+    truth = survivors.latent_truth(claims)
+    said = {(e, s, v) for e, s, _, v in rows}
+    reporting = {(e, s) for e, s, _, _ in rows}
+    facts = {(e, v) for e, _, v in said}  # the model sees what at least one source states
+    for r in truth.sources.collect():
+        own = [(e, f) for e, f in facts if (e, r.source) in reporting]
+        hits = [(e, r.source, f) in said for e, f in own if f in true[e]]
+        wrong = [(e, r.source, f) in said for e, f in own if f not in true[e]]
+        assert abs(r.sensitivity - sum(hits) / len(hits)) < 0.04 and abs(1 - r.specificity - sum(wrong) / len(wrong)) < 0.06, r
+    merged = {r.entity: set(r.flags) for r in survivors.merged_records(truth, [], ["flags"]).collect()}
+    stated = {(e, v) for e, _, _, v in rows}
+    kept = {(e, f) for e, found in merged.items() for f in found}
+    wanted = {(e, f) for e, found in true.items() for f in found} & stated
+    assert len(kept & wanted) > 0.93 * len(kept) and len(kept & wanted) > 0.95 * len(wanted)
+
+
+def test_trust_given_beforehand_decides_between_two(spark):
+    rows = [(e, s, "d", v) for e in range(40) for s, v in (("x", "left"), ("y", "right"))]
+    claims = spark.createDataFrame(rows, "entity int, source string, field string, value string")
+    for best, value in (("x", "left"), ("y", "right")):
+        truth = survivors.latent_truth(claims, trusted={("d", best): (500.0, 1.0)})
+        assert {r.d for r in survivors.merged_records(truth, ["d"], []).collect()} == {value}
+
+
+def test_a_fit_that_does_not_settle_is_an_error(spark):
+    _, rows = _planted(3, 60, {"a": (0.9, 0.8), "b": (0.6, 0.7), "c": (0.7, 0.6)})
+    claims = spark.createDataFrame(rows, "entity int, source string, field string, value string")
+    with pytest.raises(RuntimeError):
+        survivors.latent_truth(claims, tolerance=0.0, passes=4)
+
+
 def test_truth_of_nothing(spark):
     claims = spark.createDataFrame([], "entity int, source string, field string, value string")
     truth = survivors.latent_truth(claims)
