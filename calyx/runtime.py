@@ -65,11 +65,12 @@ class Stage:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _STAGES.append(self)
 
-    def drop(self) -> None:
-        if self in _STAGES:
+    def drop(self, part: str = "") -> None:
+        """Remove the files, or those of one part of a partitioned stage."""
+        if not part and self in _STAGES:
             _STAGES.remove(self)
         try:
-            fs, path = _filesystem(self.spark, self.path)
+            fs, path = _filesystem(self.spark, f"{self.path}/{part}" if part else self.path)
             fs.delete(path, True)
         except Exception:  # the session may be gone at exit
             pass
