@@ -73,7 +73,7 @@ def normalised(text: Column) -> Column:
 
 def _segments(hi: int) -> int:
     """Segments of a band: smaller sets hold rarer runs, so theirs are smaller."""
-    return max(4, int(hi / (1.0 if hi <= 128 else 1.5 if hi <= 256 else 3.0 if hi <= 512 else 5.0)))
+    return max(4, hi // (1 if hi <= 128 else 2 if hi <= 256 else 4))
 
 
 def _words(hi: int) -> int:
@@ -87,9 +87,13 @@ def _in_band(size, hi: int, threshold: float):
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
-    x = (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> _U(33))
+    y = x >> _U(31)
+    y ^= x
+    y *= _U(0x7FB5D329728EA185)
+    y ^= y >> _U(27)
+    y *= _U(0x81DADEF4BC2DD44D)
+    y ^= y >> _U(33)
+    return y
 
 
 def run_sets(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,16 +138,17 @@ class _Band:
         start[1:] = (segment[1:] != segment[:-1]) | (self.doc[1:] != self.doc[:-1])
         self.first = np.flatnonzero(start)
         self.count = np.diff(np.r_[self.first, len(segment)])
-        value = _mix(self.runs)
+        value = self.runs * _U(0x9E6C63D0676A9A99)  # a run's hash is mixed already; sums of such words are, too
+        value ^= value >> _U(29)
         whole = np.add.reduceat(value, self.first) if len(segment) else value
         whole += (segment[self.first] + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(hi)
-        self.full = _mix(whole)
+        self.full = whole
         self.full_doc = self.doc[self.first]
         self.several = self.count > 1
         if neighbours:
             many = np.repeat(self.several, self.count)
             sizes = self.count[self.several]
-            self.less = _mix(np.repeat(whole[self.several], sizes) - value[many])
+            self.less = np.repeat(whole[self.several], sizes) - value[many]
             self.less_doc = self.doc[many]
             self.less_first = np.cumsum(sizes) - sizes
 
@@ -202,19 +207,29 @@ def _count_signatures(threshold: float, bits: int):
         for i in range(SKETCH_BLOCKS):
             part = table[i * block : (i + 1) * block]
             if part.any():
-                yield pd.DataFrame({"kind": ["block"], "number": [i], "size": [0], "data": [zlib.compress(part.tobytes(), 1)], "text": [None]})
+                yield pd.DataFrame({"kind": ["block"], "number": [i], "size": [0], "data": [_packed(part)], "text": [None]})
 
     return count
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest of three widths, whose number of bytes is the first one."""
+    width = next(w for w in (1, 2, 4) if w == 4 or counts.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), dtype=f"<u{data[0]}").astype(np.int64)
+
+
 def _add_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[tuple[str, int], np.ndarray | int] = {}
     for pdf in batches:
         for kind, number, data in zip(pdf["kind"], pdf["number"], pdf["data"]):
-            new = np.frombuffer(zlib.decompress(data), dtype=np.uint32).astype(np.int64) if kind == "block" else struct.unpack("<q", data)[0]
+            new = _unpacked(data) if kind == "block" else struct.unpack("<q", data)[0]
             sums[kind, number] = sums.get((kind, number), 0) + new
     for (kind, number), total in sums.items():
-        data = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) if kind == "block" else struct.pack("<q", total)
+        data = _packed(total) if kind == "block" else struct.pack("<q", total)
         yield pd.DataFrame({"kind": [kind], "number": [number], "data": [data]})
 
 
@@ -400,7 +415,7 @@ def _ranges(left: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[
         at = to
 
 
-def _match_groups(threshold: float):
+def _match_groups(threshold: float, upper: int):
     ratio = (1 - threshold) / (1 + threshold)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -417,11 +432,13 @@ def _match_groups(threshold: float):
             mask = _U((1 << 26) - 1)
             least = np.searchsorted(sizes, np.ceil(sizes * threshold - 1e-9)).astype(np.uint64)
             most = np.searchsorted(sizes, np.floor(sizes / threshold + 1e-9), side="right").astype(np.uint64)
-            place = (full & mask).astype(np.int64)
-            spot = (less & mask).astype(np.int64)
+            inside = np.searchsorted(sizes, upper)  # two sets beyond the band meet in their own
+            most[inside:] = inside
+            place = (full & mask).view(np.int64)
+            spot = (less & mask).view(np.int64)
             own, theirs = full & ~mask, less & ~mask
             jobs = (
-                (place, np.arange(1, len(full) + 1), np.searchsorted(full, own | most[place])),
+                (place, np.arange(1, len(full) + 1), np.where(place < inside, np.searchsorted(full, own | most[place]), 0)),
                 (spot, np.searchsorted(full, theirs | least[spot]), np.searchsorted(full, theirs | most[spot])),
             )
             found, waiting = [], 0
@@ -533,14 +550,14 @@ def _cost_table(counted: DataFrame, bits: int) -> tuple[np.ndarray, dict[int, in
 
     The driver gets 32 blocks of a sketch of bounded size, and one number per band.
     """
-    sums = counted.where("data is not null").select("kind", "number", "data")
+    sums = counted.where("kind in ('block', 'made')").select("kind", "number", "data")
     sums = sums.repartition(SKETCH_BLOCKS, "kind", "number").mapInPandas(_add_blocks, "kind string, number long, data binary")
     table = np.zeros(1 << bits, dtype=np.uint32)
     made: dict[int, int] = {}
     block = len(table) // SKETCH_BLOCKS
     for kind, number, data in sums.collect():
         if kind == "block":
-            table[number * block : (number + 1) * block] = np.frombuffer(zlib.decompress(bytes(data)), dtype=np.uint32)
+            table[number * block : (number + 1) * block] = _unpacked(bytes(data))
         else:
             made[number] = made.get(number, 0) + struct.unpack("<q", bytes(data))[0]
     return table, made
@@ -559,18 +576,20 @@ def similar_representatives(reps: DataFrame, threshold: float = THRESHOLD, run:
     spark = reps.sparkSession
     bits = min(SKETCH_MOST_BITS, max(16, (SKETCH_PER_TEXT * reps.count()).bit_length()))
     with runtime.removing_shuffles(spark):
-        seen = runtime.Stage(reps.mapInPandas(_count_signatures(threshold, bits), COUNTED), "signature-counts")
+        seen = runtime.Stage(reps.mapInPandas(_count_signatures(threshold, bits), COUNTED), "signature-counts", ["kind"])
         for stage in used:
             stage.drop()
         table, made = _cost_table(seen.df, bits)
-        texts = seen.df.where("data is null")
+        for kind in ("block", "made"):
+            seen.drop(f"kind={kind}")
+        texts = seen.df.where("kind in ('text', 'lone')")
         held = spark.sparkContext.broadcast(table)
         met = []
         for hi, n in sorted(made.items()):
             number = max(1, -(-n * 3 // (4 * GROUP_SIGNATURES)))
             inside = texts.where(_in_band(F.col("size"), hi, threshold)).select("number", "text")
             blobs = inside.mapInPandas(_emit_signatures(threshold, held, bits, hi, number, most), "grp int, data binary")
-            pairs = blobs.repartition(number, "grp").mapInPandas(_match_groups(threshold), "a long, b long").distinct()
+            pairs = blobs.repartition(number, "grp").mapInPandas(_match_groups(threshold, hi), "a long, b long").distinct()
             met.append(runtime.Stage(pairs, "candidates"))
         lone = texts.where("kind = 'lone'").select(F.col("number").alias("rep"))
         if lone.limit(1).count():
