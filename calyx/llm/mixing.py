@@ -27,8 +27,6 @@ from calyx import runtime
 
 #: Texts per block, about: what one task orders at the end of a budget.
 BLOCK_ROWS = 20_000
-#: Sources are few; beyond this number the mix refuses to run.
-MAX_SOURCES = 10_000
 
 
 def entropy(shares: Mapping[str, float]) -> float:
@@ -79,8 +77,11 @@ def tilted_weights(
         return min(room[k] / t[k] for k in room), 1.0, t
     if _fits(t, budget, room):
         return budget, 1.0, t
+    most = [min(room[k] / w for k, w in tilt(x).items()) for x in (0.0, 1.0)]
+    if most[1] >= most[0]:
+        return min(budget, most[1]), 1.0, t
     low, high = 0.0, 1.0
-    budget = min(budget, min(room[k] / w for k, w in tilt(0.0).items()))
+    budget = min(budget, most[0])
     for _ in range(steps):
         x = (low + high) / 2
         low, high = (x, high) if _fits(tilt(x), budget, room) else (low, x)
@@ -104,20 +105,15 @@ def mix_texts(documents: DataFrame, key: str, source: str, text: str, target: Da
 
 
 def source_sizes(texts: DataFrame) -> list:
-    """``source, texts, tokens`` of every source, on the driver: sources are few."""
-    rows = texts.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1)
-    found = rows.collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return found
+    """``source, texts, tokens`` of every source: at most as many rows as the target has."""
+    return texts.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("tokens")).collect()
 
 
 def target_rows(target: DataFrame, source: str, share: str, repeats: str) -> dict[str, tuple[float, int]]:
+    """The target is a table of parameters, held on the driver: a share and a limit per source."""
     found = target.where(F.col(source).isNotNull()).groupBy(source).agg(
         F.sum(F.coalesce(share, F.lit(0.0))), F.min(F.coalesce(repeats, F.lit(0)))
-    ).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    ).collect()
     return {r[0]: (float(r[1]), int(r[2])) for r in found}
 
 
@@ -138,7 +134,7 @@ def draw(texts: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     The partial round takes texts in permuted order while they fit wholly before
     its budget ends, so a source misses its budget by less than one text.
     """
-    placed = texts.join(F.broadcast(plan), "source").where("rounds > 0 or rest > 0").withColumn(
+    placed = texts.join(runtime.small(plan), "source").where("rounds > 0 or rest > 0").withColumn(
         "_order", F.xxhash64(F.lit(seed), F.col("source"), F.col("key"))
     )
     placed = placed.withColumn("_block", F.pmod(F.shiftrightunsigned("_order", 17), F.col("blocks")).cast("int"))
@@ -155,28 +151,41 @@ def draw(texts: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     return used.where("uses > 0").select("key", "source", "tokens", "uses")
 
 
-def mix(texts: DataFrame, target: dict[str, tuple[float, int]], budget: float | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(
+    texts: DataFrame, target: dict[str, tuple[float, int]], budget: float | None = None, seed: int = 7, target_entropy: float | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
-    Mix: ``key, source, tokens, uses``. Report: per source of the target
-    ``target_share, max_repeats, texts, available_tokens, drawn_tokens,
-    actual_share, most_uses``; a source without texts reports zeros, and what it
-    was to have is shared among the others in proportion.
+    The weights lie between the natural and the target shares (``tilted_weights``)
+    or, with ``target_entropy``, are the natural shares at the temperature of that
+    entropy, in as large a mix as the repetition limits allow. Mix: ``key, source,
+    tokens, uses``. Report: per source of the target ``target_share, max_repeats,
+    texts, available_tokens, exponent, weight, drawn_tokens, actual_share,
+    most_uses``; a source without texts reports zeros, and what it was to have is
+    shared among the others in proportion.
     """
     spark = texts.sparkSession
     texts = runtime.cut(texts, "mix-texts")
     sizes = source_sizes(texts)
     limits = {k: v[1] for k, v in target.items()}
     size_of = {r["source"]: float(r["tokens"]) for r in sizes}
-    total, _, weights = tilted_weights(size_of, {k: v[0] for k, v in target.items()}, limits, budget)
+    if target_entropy is None:
+        total, exponent, weights = tilted_weights(size_of, {k: v[0] for k, v in target.items()}, limits, budget)
+    else:
+        exponent, weights = temperature_weights({k: n for k, n in size_of.items() if limits.get(k, 0) > 0}, target_entropy)
+        most = min((size_of[k] * limits[k] / w for k, w in weights.items() if w > 0), default=0.0)
+        total = most if budget is None else min(budget, most)
     drawn = draw(texts, _plan(spark, sizes, weights, total, limits), seed)
     found = {r["source"]: r for r in sizes}
     wanted = spark.createDataFrame(
-        [(k, s, n, int(found[k]["texts"]) if k in found else 0, int(found[k]["tokens"]) if k in found else 0) for k, (s, n) in target.items()],
-        "source string, target_share double, max_repeats int, texts long, available_tokens long",
+        [
+            (k, s, n, int(found[k]["texts"]) if k in found else 0, int(found[k]["tokens"]) if k in found else 0, float(exponent), float(weights.get(k, 0.0)))
+            for k, (s, n) in target.items()
+        ],
+        "source string, target_share double, max_repeats int, texts long, available_tokens long, exponent double, weight double",
     )
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("drawn_tokens"), F.max("uses").alias("most_uses"))
-    report = wanted.join(F.broadcast(got), "source", "left").na.fill(0, ["drawn_tokens", "most_uses"])
-    all_tokens = F.sum("drawn_tokens").over(W.partitionBy())  # one row per source
+    report = wanted.join(F.broadcast(got), "source", "left").na.fill(0, ["drawn_tokens", "most_uses"])  # one row per source of the target
+    all_tokens = F.sum("drawn_tokens").over(W.partitionBy())
     report = report.withColumn("actual_share", F.when(all_tokens > 0, F.col("drawn_tokens") / all_tokens).otherwise(0.0))
     return drawn, report

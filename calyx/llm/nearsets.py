@@ -191,8 +191,7 @@ def _count_signatures(threshold: float, bits: int):
                     member = _in_band(sizes, hi, threshold)
                     if member.any():
                         band = _Band(runs, docs, member, hi, False)
-                        at, n = np.unique((band.full >> shift).astype(np.int64), return_counts=True)
-                        table[at] += n.astype(np.uint32)
+                        np.add.at(table, (band.full >> shift).view(np.int64), np.uint32(1))
                         made[hi] = made.get(hi, 0) + len(band.full) + int(band.count[band.several].sum())
                         weight = np.bincount(band.full_doc, minlength=len(sizes)) + np.bincount(band.full_doc[band.several], minlength=len(sizes))
                         lone |= member & (weight < _need(sizes, hi, threshold))

@@ -119,12 +119,13 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").alias("n_ids"), back.alias("same"))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, by_entropy: bool = False) -> tuple[DataFrame, DataFrame]:
     target = table(spark, sf_dir, "mix_target")
     texts = mixing.mix_texts(
         table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text", target, bpe.count_column(F.col("text"))
     )
-    return mixing.mix(texts, mixing.target_rows(target, "source", "target_share", "max_repeats"))
+    goal = mixing.target_rows(target, "source", "target_share", "max_repeats")
+    return mixing.mix(texts, goal, target_entropy=mixing.entropy({k: v[0] for k, v in goal.items()}) if by_entropy else None)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,21 +136,16 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the share it was to have and the share it has."""
     return _mix(spark, sf_dir)[1].select(
-        "source", "target_share", "max_repeats", "texts", "available_tokens", "drawn_tokens", "actual_share", "most_uses"
+        "source", "target_share", "max_repeats", "texts", "available_tokens", "exponent", "drawn_tokens", "actual_share", "most_uses"
     )
 
 
 def p7_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights by temperature alone: the exponent at which the shares have the target's entropy."""
-    target = table(spark, sf_dir, "mix_target")
-    texts = mixing.mix_texts(
-        table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "source", "text", target, bpe.count_column(F.col("text"))
+    """A mix by temperature alone: the exponent at which the natural shares have the
+    target's entropy, the weights it gives, and what is drawn by them."""
+    return _mix(spark, sf_dir, by_entropy=True)[1].select(
+        "source", "available_tokens", "max_repeats", "exponent", "weight", "drawn_tokens", "actual_share", "most_uses"
     )
-    sizes = {r["source"]: float(r["tokens"]) for r in mixing.source_sizes(texts)}
-    goal = mixing.entropy({k: v[0] for k, v in mixing.target_rows(target, "source", "target_share", "max_repeats").items()})
-    exponent, weights = mixing.temperature_weights(sizes, goal)
-    rows = [(k, int(n), float(exponent), float(weights.get(k, 0.0))) for k, n in sorted(sizes.items())]
-    return spark.createDataFrame(rows, "source string, available_tokens long, exponent double, weight double")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,25 @@ def test_mix_reaches_its_shares(spark, monkeypatch):
     assert len(texts) == len(set(texts))
 
 
+def test_a_bisected_exponent_decides_what_is_drawn(spark):
+    rnd = random.Random(4)
+    rows = [(i, "abc"[min(2, i % 10 // 4)], f"{i}-" + "x" * rnd.randint(1, 60), "", 0, 0) for i in range(1500)]
+    goal = spark.createDataFrame([("a", 0.2, 3), ("b", 0.3, 3), ("c", 0.5, 3)], "source string, share double, repeats int")
+    docs = spark.createDataFrame(rows, "doc long, source string, text string, tokens string, key int, _block int")
+    texts = mixing.mix_texts(docs, "doc", "source", "text", goal, F.length("text").cast("long"))
+    target = mixing.target_rows(goal, "source", "share", "repeats")
+    exact = {r.source: r for r in mixing.mix(texts, target)[1].collect()}
+    budget = 1.2 * sum(r.drawn_tokens for r in exact.values())
+    for asked in ({"budget": budget}, {"target_entropy": 1.08}):
+        drawn, report = mixing.mix(texts, target, **asked)
+        found = {r.source: r for r in report.collect()}
+        assert all(exact[s].exponent == 1 and 0 < r.exponent < 1 for s, r in found.items()), found
+        assert max(abs(r.actual_share - exact[s].actual_share) for s, r in found.items()) > 0.02
+        total = sum(r.drawn_tokens for r in found.values())
+        assert all(abs(r.drawn_tokens - r.weight * total) <= 3 * 65 and r.most_uses <= r.max_repeats for r in found.values())
+        assert sum(r.tokens * r.uses for r in drawn.collect()) == total
+
+
 def test_mix_of_nothing(spark):
     drawn, report = _mix(spark, [], [("a", 1.0, 1)])
     assert drawn.count() == 0 and [(r.drawn_tokens, r.actual_share) for r in report.collect()] == [(0, 0.0)]
