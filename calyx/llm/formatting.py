@@ -22,35 +22,46 @@ from pyspark.sql import functions as F
 
 from calyx import runtime
 
-#: The labels of the fields a first page may begin with.
+#: The labels of the fields a first page may begin with, after any of the separators.
 FIELD_LABELS = (
     "Document No", "Protocol", "Document Type", "Version", "Release Date", "Site", "Prepared By", "Checked By",
     "文件编号", "方案编号", "文件类型", "版本", "发布日期", "中心", "编制", "审核",
 )
 
+#: Marks that never show: zero-width characters, soft hyphen, bidirectional marks, variation selectors.
+INVISIBLE = r"\u00AD\u034F\u061C\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\u206F\uFE00-\uFE0F\uFEFF"
 #: Anything that is no letter, mark or number, of any script.
 NOISE = r"[^\p{L}\p{M}\p{N}]+"
 #: Marks that never show: zero-width characters, soft hyphen, bidirectional marks, variation selectors.
-INVISIBLE = r"[\u00AD\u034F\u061C\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\u206F\uFE00-\uFE0F\uFEFF]+"
+INVISIBLE = r"\u00AD\u034F\u061C\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\u206F\uFE00-\uFE0F\uFEFF"
 #: Where a field ends.
 FIELD_END = r"[\n\r\u000B\u000C\u0085\u2028\u2029;\uFF1B|\uFF5C]+"
 
 
+def _visible(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{INVISIBLE}]+", "")
+
+
 def _letters(text: Column) -> Column:
     return F.lower(F.upper(F.regexp_replace(text, NOISE, "")))
 
 
 def fold(text: Column) -> Column:
     """Letters, marks and numbers only, without case."""
-    return _letters(F.regexp_replace(text, INVISIBLE, ""))
+    return _letters(_visible(text))
 
 
 def _field_pattern(labels: Sequence[str]) -> str:
+    """How a field begins: a known label and any separator, or one to four words, or
+    up to eight Han characters, and a colon or equals sign."""
     gap = r"[^\p{L}\p{M}\p{N}\r\n]*"
     names = "|".join(gap.join(label.replace(" ", "")) for label in labels)
     # the labels are looked for only where a segment begins with a letter of one
     starts = "".join(sorted({c for label in labels for c in (label[0].lower(), label[0].upper())}))
-    return rf"(?iu)^{gap}(?=[{starts}])(?:{names})[^\p{{L}}\p{{M}}\p{{N}}]*[:\uFF1A=\uFF1D\-\u2010-\u2015\u2212\uFF0D_/][^\p{{L}}\p{{M}}\p{{N}}]*"
+    known = rf"(?=[{starts}])(?iu:{names}){gap}[:\uFF1A=\uFF1D\-\u2010-\u2015\u2212\uFF0D_/]" if labels else "(?!)"
+    word = r"[\p{L}\p{M}\p{N}]{1,20}+"
+    other = rf"(?:{word}(?:[^\p{{L}}\p{{M}}\p{{N}}\r\n:\uFF1A=\uFF1D]{{1,3}}+{word}){{0,3}}+|\p{{IsHan}}{{2,8}}+){gap}[:\uFF1A=\uFF1D]"
+    return rf"^{gap}+(?:{known}|{other})"
 
 
 def canonical_text(text: Column, labels: Sequence[str] = FIELD_LABELS) -> Column:
@@ -58,10 +69,11 @@ def canonical_text(text: Column, labels: Sequence[str] = FIELD_LABELS) -> Column
 
     Fields end at a line break, semicolon or vertical bar. The leading segments
     that begin with a label and a separator are the fields; blank segments and
-    rules of signs between them are skipped.
+    rules of signs between them are skipped. A label need not be listed: a short
+    head before a colon or equals sign is one. ``labels`` are those that also stand
+    before dashes, slashes and underscores.
     """
-    clean = F.regexp_replace(text, INVISIBLE, "")
-    parts = F.filter(F.split(clean, FIELD_END), lambda p: p.rlike(r"[\p{L}\p{M}\p{N}]"))
+    parts = F.filter(F.split(_visible(text), FIELD_END), lambda p: p.rlike(r"[\p{L}\p{M}\p{N}]"))
     # label and value stay apart by a tab, so that a longer label never meets a shorter value
     first_other = F.array_position(F.transform(parts, lambda p: p.rlike(_field_pattern(labels))), False)
     head = F.when(first_other == 0, F.size(parts)).otherwise(first_other - 1).cast("int")
@@ -71,7 +83,7 @@ def canonical_text(text: Column, labels: Sequence[str] = FIELD_LABELS) -> Column
 
 
 def _usable(records: DataFrame, key: str, name: str, text: str) -> DataFrame:
-    shown = F.col(key).isNotNull() & F.regexp_replace(F.col(text), INVISIBLE, "").rlike(r"(?U)\S")
+    shown = F.col(key).isNotNull() & F.col(text).rlike(rf"(?U)[^\s{INVISIBLE}]")
     return records.where(shown).select(
         F.col(key).alias("key"), F.coalesce(F.col(name), F.lit("")).alias("name"), F.col(text).alias("text"),
         F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(name), F.lit("")), F.col(text)), 256).alias("raw"),
@@ -92,13 +104,20 @@ def collapse_formatting(records: DataFrame, key: str, name: str, text: str) -> D
     """One row per group of records that differ only in formatting.
 
     ``first_id`` is the smallest key of the group, ``spellings`` the number of its
-    byte-different forms and ``copies`` the number of its rows, repeats included.
-    Records with a null key, or whose text is null or blank (white space and
-    invisible marks only), are kept out; a null name counts as an empty one.
+    byte-different forms, ``copies`` the number of its different keys and
+    ``copied_rows`` that of its rows, repeats included. Records with a null key, or
+    whose text is null or blank (white space and invisible marks only), are kept
+    out; a null name counts as an empty one.
     """
-    return raw_survivors(records, key, name, text).groupBy("canon").agg(
-        F.min("raw_first").alias("first_id"), F.count(F.lit(1)).alias("spellings"), F.sum("raw_rows").alias("copies")
-    ).drop("canon")
+    survivors = runtime.cut(raw_survivors(records, key, name, text), "formatting")
+    held = _usable(records, key, name, text).select("key", "raw")
+    # many keys may hold one form: they are counted by form first, then by group
+    keys = held.distinct().groupBy("raw").agg(F.count(F.lit(1)).alias("raw_keys"))
+    by_form = survivors.join(keys, "raw")
+    groups = by_form.groupBy("canon").agg(
+        F.min("raw_first").alias("first_id"), F.count(F.lit(1)).alias("spellings"), F.sum("raw_keys").alias("copies"), F.sum("raw_rows").alias("copied_rows")
+    )
+    return groups.drop("canon")
 
 
 def formatting_copies(records: DataFrame, key: str, name: str, text: str) -> DataFrame:

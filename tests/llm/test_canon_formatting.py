@@ -67,11 +67,19 @@ def test_formatting_copies(spark):
     rows += [(20 + i, "A_b.pdf", t, "", "") for i, t in enumerate(OTHER)] + [(30, "A_b.pdf", None, "", ""), (31, "A_b.pdf", " ​\n", "", ""), (None, "A_b.pdf", TEXT, "", ""), (32, None, TEXT, "", ""), (33, "", TEXT, "", "")]
     got = sorted(tuple(r) for r in formatting.formatting_copies(_files(spark, rows), "fid", "name", "page").collect())
     assert got == [(5, 7), (5, 8), (5, 9), (32, 33)]
-    counted = {r.first_id: (r.spellings, r.copies) for r in formatting.collapse_formatting(_files(spark, rows), "fid", "name", "page").collect()}
-    assert counted[5] == (3, 5) and counted[32] == (1, 2)
+    counted = {r.first_id: (r.spellings, r.copies, r.copied_rows) for r in formatting.collapse_formatting(_files(spark, rows), "fid", "name", "page").collect()}
+    assert counted[5] == (3, 4, 5) and counted[32] == (1, 2, 2)
     assert formatting.formatting_copies(_files(spark, []), "fid", "name", "page").count() == 0
 
 
+def test_labels_that_are_not_listed(spark):
+    one = "Batch Size: 40\nStorage Room: B 7\nPrüfer: M. Weiß\nThe run took long. It ended late"
+    other = "PRÜFER： m weiß; storage-room = b7; batch size:40\n***\nThe run took long. It ended late."
+    rows = [(1, "n", one, "", ""), (2, "n", other, "", ""), (3, "n", one.replace("Batch Size: 40", "Batch Size: B 7").replace("Room: B 7", "Room: 40"), "", "")]
+    got = sorted(tuple(r) for r in formatting.formatting_copies(_files(spark, rows), "fid", "name", "page").collect())
+    assert got == [(1, 2)]
+
+
 def test_hot_copies(spark, monkeypatch):
     from calyx import runtime
 
