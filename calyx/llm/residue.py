@@ -1,11 +1,13 @@
 """Template residue, filler, error pages and script notices in document texts.
 
-Each kind has its own grammar, one regular expression per delimiter style, run by
-the JVM over whole texts. Before the grammars run, passages that only speak of
-such things are discounted: fenced code, lines of code, settings in JSON, and
-sentences about macros, syntax or markers, and sentences near which template
-languages are named again and again. A text that is mostly code, or names template
-languages often for its length, is a tutorial; none of its slots is counted.
+Each kind has its own grammar, one regular expression per delimiter style or
+language, run by the JVM over whole texts; grammars of Chinese run only over texts
+with Han characters. What a grammar finds is looked for again without the passages
+that only speak of such things: fenced code, runs of code lines, settings in JSON,
+sentences about macros, syntax, markers or a wording that is quoted, and, for
+slots, sentences near which template languages are named again and again. A text
+that is mostly code, or names template languages often for its length, is a
+tutorial; nothing in it is counted.
 """
 
 from __future__ import annotations
@@ -59,6 +61,25 @@ SLOT_GRAMMARS = {
     "open_zh": r"[\[【〔（(《{<][^\[【〔（(《{<\n\]】〕）)》}>]{1,30}(?:待填写?|待补充?|待定|待确认)[\]】〕）)》}>]|[〔\[【][^〕\]】\n]{1,30}[〕\]】](?:待定|待填|待补)",
 }
 
+def _either(words: str) -> str:
+    """A pattern for any of the words, parted by bars, in which common beginnings are tried once."""
+    tree: dict = {}
+    for word in words.split("|"):
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ends = "" in node
+        parts = [c + pattern(n) for c, n in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)}){'?' if ends else ''}" if ends or len(parts) > 1 else parts[0]
+
+    return pattern(tree)
+
+
 _LATIN = (
     "lorem|ipsum|dolor|amet|consectetur|consectetuer|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua|"
     "enim|veniam|quis|nostrud|ullamco|laboris|nisi|aliquip|commodo|duis|aute|irure|voluptate|velit|esse|cillum|fugiat|"
@@ -71,7 +92,7 @@ _FILLER_ZH = "示例文字|示例文本|此处为占位文本|占位文本|占
 
 #: Filler in place of content.
 FILLER_GRAMMARS = {
-    "latin": rf"(?i)\b(?:lorem ipsum|lipsum)\b|(?:^|[\s.,])(?:(?:{_LATIN})[\s.,]+){{4}}(?:{_LATIN})\b",
+    "latin": rf"(?i)\b(?:lorem ipsum|lipsum)\b|(?:^|[\s.,])(?:{_either(_LATIN)}[\s.,]+){{4}}{_either(_LATIN)}\b",
     "english": (
         r"(?i)\b(?:(?:body |your |main )?(?:text|title|content|heading|copy|paragraph) (?:goes|comes) here"
         r"|(?:your|insert|add|enter) (?:own )?(?:text|content|title|heading|copy|paragraph|name|words) (?:here|in this (?:spot|place|space))|replace this (?:with|text|paragraph|by)"
@@ -110,6 +131,18 @@ ERROR_GRAMMARS = {
     "spanish": r"(?i)(?<!\p{L})(?=[enpsaiv])(?:Error interno al|No encontramos la página|página no encontrada|Su sesión (?:ha )?(?:caducado|expirado|caducó|expiró)|Acceso denegado(?:[.!]| a este documento)|no tiene permiso para|inicie sesión de nuevo|vuelva a iniciar)",
 }
 
+ERROR_GRAMMARS["other"] = (
+    r"(?i)(?<!\p{L})(?=[pies])(?:Pagina (?:web )?non trovata|Pagina niet gevonden|Página não encontrada|Errore interno del server|Interne serverfout|Erro interno do servidor|"
+    r"Sessione scaduta|Uw sessie is verlopen|Sua sessão expirou)|ページが見つかりません|お探しのページは|サーバー(?:内部)?エラー|アクセスが拒否され|セッションの有効期限が切れ"
+)
+#: A whole text that is short, names a failure with a status and asks to act, is an error page in whatever words.
+SHORT_PAGE = 200
+STATUS_PAGE = r"(?iu)^\W{0,5}(?:http\S{0,4} ?)?(?:(?:error|erreur|fehler|errore|fout|erro|エラー|오류|错误|錯誤)[\s:#：-]{0,3})?[45]\d\d(?!\d)[\s:：|.-]{0,4}(?:\p{L}|$)"
+ACT_NOW = (
+    r"(?iu)\b(?:try again|retry|reload|refresh|go back|return to|log ?in|sign ?in|contact (?:your|the|us)|erneut|neu laden|zurück|réessay|recharg|revenir|connectez|"
+    r"inténtelo|intente|vuelva|recargue|riprova|ricarica|torna|probeer|ververs|tente novamente|recarregue)\b|再試行|もう一度|再読み込み|다시|重试|刷新|返回|重新登录|联系管理员"
+)
+
 #: Notices that scripts are needed.
 SCRIPT_GRAMMARS = {
     "english": (
@@ -126,11 +159,27 @@ SCRIPT_GRAMMARS = {
     "spanish": r"(?i)(?<!\p{L})(?=[sjahvp])(?:scripts están (?:bloqueados|desactivados)|JavaScript está (?:apagado|desactivado|deshabilitado)|(?:Active|Habilite) (?:JavaScript|los scripts)|(?:vista|página) (?:exige|necesita|requiere) scripts)",
 }
 
+SCRIPT_GRAMMARS["other"] = (
+    r"(?i)(?<!\p{L})(?=[jash])(?:JavaScript (?:è disattivato|è disabilitato|is uitgeschakeld|está desativado)|(?:Abilita(?:re)?|Attiva(?:re)?|Schakel|Habilite|Ative) (?:o |il )?JavaScript)"
+    r"|JavaScript\s*(?:を有効|が無効|を許可)|스크립트를 (?:허용|사용)"
+)
+
 _META = r"(?i)\b(?:macros?|syntax|style fields?|notation|separators?|regex(?:es)?|regular expressions?|escape sequence|(?:is|are) defined in|tags? such as|fields? such as|written as|kept as typed)\b|语法|宏|正则|分隔符|格式的字段|形如"
-_CODE = r"```|(?m:^\s*(?:def |return |import |from \w+ import |class |for \w+ in |if .*:$|SELECT |INSERT |#include|function |var |const |let ))|\{\s*\""
-_CODE_LINE = r"(?m)^\s*(?:def |return |import |from \w+ import |class |for \w+ in |if .*:$|SELECT |INSERT |#include|function |var |const |let ).*$"
+#: A wording that is quoted: it is named as a word, phrase or message, and something is said of it.
+_MENTION = (
+    r"(?iu)\b(?:words?|phrases?|messages?|terms?|strings?|expressions?|wording|notices?|captions?)\b[^\n]{0,90}?\b(?:is|are|was|were) (?:only |just |never |always |often |usually )?"
+    r"(?:used|shown|written|displayed|defined|meant|quoted|listed|kept|typed|explained|called|understood|an example)\b"
+    r"|\b(?:das wort|die meldung|der ausdruck|le mot|le message|l.expression|la palabra|el mensaje|la expresión)\b[^\n]{0,90}?\b(?:wird|bedeutet|steht|est|signifie|désigne|se usa|significa|es)\b"
+    r"|(?:一词|字样|该提示语|这句话|术语)[^\n。]{0,40}(?:表示|是指|指的是|用于|仅)"
+)
+_STATEMENT = (
+    r"(?:def |return |import |from \w+ import |class |for \w+ in |if .*:$|SELECT |INSERT |#include|function |var |const |let |raise |throw |print\(|"
+    r"[a-z_][\w.]*(?:\[[^\]\n]*\])? ?[+*/-]?= ?(?:[rbf]?[\"'`]|[\[{(\d]|[a-zA-Z_][\w.]*\()|[a-z_][\w.]*\([^)\n]*\);?\s*$)"
+)
+_CODE = rf"```|(?m:^\s*{_STATEMENT})|\{{\s*\""
+_CODE_LINE = rf"(?m)^\s*{_STATEMENT}.*$"
 
-#: Passages that only speak of slots: fenced code, lines of code, settings in JSON.
+#: Passages that only speak of such things: fenced code, lines of code, settings in JSON.
 CODE_PASSAGES = (
     r"(?s)```.*?```|```.*?(?=\n\s*\n|$)",  # a fence left open ends at the next blank line
     _CODE_LINE,
@@ -151,8 +200,13 @@ def _any(patterns: dict[str, str]) -> str:
 _SLOT_START = r"(?=[\[{<$«@#%?_＿【〔（(《×ＸXT])"
 
 
-def discounted(text: Column) -> Column:
-    """``text`` without code, settings and sentences that speak of markers; empty if it is a tutorial.
+#: Grammars that need Han characters.
+HAN_GRAMMARS = {"chinese", "repeated_phrase"}
+
+
+def discounted(text: Column, spoken: str, tutorials: bool) -> Column:
+    """``text`` without code, settings and sentences that match ``spoken``; empty if it
+    is mostly code or, with ``tutorials``, about template languages.
 
     Sentences are split once and filtered, so the cost stays linear in the text.
     """
@@ -164,30 +218,45 @@ def discounted(text: Column) -> Column:
     sentences = F.filter(F.split(text, r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n"), lambda s: s.rlike(r"\S"))
     width = NEAR * 2 + 1
     tutorial = code | ((names >= TUTORIAL_MENTIONS) & (names * width >= F.size(sentences)))
-    kept = F.filter(sentences, lambda s: ~s.rlike(_META))
+    kept = F.filter(sentences, lambda s: ~s.rlike(spoken))
+    if not tutorials:
+        return F.when(code, "").otherwise(F.array_join(kept, "\n"))
     named = F.transform(sentences, lambda s: F.regexp_count(s, F.lit(_TUTORIAL)))
     pad = F.array_repeat(F.lit(0), NEAR)
     near = F.arrays_zip(sentences.alias("s"), *[F.slice(F.concat(pad, named, pad), i + 1, F.size(sentences)).alias(f"n{i}") for i in range(width)])
-    apart = F.filter(near, lambda x: ~x["s"].rlike(_META) & (sum((x[f"n{i}"] for i in range(width)), F.lit(0)) < TUTORIAL_MENTIONS))
+    apart = F.filter(near, lambda x: ~x["s"].rlike(spoken) & (sum((x[f"n{i}"] for i in range(width)), F.lit(0)) < TUTORIAL_MENTIONS))
     local = F.transform(apart, lambda x: x["s"])
     return F.when(tutorial, "").otherwise(F.array_join(F.when(names >= TUTORIAL_MENTIONS, local).otherwise(kept), "\n"))
 
 
+def _found(text: Column, grammars: dict[str, str]) -> Column:
+    """Whether a grammar matches; those of Chinese are tried only where there are Han characters."""
+    han = {k: p for k, p in grammars.items() if k in HAN_GRAMMARS}
+    found = text.rlike(_any({k: p for k, p in grammars.items() if k not in han}))
+    return found | (text.rlike(r"\p{IsHan}") & text.rlike(_any(han))) if han else found
+
+
+def _quoted(text: Column, grammars: dict[str, str]) -> Column:
+    """Whether the grammars match only in passages that speak of what they look for."""
+    return text.rlike(f"{_META}|{_MENTION}|{_CODE}|{_TUTORIAL}") & ~_found(discounted(text, f"{_META}|{_MENTION}", False), grammars)
+
+
 def residue_kinds(text: Column) -> Column:
     """The kinds found in ``text``: an array of slot, filler, error and script.
 
     Null, blank and empty texts give an empty array. Whole texts are searched.
-    Only a text with both a slot and something to discount is searched again.
+    Only a text with a find and something to discount is searched again.
     """
     slots = f"{_SLOT_START}(?:{_any(SLOT_GRAMMARS)})"
     speaks = text.rlike(f"{_META}|{_CODE}|{_TUTORIAL}")
-    slot = text.rlike(slots) & F.when(speaks, discounted(text).rlike(slots)).otherwise(True)
+    slot = text.rlike(slots) & F.when(speaks, discounted(text, _META, True).rlike(slots)).otherwise(True)
+    page = (F.length(text) <= SHORT_PAGE) & text.rlike(STATUS_PAGE) & text.rlike(ACT_NOW) & ~text.rlike(f"{_META}|{_MENTION}|{_CODE}")
     kinds = F.array_compact(
         F.array(
             F.when(slot, F.lit("slot")),
-            F.when(text.rlike(_any(FILLER_GRAMMARS)), F.lit("filler")),
-            F.when(text.rlike(_any(ERROR_GRAMMARS)), F.lit("error")),
-            F.when(text.rlike(_any(SCRIPT_GRAMMARS)), F.lit("script")),
+            F.when(_found(text, FILLER_GRAMMARS) & ~_quoted(text, FILLER_GRAMMARS), F.lit("filler")),
+            F.when((_found(text, ERROR_GRAMMARS) & ~_quoted(text, ERROR_GRAMMARS)) | page, F.lit("error")),
+            F.when(_found(text, SCRIPT_GRAMMARS) & ~_quoted(text, SCRIPT_GRAMMARS), F.lit("script")),
         )
     )
     return F.coalesce(kinds, F.array().cast("array<string>"))

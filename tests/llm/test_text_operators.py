@@ -141,6 +141,12 @@ def test_mix_of_nothing(spark):
         ("Lorem ipsum dolor sit amet", ["filler"]), ("示例文字 示例文字。", ["filler"]), ("第九章的示例文字已删除。", []), ("test test test test test", ["filler"]), ("Not done, not done, not done, done", []),
         ("fed ad libitum in situ", []), ("404 Page not found", ["error"]), ("portal returned error 404 twice and it was fixed", []), ("错误 403：您没有权限查看此文档。", ["error"]),
         ("Your session has expired. Sign in again to continue.", ["error"]), ("JavaScript is disabled in your browser", ["script"]), ("Sites were told that JavaScript must be enabled in the portal.", []),
+        ('Shown in code:\n```\nraise Exception("Internal server error")\n```\nThat was all.', []), ("The message 'Page not found' is written as plain text and the syntax is defined in section 4.", []),
+        ("The word lorem ipsum is used as an example of syntax.", []), ("The phrase JavaScript is disabled is shown as a tag and is defined in the glossary.", []),
+        ('a = 1\nb = load("x")\nz = "{{ name }}"\nprint(z)', []), ('a = load(1)\nraise Exception("Internal server error")', []),
+        ("The message is short. 404 Page not found", ["error"]), ("Fehler 503\nBitte versuchen Sie es erneut.", ["error"]), ("Errore 500. Riprova più tardi.", ["error"]),
+        ("ページが見つかりません。", ["error"]), ("Pagina niet gevonden.", ["error"]), ("Schakel JavaScript in om verder te gaan.", ["script"]), ("Error 404 was seen twice in the log of visit 3.", []),
+        ("Sed ut enim ad veniam quis nostrud", ["filler"]),
         ("请启用浏览器脚本后重试。", ["script"]), ("已告知各中心日记卡门户需要启用脚本", []), ("", []), (None, []), ("x" * 300_000, []), ("word " * 3 + "a. " * 60_000, []), ("[" * 50_000, []),
     ],
 )
