@@ -146,7 +146,7 @@ def test_mix_of_nothing(spark):
         ('a = 1\nb = load("x")\nz = "{{ name }}"\nprint(z)', []), ('a = load(1)\nraise Exception("Internal server error")', []),
         ("The message is short. 404 Page not found", ["error"]), ("Fehler 503\nBitte versuchen Sie es erneut.", ["error"]), ("Errore 500. Riprova più tardi.", ["error"]),
         ("ページが見つかりません。", ["error"]), ("Pagina niet gevonden.", ["error"]), ("Schakel JavaScript in om verder te gaan.", ["script"]), ("Error 404 was seen twice in the log of visit 3.", []),
-        ("Sed ut enim ad veniam quis nostrud", ["filler"]),
+        ("Sed ut enim veniam quis nostrud", ["filler"]),
         ("请启用浏览器脚本后重试。", ["script"]), ("已告知各中心日记卡门户需要启用脚本", []), ("", []), (None, []), ("x" * 300_000, []), ("word " * 3 + "a. " * 60_000, []), ("[" * 50_000, []),
     ],
 )
