@@ -64,27 +64,35 @@ def p2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _truth(spark, sf_dir).sources
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = canon.reference_entries(table(spark, sf_dir, "canon_value"), "canon_id", "field", "label", "aliases")
+def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The typed values of both fields, and the reference list."""
     notes = table(spark, sf_dir, "serology_row").select(
         F.lit("note").alias("field"), F.col("serology_id").alias("row_id"), F.col("note").alias("value")
     )
     metrics = table(spark, sf_dir, "pzfx_table").select(
         F.lit("metric").alias("field"), F.col("pzfx_id").alias("row_id"), F.col("metric").alias("value")
     )
-    mapped = canon.map_values(notes.unionByName(metrics), "field", "row_id", "value", entries)
-    return mapped.select("field", "row_id", "canon_id").distinct()
+    return notes.unionByName(metrics), canon.reference_rows(table(spark, sf_dir, "canon_value"), "canon_id", "field", "label", "aliases")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values, reference = _typed(spark, sf_dir)
+    return canon.map_values(values, "field", "row_id", "value", reference).select("field", "row_id", "canon_id").distinct()
 
 
 def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that fit no entry, with the number of their rows."""
-    entries = canon.reference_entries(table(spark, sf_dir, "canon_value"), "canon_id", "field", "label", "aliases")
-    notes = table(spark, sf_dir, "serology_row").select(F.lit("note").alias("field"), F.col("serology_id").alias("row_id"), F.col("note").alias("value"))
-    metrics = table(spark, sf_dir, "pzfx_table").select(F.lit("metric").alias("field"), F.col("pzfx_id").alias("row_id"), F.col("metric").alias("value"))
-    mapped = canon.map_values(notes.unionByName(metrics), "field", "row_id", "value", entries).where("canon_id = 0")
+    values, reference = _typed(spark, sf_dir)
+    mapped = canon.map_values(values, "field", "row_id", "value", reference).where("canon_id = 0")
     return mapped.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries within reach of each different value, not only the best."""
+    values, reference = _typed(spark, sf_dir)
+    return canon.entries_within(values, "field", "value", reference)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.formatting_copies(table(spark, sf_dir, "pdf_file"), "file_id", "name", "page1_text")
 
@@ -194,7 +202,7 @@ SQL["p2_found"] = f"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_clusters, p2_found, p2_survivors, p2_sources, p3_found, p3_unmatched, p4_found, p4_records,
+        p1_found, p1_clusters, p2_found, p2_survivors, p2_sources, p3_found, p3_unmatched, p3_candidates, p4_found, p4_records,
         p5_found, p5_groups, p6_ids, p6_roundtrip, p7_mix, p7_report, p7_temperature, p8_found, p8_clean,
     )}
 

@@ -45,12 +45,45 @@ def test_automaton_against_plain_distance():
         assert {i: r[0] for i, r in trie.within(value).items()} == want
 
 
+def _reference(spark, entries=ENTRIES):
+    rows = spark.createDataFrame([(e, f, a, list(b)) for e, f, a, b in entries], "entry int, field string, label string, aliases array<string>")
+    return canon.reference_rows(rows, "entry", "field", "label", "aliases")
+
+
 def test_rows(spark):
     rows = spark.createDataFrame([("note", 1, "neg"), ("note", 1, "neg"), ("note", 2, None), ("note", 3, "　"), ("note", 4, "Negative"), ("note", 5, "GMC")], "field string, row_id long, value string")
-    got = sorted((r.row_id, r.canon_id) for r in canon.map_values(rows, "field", "row_id", "value", ENTRIES).collect())
+    got = sorted((r.row_id, r.canon_id) for r in canon.map_values(rows, "field", "row_id", "value", _reference(spark)).collect())
     assert got == [(1, 1), (1, 1), (5, 0)]
-    assert canon.map_values(rows.limit(0), "field", "row_id", "value", ENTRIES).count() == 0
-    assert {r.canon_id for r in canon.map_values(rows, "field", "row_id", "value", ()).collect()} == {0}
+    assert canon.map_values(rows.limit(0), "field", "row_id", "value", _reference(spark)).count() == 0
+    assert {r.canon_id for r in canon.map_values(rows, "field", "row_id", "value", _reference(spark, ())).collect()} == {0}
+
+
+def test_long_labels_may_have_any_words_cut():
+    label = "Quantitative determination of haemagglutination inhibition antibodies against seasonal influenza viruses"
+    mapper = canon.Mapper(((1, "note", label, ()), (2, "note", "Quantitative determination of something else entirely", ())))
+    for value in ("Quant determ of haemag inhib antib again season influe virus", "against seasonal influenza viruses quantit determination of haemagg inhibition antibodies"):
+        assert mapper.entry("note", value) == 1
+    assert mapper.entry("note", "Quant determ of haemag inhib antib") == 0
+
+
+def test_a_list_in_parts_gives_the_same(spark, monkeypatch):
+    from calyx import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 4)
+    monkeypatch.setattr(runtime, "HOT_KEYS", 10**9)
+    values = ["Negatiev", "neg", "WEAK. POSITIVE / am", "Lost to follo", "courier ok", "NAA", "阳样性", "negative", None, "Negative"]
+    rows = spark.createDataFrame([("note", i, values[i % len(values)]) for i in range(60)] + [("note", 100 + i, "neg") for i in range(9)], "field string, row_id long, value string")
+    whole = canon.map_values(rows, "field", "row_id", "value", _reference(spark))
+    parted = canon.map_values(rows, "field", "row_id", "value", _reference(spark), most=2)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parted.collect())) and whole.where("canon_id > 0").count() > 40
+
+
+def test_all_entries_within_reach(spark):
+    entries = ((1, "note", "Sample clear", ()), (2, "note", "Sample clean", ()), (3, "note", "Other", ()))
+    rows = spark.createDataFrame([("note", 1, "sample cleax"), ("note", 2, "sample cleax"), ("note", 3, "nothing")], "field string, row_id long, value string")
+    got = sorted((r.value, r.canon_id, r.errors) for r in canon.entries_within(rows, "field", "value", _reference(spark, entries)).collect())
+    assert got == [("sample cleax", 1, 1), ("sample cleax", 2, 1)]
+    assert canon.Mapper(entries).entry("note", "sample cleax") == 0  # a tie
 
 
 TEXT = "Document No: D-12\nProtocol: X-1\n\nThe first line. And more"
