@@ -6,6 +6,8 @@ never fail under ANSI mode. A struct is null unless all of its parts parse.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,13 +63,22 @@ def triple(text: Column) -> Column:
     forms = []
     for unit in ("%", ""):
         pattern = rf"{_DEC}{unit}\s*{_OPEN}\s*{_DEC}{unit}\s*{_COMMA}\s*{_DEC}{unit}\s*{_SHUT}"
-        mid, lo, up = (number(part(text, pattern, g)) for g in (1, 2, 3))
-        forms.append(_all_or_none(F.struct(lo.alias("lo"), mid.alias("mid"), up.alias("up")), lo, mid, up))
+        forms.append(_with(F.regexp_extract_all(F.regexp_extract(text, pattern, 0), F.lit(_DEC), F.lit(1)), _three))
     one = number(part(text, _DEC, 1))
     forms.append(_all_or_none(F.struct(one.alias("lo"), one.alias("mid"), one.alias("up")), one))
     return F.coalesce(*forms)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _three(found: Column) -> Column:
+    mid, lo, up = (number(F.get(found, F.lit(i))) for i in range(3))
+    return _all_or_none(F.struct(lo.alias("lo"), mid.alias("mid"), up.alias("up")), lo, mid, up)
+
+
 def count_and_share(text: Column) -> Column:
     """``3 ( 30.00)`` as (n, share) with the share as a fraction."""
     pattern = rf"^\s*(\d+)\s*\(\s*{_NUM}\s*\)"

@@ -11,7 +11,7 @@ from calyx.functions.identifiers import MARKERS, scanned_sample_id
 from calyx.functions.numbers import part
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "".join("\\" + c if c in r"\^$.|?*+()[]{}-/" else c for c in text)
 
 
@@ -32,7 +32,7 @@ class Rules:
     def count(self, text: Column) -> Column:
         """Hits of every rule in the text as given."""
         hits = F.lit(0)
-        for pattern in (*(_quoted(old) for old, _ in self.literals), *(p for p, _ in self.regexes)):
+        for pattern in (*(quoted(old) for old, _ in self.literals), *(p for p, _ in self.regexes)):
             hits = hits + F.regexp_count(text, F.lit(pattern))
         return hits
 
@@ -40,7 +40,7 @@ class Rules:
         """Replacements made when the rules run one after the other."""
         total = F.lit(0)
         for old, new in self.literals:
-            total = total + F.regexp_count(text, F.lit(_quoted(old)))
+            total = total + F.regexp_count(text, F.lit(quoted(old)))
             text = F.replace(text, F.lit(old), F.lit(new))
         for pattern, new in self.regexes:
             total = total + F.regexp_count(text, F.lit(pattern))
@@ -64,7 +64,7 @@ def snippets(text: Column, keyword: str, context: int = 500, misaligned: bool =
     ``misaligned`` gives what an older report printed: what follows hit i, the
     keyword, and what follows hit i + 1, cut at twice the context.
     """
-    pieces = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), _quoted(keyword))
+    pieces = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), quoted(keyword))
     at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: i > 0)
     if misaligned:
         return F.transform(at, lambda i: F.trim(F.left(F.concat(F.right(F.get(pieces, i), F.lit(context)), F.lit(keyword), F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(context))), F.lit(2 * context))))
@@ -73,9 +73,9 @@ def snippets(text: Column, keyword: str, context: int = 500, misaligned: bool =
 
 def keyword_windows(text: Column, keywords: Sequence[str], window: int, least: int, cap: int, mark: str = "\n\n...[cut]...\n\n") -> Column:
     """Merged windows around keywords: short texts stay, texts without a hit keep their beginning, the result is capped."""
-    any_word = "(?i)" + "|".join(keywords)
+    any_word = "(?i)(" + "|".join(map(quoted, keywords)) + ")"
     parts = F.split(text, any_word)
-    hits = F.regexp_extract_all(text, F.lit("(?i)(" + "|".join(keywords) + ")"), F.lit(1))
+    hits = F.regexp_extract_all(text, F.lit(any_word), F.lit(1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
 
     def step(acc: Column, i: Column) -> Column:

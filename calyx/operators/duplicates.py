@@ -15,6 +15,5 @@ def duplicate_members(records: DataFrame, key: str, group: Column) -> DataFrame:
     value are shuffled.
     """
     keyed = records.select(key, group.alias("_group")).where(F.col("_group").isNotNull())
-    hot = runtime.hot_threshold(0)
-    found = runtime.attach_group(keyed, ["_group"], [F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")], hot)
+    found = runtime.attach_group(keyed, ["_group"], [F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")])
     return found.where("copies > 1").drop("_group")

@@ -13,23 +13,31 @@ from calyx import runtime
 
 
 def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """All ``node`` reachable from the seeds over ``edges(src, dst)``; cycles are fine.
+    """``node, level`` of all nodes reachable from the seeds over ``edges(src, dst)``; cycles are fine.
 
-    Semi-naive: each round follows only the nodes that are new.
+    Semi-naive: each round follows only the nodes that are new and appends them to
+    what was visited, which is never written again. A graph that is deeper than
+    ``max_rounds`` raises an error.
     """
-    links = runtime.cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "links")
-    visited = runtime.Stage(seeds.where("node is not null").select("node", F.lit(0).alias("level")).distinct(), "visited")
-    frontier = visited.df
+    links = runtime.Stage(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "links")
+    visited = [runtime.Stage(seeds.where("node is not null").select("node", F.lit(0).alias("level")).distinct(), "visited")]
     for level in range(1, max_rounds + 1):
-        step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        new = runtime.Stage(step.join(visited.df.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "frontier")
+        known = _joined(visited)
+        step = visited[-1].df.join(links.df, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        new = runtime.Stage(step.join(known.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "visited")
+        visited.append(new)
         if new.df.limit(1).count() == 0:
-            new.drop()
             break
-        grown = runtime.Stage(visited.df.unionByName(new.df), "visited")
-        visited.drop()
-        visited, frontier = grown, new.df
-    return visited.df
+    else:
+        raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
+    links.drop()
+    return _joined(visited)
+
+
+def _joined(stages: list[runtime.Stage]) -> DataFrame:
+    """All of the stages as one scan."""
+    first = stages[0]
+    return first.spark.read.schema(first.df.schema).parquet(*[s.path for s in stages])
 
 
 def clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:

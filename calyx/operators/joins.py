@@ -76,7 +76,7 @@ def audit(actual: DataFrame, expected: DataFrame, keys: Sequence[str], value: st
 def duplicates_by(files: DataFrame, key: str, group: Column, reason: str) -> DataFrame:
     """``first, other, reason`` for every member of a group but its first; groups are not expanded into pairs."""
     keyed = files.select(F.col(key).alias("other"), group.alias("_group")).where("_group is not null").distinct()
-    led = runtime.attach_group(keyed, ["_group"], [F.min("other").alias("first")], runtime.hot_threshold(0))
+    led = runtime.attach_group(keyed, ["_group"], [F.min("other").alias("first")])
     return led.where("first != other").select("first", "other", F.lit(reason).alias("reason"))
 
 
@@ -85,20 +85,23 @@ def _grams(words: str, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def tfidf_pairs(docs: DataFrame, key: str, text: str, max_terms: int = 5000, ngrams: int = 2) -> DataFrame:
+def tfidf_pairs(docs: DataFrame, key: str, text: str, max_terms: int | None = 5000, ngrams: int = 2) -> DataFrame:
     """Cosine similarity of all pairs of documents that share a term, ``a < b``.
 
     Terms are one- and two-grams of lower-case words of two or more letters; the
-    vocabulary is cut to the terms with most occurrences (ties by term); idf is
+    vocabulary is cut to the ``max_terms`` terms with most occurrences (ties by term),
+    with None it is whole; idf is
     ln((1 + n) / (1 + df)) + 1 and rows are normalised. The pairs come from a
     self-join on terms; give it documents whose terms are selective, or few.
     """
     words = docs.select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("w"))
     grams = [F.col("w"), *[_grams("w", n) for n in range(2, ngrams + 1)]]
     terms = words.where(F.size("w") > 0).select("id", F.explode(F.concat(*grams)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_terms)
+    vocabulary = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if max_terms is not None:
+        vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_terms)
     n = docs.agg(F.count_distinct(key)).first()[0]
-    weighed = terms.join(F.broadcast(vocabulary), "term").select("id", "term", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+    weighed = terms.join(runtime.small(vocabulary), "term").select("id", "term", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = weighed.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
     other = unit.withColumnsRenamed({"id": "b", "w": "wb"})

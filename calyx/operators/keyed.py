@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from calyx.functions.texts import quoted
+
 
 def filled(value: Column) -> Column:
     """The trimmed value; null if nothing is left."""
@@ -57,7 +59,7 @@ def keyword_score(text: Column, weights: dict[str, int], boundary: str = "[^a-zA
     """Sum of weight times hits; a hit needs a character after the keyword that is no letter or digit."""
     score = F.lit(0)
     for word, weight in weights.items():
-        score = score + F.regexp_count(text, F.lit(word + boundary)) * weight
+        score = score + F.regexp_count(text, F.lit(quoted(word) + boundary)) * weight
     return score
 
 

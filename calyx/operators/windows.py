@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from calyx import runtime
+
 
 def _over(partition: Sequence[str], order: Sequence):
     return W.partitionBy(*partition).orderBy(*order)
@@ -71,15 +73,18 @@ def without_repeats(rows: DataFrame, title: str, partition: Sequence[str], order
 def first_appearance_index(rows: DataFrame, value: str, order: str) -> DataFrame:
     """``value, index``: 0 for the value that appears first, and so on; values are categories, few."""
     seen = rows.groupBy(value).agg(F.min(order).alias("_first"))
-    return seen.select(value, (F.row_number().over(W.orderBy("_first", value)) - 1).alias("index"))
+    return runtime.numbered_within(seen, [], ["_first", value], "_n").select(value, (F.col("_n") - 1).cast("int").alias("index"))
+
 
+def numbered_names(rows: DataFrame, name: str, order: Sequence[str], style: str = "_{n}") -> DataFrame:
+    """Repeated names get a suffix from the second on: ``_1``, ``_2``; style ``（{n}）`` counts from 2.
 
-def numbered_names(name: str, order: Sequence, style: str = "_{n}") -> Column:
-    """Repeated names get a suffix from the second on: ``_1``, ``_2``; style ``（{n}）`` counts from 2."""
-    n = F.row_number().over(_over([name], order))
+    A name that a third of the rows share is numbered in parts, not in one task.
+    """
     before, after = style.split("{n}")
-    shown = n if before == "（" else n - 1
-    return F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(before), shown.cast("string"), F.lit(after)))
+    shown = F.col("_n") if before == "（" else F.col("_n") - 1
+    named = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(before), shown.cast("string"), F.lit(after)))
+    return runtime.numbered_within(rows, [name], order, "_n").withColumn(name, named).drop("_n")
 
 
 def with_dividers(rows: DataFrame, partition: Sequence[str], order: Sequence[str], chapter: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calyx import runtime
 from calyx.functions import identifiers as ids
 from calyx.operators import joins, keyed, similar
 from calyx.runtime import small, table
@@ -150,7 +151,7 @@ def j21_positional(spark: SparkSession, d: str) -> DataFrame:
     nations, customers = table(spark, d, "nation").select("n_nationkey", "n_regionkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
     matched = customers.where("c_custkey % 9 = 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_custkey").alias("c_custkey")).join(nations.where("n_regionkey < 3").select("n_nationkey"), "n_nationkey")
     rest = nations.join(matched, "n_nationkey", "left_anti")
-    numbered = keyed.top_ranked(customers.select("c_custkey").withColumn("_k", F.lit(0)), ["_k"], [F.asc("c_custkey")], 100, "position").drop("_k")
+    numbered = runtime.numbered_within(customers.select("c_custkey"), [], ["c_custkey"], "position")
     by_position = rest.join(numbered, F.col("n_nationkey") == F.col("position")).select("n_nationkey", "c_custkey")
     return matched.select("n_nationkey", "c_custkey", F.lit("rule").alias("how")).unionByName(by_position.withColumn("how", F.lit("position")))
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from calyx.operators import graph, windows
+from calyx import runtime
+from calyx.operators import graph, keyed, windows
 from calyx.runtime import table
 
 _ORD = ["ts", "event_id"]
@@ -88,7 +88,7 @@ def w14_palette(spark: SparkSession, d: str) -> DataFrame:
 
 def w15_unique_names(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pdf_file").select("file_id", F.lower("name").alias("base")).distinct()
-    return rows.select("file_id", windows.numbered_names("base", ["file_id"]).alias("name"))
+    return windows.numbered_names(rows, "base", ["file_id"]).select("file_id", F.col("base").alias("name"))
 
 
 def w16_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -98,10 +98,11 @@ def w16_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w17_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Parts reachable from part 1 over a graph with cycles."""
-    parts = table(spark, d, "part")
-    edges = parts.selectExpr("p_partkey AS src", "(p_partkey * 7 + p_size) % 300 AS dst").unionByName(parts.selectExpr("p_partkey AS src", "(p_partkey * 3 + 1) % 150 AS dst"))
-    return graph.closure(spark.createDataFrame([(1,)], "node long"), edges).select("node", "level")
+    """Slides reachable from those without a title, over the links of slide_match in both directions."""
+    match = table(spark, d, "slide_match").where("similarity >= 0.6 and not isnan(similarity)")
+    edges = match.selectExpr("global_id_a AS src", "global_id_b AS dst").unionByName(match.selectExpr("global_id_b AS src", "global_id_a AS dst"))
+    seeds = table(spark, d, "slide_info").where("title is null").select(F.col("global_id").alias("node"))
+    return graph.closure(seeds, edges).select("node", "level")
 
 
 def w19_sorted(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +113,11 @@ def w19_sorted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w20_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of each priority at most ten examples; the others leave before the shuffle."""
     rows = table(spark, d, "orders")
-    return rows.groupBy("o_orderpriority").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("o_totalprice") > 400_000, F.col("o_orderkey")))), 1, 10).alias("examples")).select("o_orderpriority", F.array_join("examples", ",").alias("examples"))
+    few = keyed.top_ranked(rows.where("o_totalprice > 400000").select("o_orderpriority", "o_orderkey").distinct(), ["o_orderpriority"], [F.asc("o_orderkey")], 10)
+    examples = few.groupBy("o_orderpriority").agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ",").alias("examples"))
+    return rows.select("o_orderpriority").distinct().join(examples, "o_orderpriority", "left").na.fill("", ["examples"])
 
 
 def w21_capped(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +133,8 @@ def w22_cascade(spark: SparkSession, d: str) -> DataFrame:
 def w23_numbering(spark: SparkSession, d: str) -> DataFrame:
     category = F.when(F.col("p_type").contains("STEEL"), "steel").when(F.col("p_type").contains("TIN"), "tin").otherwise("other")
     rows = table(spark, d, "part").select("p_partkey", "p_name", category.alias("category"))
-    return rows.select("p_partkey", "category", F.row_number().over(W.partitionBy("category").orderBy(F.coalesce("p_name", F.lit("")), "p_partkey")).alias("number"))
+    named = rows.withColumn("p_name", F.coalesce("p_name", F.lit("")))
+    return runtime.numbered_within(named, ["category"], ["p_name", "p_partkey"], "number").select("p_partkey", "category", "number")
 
 
 def w24_dividers(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +144,7 @@ def w24_dividers(spark: SparkSession, d: str) -> DataFrame:
 
 def w25_suffixes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "slide_info").select("global_id", F.coalesce("title", F.lit("")).alias("name")).distinct()
-    return rows.select("global_id", F.md5(windows.numbered_names("name", ["global_id"], "（{n}）")).alias("name"))
+    return windows.numbered_names(rows, "name", ["global_id"], "（{n}）").select("global_id", F.md5("name").alias("name"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] == "w" and n[1].isdigit()}
@@ -165,7 +170,8 @@ SQL = {
     "w15_unique_names": "WITH r AS (SELECT file_id, base, row_number() OVER (PARTITION BY base ORDER BY file_id) AS n FROM (SELECT DISTINCT file_id, lower(name) AS base FROM pdf_file)) SELECT file_id, CASE WHEN n = 1 THEN base ELSE concat(base, '_', n - 1) END AS name FROM r",
     "w16_clusters": """WITH RECURSIVE e AS (SELECT global_id_a AS a, global_id_b AS b FROM slide_match WHERE similarity >= 0.6 AND NOT isnan(similarity) AND global_id_a IS NOT NULL AND global_id_b IS NOT NULL AND global_id_a <> global_id_b UNION SELECT global_id_b, global_id_a FROM slide_match WHERE similarity >= 0.6 AND NOT isnan(similarity) AND global_id_a IS NOT NULL AND global_id_b IS NOT NULL AND global_id_a <> global_id_b),
         r AS (SELECT DISTINCT global_id AS id, global_id AS other FROM slide_info UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a), c AS (SELECT id AS node, min(other) AS label FROM r GROUP BY 1) SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM c""",
-    "w17_closure": """WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7 + p_size) % 300 AS b FROM part UNION SELECT p_partkey, (p_partkey * 3 + 1) % 150 FROM part), r AS (SELECT 1 AS node, 0 AS level UNION SELECT e.b, r.level + 1 FROM r JOIN e ON r.node = e.a WHERE r.level < 60) SELECT node, min(level) AS level FROM r GROUP BY 1""",
+    "w17_closure": """WITH RECURSIVE m AS (SELECT global_id_a AS a, global_id_b AS b FROM slide_match WHERE similarity >= 0.6 AND NOT isnan(similarity) AND global_id_a IS NOT NULL AND global_id_b IS NOT NULL), e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+        r AS (SELECT DISTINCT global_id AS node, 0 AS level FROM slide_info WHERE title IS NULL UNION SELECT e.b, r.level + 1 FROM r JOIN e ON r.node = e.a WHERE r.level < 200) SELECT node, min(level) AS level FROM r GROUP BY 1""",
     "w19_sorted": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 1000 THEN 1 ELSE 2 END AS risk FROM customer",
     "w20_limits": "SELECT o_orderpriority, coalesce(array_to_string((list(DISTINCT o_orderkey ORDER BY o_orderkey) FILTER (o_totalprice > 400000))[1:10], ','), '') AS examples FROM orders GROUP BY 1",
     "w21_capped": "SELECT c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 9900 THEN 0 ELSE 1 END, c_custkey) <= 5 OR c_acctbal > 9900",

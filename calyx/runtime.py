@@ -114,23 +114,57 @@ def hot_threshold(total_rows: int) -> int:
     return max(HOT_ROWS, total_rows // HOT_KEYS)
 
 
-def attach_group(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], hot_rows: int) -> DataFrame:
+def attach_group(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], hot_rows: int | None = None, held: list[Stage] | None = None) -> DataFrame:
     """``rows`` with the aggregates of their group attached, safe for hot keys.
 
-    The aggregates combine map-side. Keys with more than ``hot_rows`` rows, of
-    which there are at most total / hot_rows, reach their rows by broadcast, so
-    no hot group is gathered in one task; all other keys go by shuffle join.
-    Rows with a null key get no match and are dropped.
+    The aggregates combine map-side, once, and are kept in a stage. Keys with more
+    than ``hot_rows`` rows (by default ``hot_threshold`` of all rows), of which there
+    are at most total / hot_rows, reach their rows by broadcast, so no hot group is
+    gathered in one task; all other keys go by a shuffle join, the only one if no key
+    is hot. Rows with a null key get no match and are dropped. ``held`` takes the
+    stage, for callers that drop it once the result is written.
     """
     keys = list(keys)
-    grouped = rows.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("_group_rows"))
-    hot = grouped.where(F.col("_group_rows") > hot_rows)
-    cold = grouped.where(F.col("_group_rows") <= hot_rows)
+    stage = Stage(rows.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("_group_rows")), "groups")
+    if held is not None:
+        held.append(stage)
+    total, most = stage.df.agg(F.sum("_group_rows"), F.max("_group_rows")).first()
+    limit = hot_threshold(int(total or 0)) if hot_rows is None else hot_rows
+    if int(most or 0) <= limit:
+        return rows.join(stage.df, keys).drop("_group_rows")
+    hot = stage.df.where(F.col("_group_rows") > limit)
+    cold = stage.df.where(F.col("_group_rows") <= limit)
     warm_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     joined = rows.join(F.broadcast(hot), keys).unionByName(warm_rows.join(cold, keys))
     return joined.drop("_group_rows")
 
 
+def numbered_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` numbered from 1 within their keys, in the order of columns that, with the keys, are unique.
+
+    No group is gathered in one task: rows are put in ranges of keys and order, each
+    range numbers its part of a group, and parts move up by the rows of the group in
+    ranges before. Only the first and last group of a range can reach into another,
+    so what is broadcast is at most two rows for each pair of a range and such a group.
+    """
+    keys = list(keys)
+    placed = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    stage = cut(placed, "ranges")
+    group = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_"))
+    ends = stage.groupBy("_range").agg(F.min(group).alias("first"), F.max(group).alias("last"))
+    reaching = ends.select(F.explode(F.array("first", "last")).alias("_group")).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_group.{k}"))
+    parts = stage.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_rows"))
+    parts = parts.join(F.broadcast(reaching), same).select("_range", "_group", "_rows") if keys else parts.select("_range", group.alias("_group"), "_rows")
+    ahead = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select(F.col("_range").alias("_at"), "_group", ahead.alias("_before")).where("_before is not null")
+    counted = stage.join(F.broadcast(offsets), (F.col("_range") == F.col("_at")) & same, "left")
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    return counted.withColumn(name, (inside + F.coalesce("_before", F.lit(0))).cast("long")).select(*rows.columns, name)
+
+
 def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     """``rows`` with consecutive numbers from 0 in the order of a unique column, without gathering them in one task.
 

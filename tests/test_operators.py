@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from calyx import runtime
 from calyx.operators import graph, joins, keyed, sequences, windows
 
 
@@ -85,6 +87,36 @@ def test_alignment(spark):
     assert [(r.k, r.cat_col, r.val_col, r.rows) for r in got] == [("t", 0, 1, [1, 3])]
 
 
+def test_groups_are_numbered_across_ranges(spark):
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 3 else f"k{i % 7}") for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, k string").repartition(7)
+    got = {r.i: r.n for r in runtime.numbered_within(df, ["k"], ["i"], "n").collect()}
+    seen: dict = {}
+    want = {}
+    for i, k in rows:
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert got == want
+    assert {r.i: r.n for r in runtime.numbered_within(df, [], ["i"], "n").collect()} == {i: i + 1 for i in range(500)}
+    assert runtime.numbered_within(df.limit(0), ["k"], ["i"], "n").count() == 0
+
+
+def test_hot_groups_get_their_aggregates(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, "hot" if i % 3 else str(i % 4)) for i in range(300)] + [(1000, None)], "i int, k string")
+    for hot in (None, 50):
+        got = {r.i: r.first for r in runtime.attach_group(df, ["k"], [F.min("i").alias("first")], hot).collect()}
+        assert len(got) == 300 and got[5] == 1 and got[3] == 3 and got[15] == 3
+
+
+def test_a_closure_that_is_too_deep_is_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src int, dst int")
+    seeds = spark.createDataFrame([(0,)], "node int")
+    assert graph.closure(seeds, edges, 12).count() == 10
+    with pytest.raises(RuntimeError):
+        graph.closure(seeds, edges, 4)
+
+
 def test_closure_with_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (3, None)], "src int, dst int")
     seeds = spark.createDataFrame([(1,), (None,)], "node int")
@@ -103,7 +135,7 @@ def test_repaired_pages_and_names(spark):
     pages = df.select("ord", windows.repaired_pages(F.col("page"), F.lit(9), ["doc"], ["ord"]).alias("p")).orderBy("ord")
     assert [r.p for r in pages.collect()] == [1, 3, 3, 9]
     names = spark.createDataFrame([(1, "X"), (2, "X"), (3, "X"), (4, "Y")], "i int, n string")
-    assert [r.o for r in names.select("i", windows.numbered_names("n", ["i"]).alias("o")).orderBy("i").collect()] == ["X", "X_1", "X_2", "Y"]
+    assert [r.n for r in windows.numbered_names(names, "n", ["i"]).orderBy("i").collect()] == ["X", "X_1", "X_2", "Y"]
 
 
 def test_complete_match_and_backfill(spark):
