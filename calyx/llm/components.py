@@ -33,14 +33,14 @@ def match_edges(pairs: DataFrame, a: str, b: str, score: str, threshold: float)
     return pairs.where(linked).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int, held: list[runtime.Stage]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = runtime.attach_group(both, ["u"], [F.min("v").alias("m")], hot_rows)
+    near = runtime.attach_group(both, ["u"], [F.min("v").alias("m")], hot_rows, held)
     return near.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
-    near = runtime.attach_group(edges, ["u"], [F.min("v").alias("m")], hot_rows)
+def _small_star(edges: DataFrame, hot_rows: int, held: list[runtime.Stage]) -> DataFrame:
+    near = runtime.attach_group(edges, ["u"], [F.min("v").alias("m")], hot_rows, held)
     handed = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return handed.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
 
@@ -61,11 +61,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     state = _fingerprint(stage.df)
     for _ in range(max_rounds):
         hot_rows = runtime.hot_threshold(2 * state[0])
-        starred = runtime.Stage(_large_star(stage.df, hot_rows), "large-star")
-        after = runtime.Stage(_small_star(starred.df, hot_rows), "small-star")
+        held: list[runtime.Stage] = []
+        starred = runtime.Stage(_large_star(stage.df, hot_rows, held), "large-star")
+        after = runtime.Stage(_small_star(starred.df, hot_rows, held), "small-star")
         now = _fingerprint(after.df)
-        stage.drop()
-        starred.drop()
+        for done in (stage, starred, *held):
+            done.drop()
         stage = after
         if now == state:
             break
