@@ -53,6 +53,8 @@ SKETCH_PER_TEXT, SKETCH_MOST_BITS, SKETCH_BLOCKS = 8, 24, 32
 GROUP_SIGNATURES = 24_000_000
 #: A signature with more holders than this is split over several groups, by pairs of blocks of holders.
 HOT_PARTNERS = 20_000
+#: Signatures whose partners are looked up at once.
+JOB_SIGNATURES = 1_000_000
 #: Pairs found that a worker holds before it hands them on.
 FOUND_PAIRS = 2_000_000
 #: Keys of one text that meet in one task.
@@ -327,12 +329,19 @@ def _blobs(ids, sizes, hi, band, keys, number) -> Iterator[pd.DataFrame]:
 
 
 def _read_blobs(blobs: list[bytes]):
-    """Ids, sizes and sketches in the order of sizes, and of both kinds of signature the 24 bits and the holders."""
-    ids, sizes, sketches, held = [], [], [], ([], [])
-    base = 0
+    """Ids, sizes and sketches in the order of sizes, and of all signatures the 24 bits, the holder and the kind.
+
+    Each blob is let go once it is read; the arrays are made once, at their full length.
+    """
+    heads = [struct.unpack_from("<qqq", blob) for blob in blobs]
+    texts, total = sum(h[0] for h in heads), sum(h[2] for h in heads)
+    ids, sizes = np.empty(texts, dtype=np.int64), np.empty(texts, dtype=np.int32)
+    sketches = np.empty((texts, heads[0][1]), dtype=np.uint64)
+    sig, doc, less = np.empty(total, dtype=np.uint32), np.empty(total, dtype=np.uint32), np.empty(total, dtype=bool)
+    base = done = 0
     while blobs:
         blob = blobs.pop()
-        n, width, total = struct.unpack_from("<qqq", blob)
+        n, width, count = struct.unpack_from("<qqq", blob)
         at = 24
 
         def take(kind, count):
@@ -341,44 +350,55 @@ def _read_blobs(blobs: list[bytes]):
             at += out.nbytes
             return out
 
-        ids.append(take(np.int64, n))
-        sizes.append(take(np.int32, n))
-        sketches.append(take(np.uint64, n * width).reshape(n, width))
-        low = take("<u2", total)
-        kind = np.unpackbits(take(np.uint8, -(-total // 8)), count=total).view(bool)
-        row = np.flatnonzero(np.unpackbits(take(np.uint8, -(-(n * 256 + total) // 8)), count=n * 256 + total))
-        row -= np.arange(total)
-        sig = ((row & 0xFF) << 16).astype(np.uint32) | low
-        doc = (row >> 8).astype(np.uint32) + np.uint32(base)
-        for side, of in zip(held, (~kind, kind)):
-            side.append((sig[of], doc[of]))
-        base += n
-    sizes_all = np.concatenate(sizes)
-    order = np.argsort(sizes_all, kind="stable")
+        ids[base : base + n] = take(np.int64, n)
+        sizes[base : base + n] = take(np.int32, n)
+        sketches[base : base + n] = take(np.uint64, n * width).reshape(n, width)
+        here = slice(done, done + count)
+        sig[here] = take("<u2", count)
+        less[here] = np.unpackbits(take(np.uint8, -(-count // 8)), count=count)
+        row = np.flatnonzero(np.unpackbits(take(np.uint8, -(-(n * 256 + count) // 8)), count=n * 256 + count))
+        row -= np.arange(count)
+        sig[here] |= ((row & 0xFF) << 16).astype(np.uint32)
+        row >>= 8
+        row += base
+        doc[here] = row
+        base, done = base + n, done + count
+    order = np.argsort(sizes, kind="stable")
     place = np.empty(len(order), dtype=np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    holders = []
-    for side in held:
-        sig = np.concatenate([x for x, _ in side])
-        doc = np.concatenate([x for _, x in side])
-        side.clear()
-        holders.append((sig, place[doc]))
-    return np.concatenate(ids)[order], sizes_all[order], np.concatenate(sketches)[order], *holders
-
-
-def _met(full: tuple[np.ndarray, np.ndarray], less: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures that have a partner, each with its holder, ordered: those held in full, and the others."""
-    (fs, fd), (ls, ld) = full, less
+    for part in range(0, total, 1 << 20):
+        doc[part : part + (1 << 20)] = place[doc[part : part + (1 << 20)]]
+    return ids[order], sizes[order], sketches[order], sig, doc, less
+
+
+def _met(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that have a partner, each with its holder, ordered: those held in full, and the others.
+
+    Takes the arrays out of ``held``, so that they are let go.
+    """
+    sig, doc, less = held
+    held.clear()
+    full = np.arange(len(sig), dtype=np.uint32)[~less]
+    own = sig[full]
     last = np.zeros(1 << 24, dtype=np.uint32)
-    last[fs] = np.arange(1, len(fs) + 1, dtype=np.uint32)
-    other = ls[kept := last[ls] > 0], ld[kept]
+    last[own] = full
     twice = np.zeros(1 << 24, dtype=bool)
-    twice[fs[last[fs] != np.arange(1, len(fs) + 1, dtype=np.uint32)]] = True
-    twice[other[0]] = True
-    own = fs[kept := twice[fs]], fd[kept]
-    keyed = [(s.astype(np.uint64) << _U(26)) | d for s, d in (own, other)]
-    for key in keyed:
+    twice[own[last[own] != full]] = True
+    there = np.zeros(1 << 24, dtype=bool)
+    there[own] = True
+    del last
+    other = np.arange(len(sig), dtype=np.uint32)[less & there[sig]]
+    del there
+    twice[sig[other]] = True
+    own = full[twice[own]]
+    del full, twice
+    keyed = []
+    for at in (own, other):
+        key = sig[at].astype(np.uint64)
+        key <<= _U(26)
+        key |= doc[at]
         key.sort()
+        keyed.append(key)
     return keyed[0], keyed[1]
 
 
@@ -425,27 +445,32 @@ def _match_groups(threshold: float, upper: int):
         while groups:
             _, blobs = groups.popitem()
             ids, sizes, sketch, *held = _read_blobs(blobs)
-            del blobs
-            full, less = _met(*held)
-            del held
+            full, less = _met(held)
             mask = _U((1 << 26) - 1)
             least = np.searchsorted(sizes, np.ceil(sizes * threshold - 1e-9)).astype(np.uint64)
             most = np.searchsorted(sizes, np.floor(sizes / threshold + 1e-9), side="right").astype(np.uint64)
             inside = np.searchsorted(sizes, upper)  # two sets beyond the band meet in their own
             most[inside:] = inside
-            place = (full & mask).view(np.int64)
-            spot = (less & mask).view(np.int64)
-            own, theirs = full & ~mask, less & ~mask
-            jobs = (
-                (place, np.arange(1, len(full) + 1), np.where(place < inside, np.searchsorted(full, own | most[place]), 0)),
-                (spot, np.searchsorted(full, theirs | least[spot]), np.searchsorted(full, theirs | most[spot])),
-            )
+
+            def jobs(full=full, less=less, least=least, most=most, inside=inside):
+                """Holders, and where in ``full`` their partners of fitting size lie."""
+                for at in range(0, len(full), JOB_SIGNATURES):
+                    part = full[at : at + JOB_SIGNATURES]
+                    left = (part & mask).view(np.int64)
+                    upto = np.searchsorted(full, (part & ~mask) | most[left])
+                    yield left, np.arange(at + 1, at + len(part) + 1), np.where(left < inside, upto, 0)
+                for at in range(0, len(less), JOB_SIGNATURES):
+                    part = less[at : at + JOB_SIGNATURES]
+                    left = (part & mask).view(np.int64)
+                    part = part & ~mask
+                    yield left, np.searchsorted(full, part | least[left]), np.searchsorted(full, part | most[left])
+
             found, waiting = [], 0
             half = sketch.shape[1] // 2
             fold = np.ascontiguousarray(sketch[:, :half] ^ sketch[:, half:])  # the sketch of half as many bits
-            for left, lo, hi in jobs:
+            for left, lo, hi in jobs():
                 for a, j in _ranges(left, lo, hi):
-                    b = place[j]
+                    b = (full[j] & mask).view(np.int64)
                     apart = fold.take(a, axis=0)
                     apart ^= fold.take(b, axis=0)
                     most_apart = ratio * (sizes[a] + sizes[b]) + 1e-9
