@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyx.functions import numbers as num
-from calyx.operators import keyed
+from calyx.operators import keyed, sets, summaries
 from calyx.runtime import small, table
 
 #: Fixed values of the example: words and weights of a scan.
@@ -15,8 +15,8 @@ LEVELS = ("LOW", "MEDIUM", "HIGH", "UNKNOWN")
 
 
 def a1_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pdf_file").select("file_id", F.lower("name").alias("file_name")).distinct()
-    return rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_id")).where("files > 1")
+    rows = table(spark, d, "pdf_file").select("file_id", F.lower("name").alias("file_name"))
+    return summaries.duplicate_groups(rows, "file_name", "file_id")
 
 
 def a2_merged_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -35,8 +35,7 @@ def a4_best_by_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a5_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pzfx_table").where(F.col("age_band").isNotNull() & F.col("n_columns").isNotNull())
-    return rows.groupBy("age_band").agg(F.count_distinct("pzfx_id").alias("complete"))
+    return summaries.complete_per_group(table(spark, d, "pzfx_table"), "age_band", "pzfx_id", ["n_columns"])
 
 
 def a6_extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -67,11 +66,7 @@ def a9_level_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a10_batch_status(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders")
-    return rows.groupBy("o_orderpriority").agg(
-        F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") == "O").alias("open"),
-        F.count_if(F.col("o_orderstatus") == "P").alias("partial"), F.round(F.sum("o_totalprice"), 2).alias("total"),
-    )
+    return summaries.status_totals(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", {"done": "F", "open": "O", "partial": "P"}, "o_totalprice")
 
 
 def a11_top_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -80,11 +75,8 @@ def a11_top_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a12_best_and_mean(spark: SparkSession, d: str) -> DataFrame:
-    ok = table(spark, d, "events").where(F.col("value").isNotNull() & (F.col("event_type") != "error"))
-    rows = ok.groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best_id"), F.max("value").alias("best"), F.avg("value").alias("mean"))
-    ratio = F.col("mean") / F.col("best")
-    verdict = F.when(ratio >= 0.85, "even").when(ratio >= 0.4, "mixed").otherwise("uneven")
-    return rows.select("event_type", "best_id", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"), verdict.alias("verdict"))
+    rows = summaries.best_and_mean(table(spark, d, "events").where("event_type <> 'error'"), "event_type", "event_id", "value")
+    return rows.select("event_type", "best_id", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"), "verdict")
 
 
 def a13_ping_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -114,16 +106,12 @@ def a16_frequent_words(spark: SparkSession, d: str) -> DataFrame:
 
 def a17_routing(spark: SparkSession, d: str) -> DataFrame:
     """Routed by the number of first three lines of an order that hold a returned item."""
-    hits = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("hits"))
-    return hits.select("l_orderkey", F.when(F.col("hits") >= 1, "vector").otherwise("scan").alias("route"))
+    return summaries.routed_by_hits(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R", 3)
 
 
 def a18_anomaly_totals(spark: SparkSession, d: str) -> DataFrame:
     """Totals over pages, and which pages are bad; pages of one order are few."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("l_tax") > 0.06).alias("distorted"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("l_tax") > 0.06, F.col("l_linenumber")))), ",").alias("bad_pages"),
-    )
+    return summaries.anomaly_totals(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_tax") > 0.06)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -132,9 +120,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a19_max_similarity(spark: SparkSession, d: str) -> DataFrame:
-    each = _pairs(spark, d).select(F.explode(F.array("a", "b")).alias("global_id"), "similarity").groupBy("global_id").agg(F.max("similarity").alias("best"))
-    slides = table(spark, d, "slide_info").select("global_id").distinct()
-    return slides.join(each, "global_id", "left").select("global_id", F.coalesce("best", F.lit(0.0)).alias("max_similarity"))
+    return summaries.best_match_per_key(table(spark, d, "slide_info"), "global_id", _pairs(spark, d))
 
 
 def a20_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -143,18 +129,16 @@ def a20_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a21_distinct_series(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey <> l_suppkey").distinct()
+    return summaries.distinct_series(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], F.col("l_partkey") != F.col("l_suppkey"))
 
 
 def a22_distinct_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("reasons"), F.count_distinct("l_orderkey", "l_partkey").alias("unique_files")
-    )
+    return summaries.reasons_per_group(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag", ["l_orderkey", "l_partkey"])
 
 
 def a23_rule_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = F.array_compact(F.array(F.when(F.col("l_discount") > 0.08, F.lit("high discount")), F.when(F.col("l_tax") == 0, F.lit("no tax")), F.when(F.col("l_quantity") > 45, F.lit("bulk"))))
-    return table(spark, d, "lineitem").select(F.explode(hits).alias("message")).groupBy("message").agg(F.count(F.lit(1)).alias("hits"))
+    rules = {"high discount": F.col("l_discount") > 0.08, "no tax": F.col("l_tax") == 0, "bulk": F.col("l_quantity") > 45}
+    return summaries.rule_hits(table(spark, d, "lineitem"), rules)
 
 
 def a25_top_in_class(spark: SparkSession, d: str) -> DataFrame:
@@ -169,49 +153,45 @@ def a26_class_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a27_part_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("fills"), F.sum(F.when(F.col("l_discount") > 0, 1).otherwise(0)).alias("changed"))
+    return summaries.part_statistics(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", F.col("l_discount") > 0)
 
 
 def a28_reduction(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "slide_info").groupBy("source_path").agg(F.count(F.lit(1)).alias("before"), F.count_distinct("global_id").alias("after"))
-    return rows.select("source_path", "before", "after", F.round(F.when(F.col("before") > 0, 100.0 * (F.col("before") - F.col("after")) / F.col("before")), 4).alias("reduction"))
+    return summaries.reduction(table(spark, d, "slide_info"), "source_path", "global_id")
 
 
 def a29_readable_files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pdf_file").groupBy("folder").agg(F.count_if(F.col("error").isNull()).alias("added"), F.count_if(F.col("error").isNotNull()).alias("skipped"), F.sum(F.when(F.col("error").isNull(), F.coalesce(F.length("page1_text"), F.lit(0))).otherwise(0)).alias("chars"))
+    return summaries.readable_files(table(spark, d, "pdf_file"), "folder", "error", "page1_text")
 
 
 def a30_channel_median(spark: SparkSession, d: str) -> DataFrame:
     """The median of a fixed-size sample block per channel; here of prices by brand."""
-    return table(spark, d, "part").groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", 0.5), 4).alias("median"))
+    return summaries.channel_median(table(spark, d, "part"), "p_brand", "p_retailprice")
 
 
 def u1_union_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("id")).union(table(spark, d, "supplier").select("s_nationkey")).union(spark.createDataFrame([(99,)], "id int")).distinct()
+    ids = table(spark, d, "customer").select(F.col("c_nationkey").alias("id")), table(spark, d, "supplier").select("s_nationkey"), spark.createDataFrame([(99,)], "id int")
+    return sets.union_of(ids)
 
 
 def u2_common_ids(spark: SparkSession, d: str) -> DataFrame:
-    bought = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
-    active = table(spark, d, "events").select(F.col("user_id").alias("id"))
-    return bought.intersect(active).withColumn("side", F.lit("both")).unionByName(bought.subtract(active).withColumn("side", F.lit("left"))).unionByName(active.subtract(bought).withColumn("side", F.lit("right")))
+    return sets.compared(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "events").select(F.col("user_id").alias("id")))
 
 
 def u3_undeclared(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part")).distinct()
-    declared = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("part"))
-    builtin = small(table(spark, d, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("part")))
-    return used.join(declared, "part", "left_anti").join(builtin, "part", "left_anti")
+    parts = table(spark, d, "part").withColumn("part", F.col("p_partkey"))
+    return sets.undeclared(table(spark, d, "lineitem").select(F.col("l_partkey").alias("part")), "part", parts.where("p_size > 10"), parts.where("p_brand = 'Brand#11'"))
 
 
 def u4_used_custom(spark: SparkSession, d: str) -> DataFrame:
     custom = table(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("id"))
-    used = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("id"))
-    return custom.subtract(used).withColumn("kind", F.lit("unused")).unionByName(custom.intersect(used).withColumn("kind", F.lit("used")))
+    return sets.usage(custom, table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("id")))
 
 
 def u5_concatenated(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "customer").select(F.lit("customer").alias("origin"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return names.unionByName(table(spark, d, "supplier").select(F.lit("supplier").alias("origin"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return sets.concatenated({"customer": customers, "supplier": suppliers})
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "au" and name[1].isdigit()}

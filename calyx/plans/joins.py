@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calyx import runtime
 from calyx.functions import identifiers as ids
-from calyx.operators import joins, keyed, similar
+from calyx.operators import joins, keyed, sets, similar
 from calyx.runtime import small, table
 
 
@@ -90,14 +90,13 @@ def j10_looked_back(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j11_kept_and_removed(spark: SparkSession, d: str) -> DataFrame:
-    parts, used = table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    kept = parts.join(used, "p_partkey", "left_semi").withColumn("state", F.lit("kept"))
-    return kept.unionByName(parts.join(used, "p_partkey", "left_anti").withColumn("state", F.lit("removed")))
+    used = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return sets.kept_and_removed(table(spark, d, "part").select("p_partkey"), used, "p_partkey")
 
 
 def j12_not_registered(spark: SparkSession, d: str) -> DataFrame:
-    registered = small(table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")))
-    return table(spark, d, "customer").join(registered, "c_nationkey", "left_anti").where(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey")
+    registered = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return sets.not_registered(table(spark, d, "customer"), registered, "c_nationkey", F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey")
 
 
 def j13_zipped(spark: SparkSession, d: str) -> DataFrame:
@@ -141,9 +140,8 @@ def j19_in_networks(spark: SparkSession, d: str) -> DataFrame:
 
 def j20_inherited(spark: SparkSession, d: str) -> DataFrame:
     """A nation takes the name of the one it is linked to, where it is linked."""
-    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") + 1).alias("linked"))
-    other = n.select(F.col("n_nationkey").alias("linked"), F.col("n_name").alias("linked_name"))
-    return n.join(other, "linked", "left").select("n_nationkey", F.coalesce("linked_name", "n_name").alias("name"))
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") + 1).alias("linked"))
+    return sets.inherited(n, "n_nationkey", "linked", "name").select("n_nationkey", "name")
 
 
 def j21_positional(spark: SparkSession, d: str) -> DataFrame:
@@ -157,19 +155,17 @@ def j21_positional(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j22_in_final(spark: SparkSession, d: str) -> DataFrame:
-    final = table(spark, d, "merge_report").where("decision = 'keep_unique'").select("global_id").distinct().withColumn("hit", F.lit(True))
-    return table(spark, d, "slide_info").select("global_id").distinct().join(final, "global_id", "left").select("global_id", F.when(F.col("hit"), "yes").otherwise("no").alias("in_final"))
+    return sets.marked_as_in(table(spark, d, "slide_info"), table(spark, d, "merge_report").where("decision = 'keep_unique'"), "global_id", "in_final")
 
 
 def j23_stale_outputs(spark: SparkSession, d: str) -> DataFrame:
-    made = table(spark, d, "lineitem").where("l_orderkey % 6 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("made"))
-    return table(spark, d, "orders").join(made, "o_orderkey", "left").where("made is null or made < o_orderdate").select("o_orderkey")
+    made = table(spark, d, "lineitem").where("l_orderkey % 6 <> 0").withColumn("o_orderkey", F.col("l_orderkey"))
+    return sets.stale_outputs(table(spark, d, "orders"), made, "o_orderkey", "o_orderdate", "l_shipdate").select("o_orderkey")
 
 
 def j24_requested(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([(x,) for x in ("FRANCE", "GERMANY", "ATLANTIS", "KENYA")], "n_name string")
-    known = table(spark, d, "nation").select("n_name")
-    return known.join(F.broadcast(asked), "n_name", "left_semi").withColumn("state", F.lit("selected")).unionByName(asked.join(known, "n_name", "left_anti").withColumn("state", F.lit("missing")))
+    return sets.requested(table(spark, d, "nation"), asked, "n_name")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] == "j" and n[1].isdigit()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyx.functions import geometry, identifiers, numbers, rules, texts, titles
-from calyx.operators import styles
+from calyx.operators import sets, styles
 from calyx.runtime import table
 
 
@@ -77,15 +77,13 @@ def e3_fallback_chain(spark: SparkSession, d: str) -> DataFrame:
 def s15_folder_tree(spark: SparkSession, d: str) -> DataFrame:
     """Folders above every file of a listing, with their depth and the files beneath."""
     files = table(spark, d, "pdf_file").select("file_id", F.concat_ws("/", F.split("folder", "_"), F.lit("f")).alias("path")).distinct()
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"), n.alias("depth")))
-    return files.select(F.explode(above).alias("a")).groupBy("a.folder", "a.depth").agg(F.count(F.lit(1)).alias("files"))
+    return sets.folder_tree(files, "path")
 
 
 def s14_listing(spark: SparkSession, d: str) -> DataFrame:
     """A listing's rule on names: one of the extensions, no lock files."""
     rows = table(spark, d, "pdf_file").select("file_id", F.trim("name").alias("name")).distinct()
-    return rows.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin("pdf") & ~F.col("name").startswith("~$")).select("file_id", F.lower("name").alias("sort_name"))
+    return sets.listing(rows, "name", [".pdf"]).select("file_id", "sort_name")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[:1] in "pfes" and any(c.isdigit() for c in n[:3])}

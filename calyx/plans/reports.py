@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calyx.operators.keyed import filled
 from calyx.sources import config, documents, sinks
 from calyx.streaming import events
+from calyx.operators import sets
 from calyx.runtime import table
 
 
@@ -18,14 +19,13 @@ def k1_placed_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def k4_report_sheets(spark: SparkSession, d: str) -> DataFrame:
     """The sheets of a report - all, failed, summary - as one table."""
-    rows = table(spark, d, "pdf_file").select("file_id", "folder", "error").distinct()
-    sheet = lambda df, name: df.select(F.lit(name).alias("sheet"), F.col("folder").alias("a"), F.col("file_id").cast("string").alias("b"))
-    summary = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("file_id"))
-    return sheet(rows, "all").unionByName(sheet(rows.where("error is not null"), "failed")).unionByName(sheet(summary, "summary"))
+    rows = table(spark, d, "pdf_file").select("folder", "file_id", "error").distinct()
+    summary = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
+    return sets.sheets({"all": rows.drop("error"), "failed": rows.where("error is not null").drop("error"), "summary": summary}, ["a", "b"])
 
 
 def k6_json_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select("s_suppkey", F.md5(F.to_json(F.struct("s_suppkey", "s_name"))).alias("json"))
+    return sets.json_rows(table(spark, d, "supplier"), ["s_suppkey", "s_name"]).select("s_suppkey", F.md5("json").alias("json"))
 
 
 def k7_text_report(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +53,8 @@ def k11_left_to_do(spark: SparkSession, d: str) -> DataFrame:
 
 def k12_rename_plan(spark: SparkSession, d: str) -> DataFrame:
     """Proposed names whose target does not exist yet."""
-    files = table(spark, d, "pdf_file").select("file_id", "folder", F.lower(F.regexp_replace(F.trim("name"), r"[^A-Za-z0-9.]+", "_")).alias("target")).distinct()
-    present = table(spark, d, "pdf_file").select(F.col("name").alias("target")).distinct()
-    return files.join(present, "target", "left_anti").select("file_id", "target")
+    files = table(spark, d, "pdf_file").select("file_id", F.lower(F.regexp_replace(F.trim("name"), r"[^A-Za-z0-9.]+", "_")).alias("target"), "folder").distinct()
+    return sets.rename_plan(files, "target", table(spark, d, "pdf_file"), "name").select("file_id", "target")
 
 
 def k13_formula_links(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyx.functions import identifiers, numbers, rules, titles
-from calyx.operators import graph, keyed, sequences
+from calyx.operators import graph, keyed, sequences, sets, summaries
 from calyx.runtime import small, table
 
 _SCRIPT = [("A", [["Timeline", "Outlook"], ["Efficacy"]]), ("B", [["Safety"], ["Results", "Profile"]])]
@@ -103,27 +103,25 @@ def pr32_lan_scope(spark: SparkSession, d: str) -> DataFrame:
 
 def pr36_excluded_text(spark: SparkSession, d: str) -> DataFrame:
     """Objects that are no text stay; text stays unless it is too far right, where the excluded strip lies."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    return rows.where((F.col("l_returnflag") != "N") | ~(F.col("l_quantity") + 5 >= 40)).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept"))
+    rows = sets.without_strip(table(spark, d, "lineitem"), F.col("l_returnflag") == "N", F.col("l_quantity"), 5, 40)
+    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept"))
 
 
 def pr37_report_subsets(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pdf_file").select("file_id", "error").distinct()
-    return rows.where("error is not null").select("file_id", F.lit("failed").alias("report")).unionByName(rows.where("error is null").select("file_id", F.lit("fine").alias("report")))
+    return sets.subsets(rows, {"failed": F.col("error").isNotNull(), "fine": F.col("error").isNull()}).select("file_id", "report")
 
 
 def pr38_column_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "nation")
-    wanted = ["n_name", "missing", "n_nationkey"]
-    return rows.select(*[c for c in wanted if c in rows.columns], *[c for c in rows.columns if c not in wanted])
+    return sets.reordered(table(spark, d, "nation"), ["n_name", "missing", "n_nationkey"])
 
 
 def pr40_covering_pictures(spark: SparkSession, d: str) -> DataFrame:
     """Pictures that cover most of a page without any other element that holds text."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    pictures = rows.where((F.col("l_returnflag") == "N") & (F.col("l_quantity") / 50 >= 0.9))
-    editable = rows.where("l_returnflag = 'R' and l_partkey % 4 <> 0").select("l_orderkey").distinct()
-    return pictures.join(editable, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    holds = (F.col("l_returnflag") == "R") & (F.col("l_partkey") % 4 != 0)
+    found = sets.covering_pictures(rows.where("l_returnflag = 'N'"), rows, ["l_orderkey"], F.col("l_quantity") / 50, holds)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 def j17_slot_choice(spark: SparkSession, d: str) -> DataFrame:
@@ -135,18 +133,13 @@ def j17_slot_choice(spark: SparkSession, d: str) -> DataFrame:
 def e1_rule_engine(spark: SparkSession, d: str) -> DataFrame:
     """Rules as a table: each takes the first document that holds its keyword, else its page is reported."""
     ruleset = [(1, "booster", "A1"), (2, "nausea", "B2"), (3, "no such word", "C3")]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hits = F.array_compact(F.array(*[F.when(text.contains(word), F.lit(n)) for n, word, _ in ruleset]))
-    first = table(spark, d, "documents").select("doc_id", F.explode(hits).alias("ord")).groupBy("ord").agg(F.min("doc_id").alias("doc_id"))
     cells = spark.createDataFrame(ruleset, "ord int, keyword string, cell string")
-    return cells.join(first, "ord", "left").select("ord", "cell", "doc_id", F.when(F.col("doc_id").isNotNull(), "ok").otherwise("not found").alias("status"))
+    return summaries.rule_engine(table(spark, d, "documents"), "doc_id", "text", cells, [r[:2] for r in ruleset]).select("ord", "cell", "doc_id", "status")
 
 
 def e5_selected_first(spark: SparkSession, d: str) -> DataFrame:
     """Of the candidates of a table the one that was selected by hand, else the first."""
-    rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_quantity") == 17).alias("selected"))
-    order = F.struct((~F.col("selected")).alias("s"), "l_orderkey", "l_linenumber", "l_suppkey")
-    return rows.groupBy("l_partkey").agg(F.min_by(F.struct("l_orderkey", "l_linenumber"), order).alias("r")).select("l_partkey", "r.l_orderkey", "r.l_linenumber")
+    return summaries.selected_first(table(spark, d, "lineitem"), "l_partkey", F.col("l_quantity") == 17, ["l_orderkey", "l_linenumber", "l_suppkey"], ["l_orderkey", "l_linenumber"])
 
 
 def e6_custom_map(spark: SparkSession, d: str) -> DataFrame:
@@ -156,9 +149,7 @@ def e6_custom_map(spark: SparkSession, d: str) -> DataFrame:
 
 def s3_table_near_keyword(spark: SparkSession, d: str) -> DataFrame:
     """Per order the first line that holds the flag, else the first line of a matching one."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "R").alias("holds"))
-    order = F.struct((~F.col("holds")).alias("no"), "l_linenumber", "l_partkey")
-    return rows.groupBy("l_orderkey").agg(F.min_by(F.struct("l_linenumber", "l_partkey"), order).alias("r")).select("l_orderkey", "r.l_linenumber", "r.l_partkey")
+    return summaries.table_near_keyword(table(spark, d, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R", ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey"])
 
 
 def w13_kept_greedily(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyx import runtime
-from calyx.operators import graph, keyed, windows
+from calyx.operators import graph, keyed, sets, windows
 from calyx.runtime import table
 
 _ORD = ["ts", "event_id"]
@@ -54,11 +54,9 @@ def w8_run_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w9_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Folders and files with their level, ordered folders first and then by name without case."""
+    """Folders and files with their level and place: folders first and then by name without case."""
     paths = table(spark, d, "orders").selectExpr("concat(o_orderpriority, '/', o_orderstatus, '/', o_orderkey) AS path")
-    parts = F.split("path", "/")
-    spread = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("path"), n.alias("level"), (n < F.size(parts)).alias("folder")))).alias("s")).select("s.*").distinct()
-    return spread.select("path", "level", "folder", F.lower(F.element_at(F.split("path", "/"), -1)).alias("sort_name"))
+    return sets.tree(paths, "path").select("path", "level", "folder", "sort_name", "position")
 
 
 def w10_page_repair(spark: SparkSession, d: str) -> DataFrame:
@@ -72,13 +70,8 @@ def w11_no_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 def w12_auto_outline(spark: SparkSession, d: str) -> DataFrame:
     """Lines with large type make an outline; an order with fewer than three of them gets one entry per page."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    big = rows.where("l_quantity >= 35 and l_linenumber <= 24 and l_partkey % 10 <> 0")
-    counted = rows.select("l_orderkey").distinct().join(big.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")), "l_orderkey", "left").na.fill(0, ["n"])
-    outline = big.join(counted.where("n >= 3").select("l_orderkey"), "l_orderkey", "left_semi").select("l_orderkey", F.col("l_linenumber").alias("page"), F.lit("heading").alias("kind"))
-    pages = rows.join(counted.where("n < 3").select("l_orderkey"), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last"))
-    plain = pages.select("l_orderkey", F.explode(F.sequence(F.lit(1), "last")).alias("page"), F.lit("page").alias("kind"))
-    return outline.unionByName(plain)
+    big = (F.col("l_quantity") >= 35) & (F.col("l_linenumber") <= 24) & (F.col("l_partkey") % 10 != 0)
+    return sets.auto_outline(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", big)
 
 
 def w14_palette(spark: SparkSession, d: str) -> DataFrame:
@@ -108,8 +101,8 @@ def w17_closure(spark: SparkSession, d: str) -> DataFrame:
 def w19_sorted(spark: SparkSession, d: str) -> DataFrame:
     """A report order by mapped keys: risk first, then size, then name."""
     risk = F.when(F.col("c_acctbal") < 0, 0).when(F.col("c_acctbal") < 1000, 1).otherwise(2)
-    rows = table(spark, d, "customer").select("c_custkey", "c_name", risk.alias("risk"), "c_acctbal")
-    return rows.orderBy("risk", F.desc("c_acctbal"), "c_name").select("c_custkey", "risk")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return sets.ranked_by_mapped_keys(rows, {"risk": risk, "size": -F.col("c_acctbal"), "by_name": F.col("c_name"), "key": F.col("c_custkey")}).select("c_custkey", "risk", "position")
 
 
 def w20_limits(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +119,7 @@ def w21_capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w22_cascade(spark: SparkSession, d: str) -> DataFrame:
-    sources = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.substring_index("text_content", "\n", 1), F.col("source_ppt"), F.lit("untitled"))
+    sources = sets.first_filled_of(F.col("title"), F.substring_index("text_content", "\n", 1), F.col("source_ppt"), F.lit("untitled"))
     return table(spark, d, "slide_info").select("global_id", F.md5(sources).alias("title")).distinct()
 
 
@@ -161,7 +154,8 @@ SQL = {
     "w6_block_values": """WITH f AS (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS rate,
         first_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS gmi FROM events) SELECT event_id, rate, gmi FROM f WHERE event_type = 'signup'""",
     "w8_run_offsets": "WITH r AS (SELECT l_orderkey, l_linenumber, max(length(l_returnflag) + l_partkey % 9) AS length FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, coalesce(sum(length) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM r",
-    "w9_tree": """WITH p AS (SELECT o_orderpriority AS a, o_orderstatus AS b, o_orderkey AS c FROM orders) SELECT DISTINCT a AS path, 1 AS level, true AS folder, lower(a) AS sort_name FROM p UNION SELECT concat(a, '/', b), 2, true, lower(b) FROM p UNION SELECT concat(a, '/', b, '/', c), 3, false, c::VARCHAR FROM p""",
+    "w9_tree": """WITH p AS (SELECT o_orderpriority AS a, o_orderstatus AS b, o_orderkey AS c FROM orders), t AS (SELECT DISTINCT a AS path, 1 AS level, true AS folder, lower(a) AS sort_name, '' AS parent FROM p UNION SELECT concat(a, '/', b), 2, true, lower(b), a FROM p UNION SELECT concat(a, '/', b, '/', c), 3, false, c::VARCHAR, concat(a, '/', b) FROM p)
+        SELECT path, level, folder, sort_name, row_number() OVER (ORDER BY parent, NOT folder, sort_name, path) AS position FROM t""",
     "w10_page_repair": """WITH r AS (SELECT l_orderkey, l_linenumber, max(l_partkey % 13) - 4 AS page FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, least(coalesce(last_value(CASE WHEN page >= 1 THEN page END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING), 1), 6) AS page FROM r""",
     "w11_no_repeats": f"WITH r AS (SELECT event_id, event_type, lag(event_type) OVER w AS before FROM events {_W}) SELECT event_id FROM r WHERE event_type IS DISTINCT FROM before",
     "w12_auto_outline": """WITH b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 35 AND l_linenumber <= 24 AND l_partkey % 10 <> 0), n AS (SELECT l_orderkey, count(*) AS n FROM b GROUP BY 1),
@@ -172,10 +166,10 @@ SQL = {
         r AS (SELECT DISTINCT global_id AS id, global_id AS other FROM slide_info UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a), c AS (SELECT id AS node, min(other) AS label FROM r GROUP BY 1) SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM c""",
     "w17_closure": """WITH RECURSIVE m AS (SELECT global_id_a AS a, global_id_b AS b FROM slide_match WHERE similarity >= 0.6 AND NOT isnan(similarity) AND global_id_a IS NOT NULL AND global_id_b IS NOT NULL), e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
         r AS (SELECT DISTINCT global_id AS node, 0 AS level FROM slide_info WHERE title IS NULL UNION SELECT e.b, r.level + 1 FROM r JOIN e ON r.node = e.a WHERE r.level < 200) SELECT node, min(level) AS level FROM r GROUP BY 1""",
-    "w19_sorted": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 1000 THEN 1 ELSE 2 END AS risk FROM customer",
+    "w19_sorted": "WITH r AS (SELECT *, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 1000 THEN 1 ELSE 2 END AS risk FROM customer) SELECT c_custkey, risk, row_number() OVER (ORDER BY risk, c_acctbal DESC, c_name, c_custkey) AS position FROM r",
     "w20_limits": "SELECT o_orderpriority, coalesce(array_to_string((list(DISTINCT o_orderkey ORDER BY o_orderkey) FILTER (o_totalprice > 400000))[1:10], ','), '') AS examples FROM orders GROUP BY 1",
     "w21_capped": "SELECT c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 9900 THEN 0 ELSE 1 END, c_custkey) <= 5 OR c_acctbal > 9900",
-    "w22_cascade": "SELECT DISTINCT global_id, md5(coalesce(nullif(title, ''), split_part(text_content, chr(10), 1), source_ppt, 'untitled')) AS title FROM slide_info",
+    "w22_cascade": "SELECT DISTINCT global_id, md5(coalesce(nullif(title, ''), nullif(split_part(text_content, chr(10), 1), ''), nullif(source_ppt, ''), 'untitled')) AS title FROM slide_info",
     "w23_numbering": "WITH r AS (SELECT p_partkey, p_name, CASE WHEN contains(p_type, 'STEEL') THEN 'steel' WHEN contains(p_type, 'TIN') THEN 'tin' ELSE 'other' END AS category FROM part) SELECT p_partkey, category, row_number() OVER (PARTITION BY category ORDER BY coalesce(p_name, ''), p_partkey) AS number FROM r",
     "w24_dividers": """WITH r AS (SELECT user_id, event_type AS chapter, row_number() OVER w AS original, CASE WHEN row_number() OVER w > 1 AND lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS x, ts, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         c AS (SELECT *, original + sum(x) OVER (PARTITION BY user_id ORDER BY original ROWS UNBOUNDED PRECEDING)::BIGINT AS final FROM r) SELECT user_id, final, 'row' AS kind, original, chapter FROM c UNION ALL SELECT user_id, final - 1, 'divider', NULL, chapter FROM c WHERE x = 1""",
