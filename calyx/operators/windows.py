@@ -7,7 +7,7 @@ tables or users, not a key that may hold a third of all rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,6 +87,18 @@ def numbered_names(rows: DataFrame, name: str, order: Sequence[str], style: str
     return runtime.numbered_within(rows, [name], order, "_n").withColumn(name, named).drop("_n")
 
 
+def marker_groups(header: DataFrame, row: Sequence[str], col: str, text: str, markers: Mapping[str, str], width: Column) -> DataFrame:
+    """Column groups of a header row: from each cell that names a marker up to the next one, or the table's width.
+
+    ``markers``: spellings, of any case and without white space, and the marker they name.
+    Gives the row's key, ``marker, first, until`` (until is not included).
+    """
+    spelled = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
+    names = F.create_map(*[F.lit(x) for pair in markers.items() for x in (pair[0].lower(), pair[1])])
+    starts = header.withColumn("marker", F.try_element_at(names, spelled)).where("marker is not null")
+    return starts.select(*row, "marker", F.col(col).alias("first"), span_end(F.col(col), row, [col], width).alias("until"))
+
+
 def with_dividers(rows: DataFrame, partition: Sequence[str], order: Sequence[str], chapter: str) -> DataFrame:
     """Rows and a divider row before each change of chapter, with the final index that counts both."""
     w = _over(partition, order)

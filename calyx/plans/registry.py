@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that define ``QUERIES`` and ``SQL``.
-MODULES = ("files", "scalars", "aggregates", "joins", "windows", "texts", "rules", "reports", "more")
+MODULES = ("files", "scalars", "aggregates", "joins", "windows", "texts", "rules", "reports", "more", "documents")
 
 
 def _modules() -> list:

@@ -51,6 +51,32 @@ def _filesystem(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A file of any file system that Spark knows; None if there is none."""
+    fs, at = _filesystem(spark, path)
+    if not fs.exists(at):
+        return None
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()
+    return bytes(rows[0][0])
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file of any file system that Spark knows, beside its place, and move it there when complete."""
+    fs, at = _filesystem(spark, path)
+    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs.setWriteChecksum(False)
+    try:
+        out = fs.create(beside, True)
+        out.write(bytearray(data))
+        out.close()
+        fs.delete(at, False)
+        if not fs.rename(beside, at):
+            raise OSError(f"{path} could not be put in its place")
+    finally:
+        if fs.exists(beside):
+            fs.delete(beside, False)
+
+
 class Stage:
     """A DataFrame written to the shared folder: recomputing lost tasks reads the
     files again instead of the whole lineage. ``drop`` removes the files."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,8 +70,28 @@ def with_fallback_text(pages: DataFrame, text: str, recognise: Callable[[pd.Seri
     return fine.unionByName(poor.mapInPandas(run, fine.schema))
 
 
-def extracted(texts: DataFrame, key: str, text: str, make_client: Callable[[], Callable[[str], str]], retries: int = 3) -> DataFrame:
-    """``key, answer, error`` of a model asked about each distinct text, one client per partition, with retries."""
+class ServiceError(Exception):
+    """A failed call of a service, with its status."""
+
+    def __init__(self, status: int, text: str = ""):
+        super().__init__(f"{status} {text}".strip())
+        self.status = status
+
+
+def passing(error: Exception) -> bool:
+    """Whether a call that failed so may work later: too many requests, or the server's fault."""
+    status = getattr(error, "status", None)
+    return isinstance(error, (ConnectionError, TimeoutError)) or status == 429 or (isinstance(status, int) and 500 <= status < 600)
+
+
+def extracted(
+    texts: DataFrame, key: str, text: str, make_client: Callable[[], Callable[[str], str]], retries: int = 3, wait: float = 1.0
+) -> DataFrame:
+    """``key, answer, error, calls`` of a model asked about each text, one client per partition.
+
+    A call is tried again, at most ``retries`` times more and after ``wait``, twice and four
+    times that many seconds, where the failure may pass; others are reported at once.
+    """
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,14 +99,37 @@ def extracted(texts: DataFrame, key: str, text: str, make_client: Callable[[], C
         for batch in batches:
             rows = []
             for k, t in zip(batch[key], batch[text]):
-                answer, error = None, None
-                for _ in range(retries):
+                answer, error, calls = None, None, 0
+                while True:
+                    calls += 1
                     try:
                         answer, error = client(t), None
                         break
                     except Exception as e:
                         error = f"{type(e).__name__}: {e}"
-                rows.append((k, answer, error))
-            yield pd.DataFrame(rows, columns=[key, "answer", "error"])
+                        if calls > retries or not passing(e):
+                            break
+                        time.sleep(wait * 2 ** (calls - 1))
+                rows.append((k, answer, error, calls))
+            yield pd.DataFrame(rows, columns=[key, "answer", "error", "calls"])
+
+    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, answer string, error string, calls int")
 
-    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, answer string, error string")
+
+BLUEPRINT = "ord int, chapter string, title string, slot int, rule string, phrases array<string>, tie string"
+
+
+def blueprint_table(spark: SparkSession, text: str) -> DataFrame:
+    """The chapters and slots of a YAML blueprint in order: one row per slot and matching rule.
+
+    A slot names its rules (title_all, title_any, text_all, content_any) with their
+    phrases, and how ties are broken (``first`` if it does not say). A blueprint is small.
+    """
+    import yaml
+
+    rows = []
+    for chapter in (yaml.safe_load(text) or {}).get("chapters") or []:
+        for n, slot in enumerate(chapter.get("slots") or [], 1):
+            for rule, phrases in (slot.get("match") or {}).items():
+                rows.append((len(rows), str(chapter.get("id")), chapter.get("title"), slot.get("slot", n), rule, list(phrases), slot.get("tie", "first")))
+    return spark.createDataFrame(rows, BLUEPRINT)

@@ -9,6 +9,7 @@ are refused by Spark.
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
@@ -24,6 +25,7 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+_C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _ZIP = b"PK\x03\x04"
 #: Encodings tried in order for plain text.
@@ -39,8 +41,13 @@ def listed(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), rec
     return kept.orderBy(F.lower("name"), "path")
 
 
-def _read(spark: SparkSession, path: str, pattern: str, parse: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``path, content`` of the files below a path whose names fit the pattern."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
+def parsed(files: DataFrame, parse: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
+    """The rows that ``parse`` makes of each of the files ``path, content``, after the file's name as ``doc``."""
     columns = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +59,8 @@ def _read(spark: SparkSession, path: str, pattern: str, parse: Callable[[bytes],
                     rows = [{"doc": name, "error": f"{type(e).__name__}: {e}"}]
                 yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
-    return files.mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
+
 
 
 def _paragraph(p: ET.Element) -> str:
@@ -79,9 +87,38 @@ def _docx(content: bytes) -> list[dict]:
     return rows
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
+DOCX_ROWS = "doc string, kind string, idx int, row int, col int, text string, title string, error string"
+
+
+def docx_rows(files: DataFrame) -> DataFrame:
     """Paragraphs (empty ones kept, so the index is the position) and cells of top-level tables with the title above."""
-    return _read(spark, path, "*.docx", _docx, "doc string, kind string, idx int, row int, col int, text string, title string, error string")
+    return parsed(files, _docx, DOCX_ROWS)
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    return docx_rows(binary_files(spark, path, "*.docx"))
+
+
+def _docx_fast(content: bytes) -> list[dict]:
+    """All paragraphs with text, those of tables too; of a part that is no good XML, what its text tags hold."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        data = z.read("word/document.xml")
+    try:
+        lines, way = [_paragraph(p) for p in ET.fromstring(data).iter(f"{_W}p")], "fast"
+    except ET.ParseError:
+        raw = data.decode("utf-8", "replace")
+        pieces = re.split(r"</w:p\s*>", raw)
+        lines, way = [html.unescape("".join(re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)", p))) for p in pieces], "fallback"
+    return [{"text": "\n".join(x for x in lines if x), "way": way}]
+
+
+def docx_fast(files: DataFrame) -> DataFrame:
+    """``doc, text, way, error``: fast text of each document, by a tolerant reader where its XML does not parse."""
+    return parsed(files, _docx_fast, "doc string, text string, way string, error string")
+
+
+def read_docx_text(spark: SparkSession, path: str) -> DataFrame:
+    return docx_fast(binary_files(spark, path, "*.docx"))
 
 
 def docx_text(spark: SparkSession, path: str) -> DataFrame:
@@ -114,9 +151,13 @@ def _xlsx(content: bytes) -> list[dict]:
     return rows
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+def xlsx_cells(files: DataFrame) -> DataFrame:
     """Cells of all sheets, rows and columns counted from 1, values as text."""
-    return _read(spark, path, "*.xlsx", _xlsx, "doc string, sheet string, row int, col int, value string, error string")
+    return parsed(files, _xlsx, "doc string, sheet string, row int, col int, value string, error string")
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    return xlsx_cells(binary_files(spark, path, "*.xlsx"))
 
 
 def xlsx_text(cells: DataFrame) -> DataFrame:
@@ -144,24 +185,60 @@ def _pptx(content: bytes) -> list[dict]:
                     title = text
                 if text:
                     texts.append(text)
-            notes, links = None, []
+            notes, links, charts = None, [], {}
             rels = name.replace("slides/", "slides/_rels/") + ".rels"
             if rels in names:
                 for r in ET.fromstring(z.read(rels)):
                     if r.get("Type", "").endswith("/hyperlink"):
                         links.append(r.get("Target"))
+                    if r.get("Type", "").endswith("/chart"):
+                        charts[r.get("Id")] = "ppt/" + r.get("Target").replace("../", "")
                     if r.get("Type", "").endswith("/notesSlide"):
                         part = "ppt/" + r.get("Target").replace("../", "")
                         if part in names:
                             notes = "\n".join(t.text or "" for t in ET.fromstring(z.read(part)).iter(f"{_A}t"))
+            for ref in (c.get(f"{_R}id") for c in root.iter(f"{_C}chart")):
+                if charts.get(ref) in names:
+                    title_of = ET.fromstring(z.read(charts[ref])).find(f"{_C}chart/{_C}title")
+                    named = "".join(t.text or "" for t in title_of.iter(f"{_A}t")) if title_of is not None else ""
+                    texts += [named] if named else []
+            cells = []
+            for n, grid in enumerate(root.iter(f"{_A}tbl")):
+                for y, tr in enumerate(grid.findall(f"{_A}tr")):
+                    for x, tc in enumerate(tr.findall(f"{_A}tc")):
+                        lines = ["".join(t.text or "" for t in p.iter(f"{_A}t")) for p in tc.iter(f"{_A}p")]
+                        cells.append({"table_idx": n, "row": y, "col": x, "text": "\n".join(lines)})
             has_table = root.find(f".//{_A}tbl") is not None
-            rows.append({"slide_idx": at, "title": title, "text": "\n".join(texts), "notes": notes, "shape_count": len(shapes), "has_table": has_table, "links": links})
+            rows.append({"slide_idx": at, "title": title, "text": "\n".join(texts), "notes": notes, "shape_count": len(shapes), "has_table": has_table, "links": links, "cells": cells})
     return rows
 
 
+PPTX_SLIDES = "doc string, slide_idx int, title string, text string, notes string, shape_count int, has_table boolean, links array<string>, error string"
+
+
+def pptx_slides(files: DataFrame) -> DataFrame:
+    """Slides in order, with their texts and chart titles, notes, shape count and links."""
+    return parsed(files, _pptx, PPTX_SLIDES)
+
+
 def read_pptx(spark: SparkSession, path: str) -> DataFrame:
-    """Slides in order, with their texts, notes, shape count and links."""
-    return _read(spark, path, "*.pptx", _pptx, "doc string, slide_idx int, title string, text string, notes string, shape_count int, has_table boolean, links array<string>, error string")
+    return pptx_slides(binary_files(spark, path, "*.pptx"))
+
+
+def _pptx_cells(content: bytes) -> list[dict]:
+    return [{"slide_idx": slide["slide_idx"], **cell} for slide in _pptx(content) for cell in slide["cells"]]
+
+
+PPTX_CELLS = "doc string, slide_idx int, table_idx int, row int, col int, text string, error string"
+
+
+def pptx_cells(files: DataFrame) -> DataFrame:
+    """Cells of the tables on slides."""
+    return parsed(files, _pptx_cells, PPTX_CELLS)
+
+
+def read_pptx_cells(spark: SparkSession, path: str) -> DataFrame:
+    return pptx_cells(binary_files(spark, path, "*.pptx"))
 
 
 def pptx_links(slides: DataFrame) -> DataFrame:
@@ -196,9 +273,16 @@ def _pzfx(content: bytes) -> list[dict]:
     return rows
 
 
-def read_pzfx(spark: SparkSession, path: str) -> DataFrame:
+PZFX_VALUES = "doc string, table_id string, title string, age_band string, metric string, y int, sub int, row int, value string, error string"
+
+
+def pzfx_rows(files: DataFrame) -> DataFrame:
     """Values of graph tables, plain or zipped, whose title names an age band and a metric."""
-    return _read(spark, path, "*.pzfx", _pzfx, "doc string, table_id string, title string, age_band string, metric string, y int, sub int, row int, value string, error string")
+    return parsed(files, _pzfx, PZFX_VALUES)
+
+
+def read_pzfx(spark: SparkSession, path: str) -> DataFrame:
+    return pzfx_rows(binary_files(spark, path, "*.pzfx"))
 
 
 def is_zip(content):
@@ -215,12 +299,16 @@ def _txt(content: bytes) -> list[dict]:
     raise ValueError("no encoding fits")
 
 
-def read_text(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+def text_files(files: DataFrame) -> DataFrame:
     """Whole files, decoded by the first encoding that fits."""
-    return _read(spark, path, pattern, _txt, "doc string, text string, encoding string, error string")
+    return parsed(files, _txt, "doc string, text string, encoding string, error string")
 
 
-def read_csv(spark: SparkSession, path: str, skip_rows: int = 0, pattern: str = "*.csv") -> DataFrame:
+def read_text(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    return text_files(binary_files(spark, path, pattern))
+
+
+def csv_cells(files: DataFrame, skip_rows: int = 0) -> DataFrame:
     """Cells of CSV files in long form, after leading rows and the byte-order mark are dropped."""
     import csv
 
@@ -229,7 +317,11 @@ def read_csv(spark: SparkSession, path: str, skip_rows: int = 0, pattern: str =
         header = lines[0] if lines else []
         return [{"row": r, "name": n, "value": v} for r, line in enumerate(lines[1:]) for n, v in zip(header, line)]
 
-    return _read(spark, path, pattern, parse, "doc string, row int, name string, value string, error string")
+    return parsed(files, parse, "doc string, row int, name string, value string, error string")
+
+
+def read_csv(spark: SparkSession, path: str, skip_rows: int = 0, pattern: str = "*.csv") -> DataFrame:
+    return csv_cells(binary_files(spark, path, pattern), skip_rows)
 
 
 class _Tables(HTMLParser):
@@ -256,16 +348,16 @@ class _Tables(HTMLParser):
             self.text = None
 
 
-def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
+def html_cells(pages: DataFrame, key: str, source: str) -> DataFrame:
     """Cells of the tables in a column of HTML."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k, text in zip(batch[key], batch[html]):
+            for k, text in zip(batch[key], batch[source]):
                 parser = _Tables()
                 parser.feed(text or "")
                 if parser.rows:
                     yield pd.DataFrame(parser.rows).assign(**{key: k})[[key, "table_idx", "row", "col", "value"]]
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, table_idx int, row int, col int, value string")
+    return pages.select(key, source).mapInPandas(run, f"{key} {kind}, table_idx int, row int, col int, value string")

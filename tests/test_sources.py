@@ -2,7 +2,10 @@
 
 import zipfile
 
-from calyx.sources import config, documents, sinks
+from pyspark.sql import functions as F
+
+from calyx.operators import windows
+from calyx.sources import config, documents, pdf, sinks
 
 _PZFX = """<GraphPadPrismFile><Table ID="T1"><Title>40-49岁GMC</Title>
 <YColumn><Subcolumn><d>100</d><d>200</d></Subcolumn><Subcolumn><d>150</d><d>250</d></Subcolumn></YColumn>
@@ -92,3 +95,60 @@ def test_hooks(spark):
 
     answers = {r.doc: (r.answer, r.error) for r in config.extracted(pages, "doc", "text", client).collect()}
     assert answers == {"d": ("x", None), "e": (None, "ValueError: no")}
+
+
+def test_a_workbook_is_made_or_amended(spark, tmp_path):
+    path = str(tmp_path / "w.xlsx")
+    cells = spark.createDataFrame([("A", 1, 1, "x"), ("A", 1, 1, "y"), ("B:?", 2, 3, "=A!A1"), ("A", 0, 1, "no")], "sheet string, row int, col int, value string")
+    sinks.write_cells(cells, path)
+    sinks.write_cells(cells.limit(1).withColumn("row", F.lit(4)), path)
+    got = {(r.sheet, r.row, r.col): r.value for r in documents.read_xlsx(spark, str(tmp_path)).collect()}
+    assert got["A", 1, 1] == "y" and got["A", 4, 1] in ("x", "y") and ("B__", 2, 3) in got and len(got) == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["w.xlsx"]
+
+
+def test_pdf_pages_and_tables(spark, tmp_path):
+    (tmp_path / "a.PDF").write_bytes(pdf.simple_pdf([["One (two) \\ three", "报告 😀"], []], [None, [["a", "b"], ["c d", ""]]]))
+    (tmp_path / "bad.pdf").write_bytes(b"nothing")
+    rows = {(r.doc.rsplit("/", 1)[-1], r.page): (r.text, r.error) for r in pdf.read_pdf(spark, str(tmp_path)).collect()}
+    assert rows["a.PDF", 1] == ("One (two) \\ three\n报告 😀", None) and rows["bad.pdf", None][1] and len(rows) == 3
+    cells = sorted((r.page, r.table_idx, r.row, r.col, r.text) for r in pdf.read_pdf_tables(spark, str(tmp_path)).where("error is null").collect())
+    assert cells == [(2, 0, 0, 0, "a"), (2, 0, 0, 1, "b"), (2, 0, 1, 0, "c d"), (2, 0, 1, 1, "")]
+    assert pdf.read_pdf(spark, str(tmp_path), [9]).where("error is null").count() == 0
+
+
+def test_pdf_syntax():
+    old = b"""%PDF-1.4
+1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
+2 0 obj << /Type /Pages /Kids [3 0 R] /MediaBox [0 0 200 100] >> endobj
+3 0 obj << /Type /Page /Parent 2 0 R /Contents [4 0 R] /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 >> >> >> >> endobj
+4 0 obj << /Length 200 >> stream
+BT /F1 10 Tf 14 TL 10 80 Td (caf\\351) Tj T* [(A) -300 (B) 20 (C)] TJ (next) ' ET q 2 0 0 2 0 0 cm BT /F1 5 Tf 50 40 Td (right) Tj ET Q
+endstream endobj"""
+    found = list(pdf._each(old.replace(b"\\\\", b"\\"), None, {}))
+    assert [(n, pdf.page_text(f.strings)) for n, f in found] == [(1, "café right\nA BC\nnext")]
+
+
+def test_calls_are_tried_again_only_where_it_may_help(spark):
+    def make():
+        calls = []
+
+        def call(text):
+            calls.append(text)
+            if text == "busy" and calls.count(text) < 3:
+                raise config.ServiceError(503)
+            if text in ("bad", "down"):
+                raise config.ServiceError(400 if text == "bad" else 500)
+            return text.upper()
+
+        return call
+
+    df = spark.createDataFrame([(1, "busy"), (2, "bad"), (3, "down"), (4, "ok")], "k int, t string").coalesce(1)
+    got = {r.k: (r.answer, r.error, r.calls) for r in config.extracted(df, "k", "t", make, retries=2, wait=0.0).collect()}
+    assert got == {1: ("BUSY", None, 3), 2: (None, "ServiceError: 400", 1), 3: (None, "ServiceError: 500", 3), 4: ("OK", None, 1)}
+
+
+def test_marker_groups(spark):
+    header = spark.createDataFrame([("d", 0, "Sample"), ("d", 1, "Anti HBs"), ("d", 2, "note"), ("d", 3, "anti-hcv"), ("d", 4, None)], "doc string, c int, t string")
+    got = sorted(tuple(r) for r in windows.marker_groups(header, ["doc"], "c", "t", {"antihbs": "HBs", "anti-HCV": "HCV"}, F.lit(5)).collect())
+    assert got == [("d", "HBs", 1, 3), ("d", "HCV", 3, 5)]
