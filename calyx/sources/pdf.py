@@ -168,37 +168,51 @@ class File:
         parts = parts if isinstance(parts, list) else self.get(parts) if isinstance(self.get(parts), list) else [parts]
         return b"\n".join(self.stream(int(p)) for p in parts if isinstance(p, Ref))
 
-    def fonts(self, page: dict) -> dict[str, dict[int, str] | None]:
-        """By name the code map of each font; the width of its codes in bytes at -1. None: one byte, Windows Latin."""
+    def fonts(self, page: dict) -> dict[str, Codes | None]:
+        """By name the codes of each font; None: one byte, Windows Latin."""
         resources = self.get(page.get("Resources")) or {}
-        out: dict[str, dict[int, str] | None] = {}
+        out: dict[str, Codes | None] = {}
         for name, ref in (self.get(resources.get("Font")) or {}).items():
             font = self.get(ref) or {}
             two = font.get("Subtype") == "Type0"
             mapped = font.get("ToUnicode")
-            codes = _code_map(self.stream(int(mapped))) if isinstance(mapped, Ref) else {} if two else None
-            if codes is not None:
-                codes[-1] = "2" if two else "1"
-            out[name] = codes
+            data = self.stream(int(mapped)) if isinstance(mapped, Ref) else b""
+            out[name] = Codes(data, 2 if two else 1) if two or isinstance(mapped, Ref) else None
         return out
 
 
-def _code_map(data: bytes) -> dict[int, str]:
-    text = lambda b: b.decode("utf-16-be", "surrogatepass")
-    out: dict[int, str] = {}
-    for block in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
-        items = [v for v, _ in _values(block)]
-        out |= {int.from_bytes(a): text(b) for a, b in zip(items[::2], items[1::2])}
-    for block in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
-        items = [v for v, _ in _values(block)]
-        for low, high, to in zip(items[::3], items[1::3], items[2::3]):
-            for i in range(int.from_bytes(low), min(int.from_bytes(high), int.from_bytes(low) + 0xFFFF) + 1):
-                at = i - int.from_bytes(low)
+class Codes:
+    """What the codes of a font mean; ranges stay ranges."""
+
+    def __init__(self, data: bytes, width: int):
+        self.width = width
+        self.single: dict[int, str] = {}
+        self.ranges: list[tuple[int, int, bytes]] = []
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
+            items = [v for v, _ in _values(block)]
+            self.single |= {int.from_bytes(a): self._text(b) for a, b in zip(items[::2], items[1::2])}
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
+            items = [v for v, _ in _values(block)]
+            for low, high, to in zip(items[::3], items[1::3], items[2::3]):
+                low, high = int.from_bytes(low), int.from_bytes(high)
                 if isinstance(to, list):
-                    out[i] = text(to[at]) if at < len(to) else ""
+                    self.single |= {low + i: self._text(t) for i, t in enumerate(to[: high - low + 1])}
                 else:
-                    out[i] = text(to[:-2] + ((int.from_bytes(to[-2:]) + at) & 0xFFFF).to_bytes(2))
-    return out
+                    self.ranges.append((low, high, to))
+
+    @staticmethod
+    def _text(data: bytes) -> str:
+        return data.decode("utf-16-be", "surrogatepass")
+
+    def __getitem__(self, code: int) -> str:
+        if code not in self.single:
+            found = next(((low, to) for low, high, to in self.ranges if low <= code <= high), None)
+            self.single[code] = self._text(found[1][:-2] + ((int.from_bytes(found[1][-2:]) + code - found[0]) & 0xFFFF).to_bytes(2)) if found else ""
+        return self.single[code]
+
+    def decoded(self, data: bytes) -> str:
+        said = "".join(self[int.from_bytes(data[i : i + self.width])] for i in range(0, len(data), self.width))
+        return said.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 @dataclass
@@ -231,12 +245,7 @@ def shown(file: File, page: dict) -> Shown:
         codes, said, width = fonts.get(font), "", 0.0
         for part in parts:
             if isinstance(part, bytes) and not isinstance(part, Op):
-                if codes is None:
-                    piece = part.decode("cp1252", "replace")
-                else:
-                    step = int(codes[-1])
-                    units = [codes.get(int.from_bytes(part[i : i + step]), "") for i in range(0, len(part), step)]
-                    piece = "".join(units).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+                piece = part.decode("cp1252", "replace") if codes is None else codes.decoded(part)
                 said += piece
                 width += sum(1.0 if ord(c) > 0x2E7F else 0.5 for c in piece) * size
             elif isinstance(part, (int, float)):
