@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from calyx.functions import rules
+from calyx.functions import rules, titles
 
 
 def graded_rows(rows: DataFrame, doc: str, order: str, cells: str) -> DataFrame:
@@ -182,23 +182,38 @@ def _labels_match(cell: str, target: str) -> bool:
     return bool(a) and bool(b) and (a == b or a in b or b in a)
 
 
-def plain_title(lines: DataFrame, doc: str, order: str, line: str, kind: Column, limit: int = 520) -> DataFrame:
+def plain_title(lines: DataFrame, doc: str, order: str, line: str, limit: int = 520) -> DataFrame:
     """The title of a first page as text: leading noise is passed over, then lines are joined until a blank, an author
-    line, an address, or the limit. Titles under 20 characters are none."""
+    line, an address, a numbered line, or the limit. Titles under 20 characters are none."""
     w = W.partitionBy(doc).orderBy(order)
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    body = lines.withColumn("_line", F.trim(line)).withColumn("_kind", kind)
-    good = F.col("_kind").isNull()
-    marked = body.withColumn("_good", good).withColumn("_seen", F.max(good.cast("int")).over(upto))
-    stop = (F.col("_seen") == 1) & (F.coalesce(F.col("_kind").isin("blank", "authors"), F.lit(False)) | F.col("_line").rlike(r"(?i)@|https?://|^\d+\s+|^doi[: ]|^citation:"))
+    upto, before = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.unboundedPreceding, -1)
+    body = lines.withColumn("_line", titles.stripped(line)).withColumn("_kind", titles.line_kind(F.col("_line")))
+    marked = body.withColumn("_good", F.col("_kind").isNull()).withColumn("_seen", F.max(F.col("_good").cast("int")).over(upto))
+    marked = marked.withColumn("_begun", F.coalesce(F.max(F.col("_good").cast("int")).over(before), F.lit(0)) == 1)
+    names = (F.length("_line") < 220) & F.col("_line").rlike(r"^[^,]*,[^,]*,") & F.col("_line").rlike(r",\s*[A-Z][a-z]")
+    ends = F.coalesce(F.col("_kind").isin("blank", "authors"), F.lit(False)) | names | F.col("_line").rlike(r"(?i)@|https?://|^doi[: ]|^citation:")
+    skipped = F.col("_kind").isNotNull() & ~F.coalesce(F.col("_kind").isin("blank", "authors"), F.lit(False))
+    stop = (F.col("_seen") == 1) & ~skipped & (ends | (F.col("_begun") & F.col("_line").rlike(r"^\d+\s+")))
     marked = marked.withColumn("_stop", F.max(stop.cast("int")).over(upto)).where("_seen = 1 and _stop = 0 and _good")
+    marked = marked.withColumn("_line", titles.stripped(F.regexp_replace("_line", r"(?i)^Q\d+\b\s*", ""))).where("_line <> ''")
     marked = marked.withColumn("_size", F.sum(F.length("_line") + 1).over(upto)).where(F.coalesce(F.col("_size") - F.length("_line") - 1, F.lit(0)) <= limit)
     joined = marked.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "_line"))), lambda s: s["_line"]), " ").alias("title"))
-    return joined.where(F.length("title") >= 20)
+    return joined.withColumn("title", F.regexp_replace("title", r"(?U)\s+", " ")).where(F.length("title") >= 20)
 
 
-def hierarchy_title(lines: DataFrame, doc: str, order: str, line: str, size: str, kind: Callable[[Column], Column]) -> DataFrame:
-    """Lines of one type size make a candidate; the largest size with an acceptable one of eight characters wins."""
-    grouped = lines.groupBy(doc, F.round(size, 1).alias("_size")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda s: s[line]), " ").alias("title"))
-    fine = grouped.where((F.length("title") >= 8) & kind(F.col("title")).isNull())
+def hierarchy_title(lines: DataFrame, doc: str, order: str, line: str, size: str) -> DataFrame:
+    """Lines of one type size make a candidate; of those of eight characters that may be a title the largest size wins."""
+    own = lines.where(titles.stripped(line) != "")
+    grouped = own.groupBy(doc, F.round(size, 1).alias("_size")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda s: titles.stripped(s[line])), " ").alias("_raw"))
+    usable = lambda t: (F.length(t) >= 8) & ~titles.is_no_title(F.col(t))
+    fine = grouped.where(usable("_raw") & ~titles.is_frame(F.col("_raw"))).withColumn("title", titles.without_noise(F.col("_raw"))).where(usable("title"))
     return fine.groupBy(doc).agg(F.max_by("title", "_size").alias("title"))
+
+
+def block_title(blocks: DataFrame, doc: str, order: str, text: str, top: str, height: str) -> DataFrame:
+    """The first block in the upper 55 % of a page, of 12 to 400 characters, that may be a title."""
+    t = titles.stripped(F.regexp_replace(text, r"(?U)\s+", " "))
+    near = blocks.where(F.col(top) <= F.col(height) * 0.55).withColumn("_raw", t).where(F.length("_raw").between(12, 400))
+    fine = near.where(~titles.is_no_title(F.col("_raw")) & ~titles.is_frame(F.col("_raw"))).withColumn("title", titles.without_noise(F.col("_raw")))
+    fine = fine.where((F.length("title") >= 12) & ~titles.is_no_title(F.col("title")))
+    return fine.groupBy(doc).agg(F.min_by("title", order).alias("title"))

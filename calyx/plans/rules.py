@@ -177,13 +177,13 @@ def j15_aligned_columns(spark: SparkSession, d: str) -> DataFrame:
 def f16_hierarchy_title(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "slide_info").select("global_id", F.posexplode(F.split(F.coalesce("text_content", F.lit("")), "\n")).alias("at", "line")).distinct()
     sized = lines.where(F.trim("line") != "").withColumn("size", F.when(F.col("at") == 0, 20.04).otherwise(12.0))
-    found = sequences.hierarchy_title(sized, "global_id", "at", "line", "size", titles.line_kind)
+    found = sequences.hierarchy_title(sized, "global_id", "at", "line", "size")
     return found.select("global_id", F.md5("title").alias("title"))
 
 
 def f17_plain_title(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "slide_info").select("global_id", F.posexplode(F.split(F.coalesce("text_content", F.lit("")), "\n")).alias("at", "line")).distinct()
-    found = sequences.plain_title(lines, "global_id", "at", F.col("line"), titles.line_kind(F.col("line")))
+    found = sequences.plain_title(lines, "global_id", "at", "line")
     return found.select("global_id", F.md5("title").alias("title"))
 
 

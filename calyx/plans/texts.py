@@ -163,3 +163,40 @@ SQL = {
         c AS (SELECT *, greatest(0, least(x0, 60)) AS cx0, greatest(0, least(x1, 60)) AS cx1, greatest(0, least(t, 60)) AS ct, greatest(0, least(b, 60)) AS cb FROM q)
         SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN cx1 > cx0 AND cb > ct THEN (cx1 - cx0) * (cb - ct) ELSE 0 END, 4) AS area, x1 >= 0 AND x0 <= 30 AND b >= 0 AND t <= 30 AS meets FROM c""",
 }
+
+
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _matches(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+def _held(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+#: The kind of a line ``s`` with its compressed form ``c``, by the same fixed values.
+_SPACED = "|".join(r"\s+".join(k) for k in titles.SPACED_KINDS)
+_AUTHORS = r"[*∗]\s*$|@|\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+[a-f1-9](?:,|$)"
+_KIND = f"""CASE WHEN s = '' THEN 'blank'
+    WHEN c IN ({_quoted(titles.STATUS_LINES)}) OR (contains(c, 'articleinpress') AND length(c) <= 24) THEN 'status'
+    WHEN {_matches("s", "(?i)^please[ ]+cite[ ]+this[ ]+article".replace("[ ]", chr(92) + "s"))} OR ({_matches("s", titles.CITATION)} AND length(s) < 200) THEN 'citation'
+    WHEN {_matches("s", "|".join(titles.VOLUME))} THEN 'volume'
+    WHEN lower(s) IN ({_quoted(titles.ARTICLE_KINDS)}) OR {_matches("lower(s)", f"^(?:{_SPACED})$")} THEN 'kind'
+    WHEN {_held("c", [x.replace(" ", "") for x in titles.METADATA_PHRASES])} THEN 'metadata'
+    WHEN c IN ({_quoted(titles.MASTHEADS)}) OR (len(list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '')) <= 5 AND length(s) <= 48 AND NOT {_matches("s", "[.?:;]$")} AND (ends_with(c, 'journal') OR {_held("c", ("journalof", "infections"))} OR contains(s, '&'))) THEN 'masthead'
+    WHEN {_matches("s", "(?i)^(?:" + "|".join(titles.FRAME_STARTS) + ")")} OR {_held("c", titles.FRAME_WORDS)} OR {_matches("s", "^[A-Z]{2,6}[ ]+[0-9]{4,6}[ ]+[0-9]|^(?i:G[ ]+Model)".replace("[ ]", chr(92) + "s") + chr(92) + "b")} THEN 'boilerplate'
+    WHEN length(s) <= 280 AND ({_matches("s", _AUTHORS)} OR ({_matches("s", r"^[A-Z][\w\-.']+(?:\s*,\s*[A-Z][\w\-.']*)+")} AND length(s) < 120)
+        OR ({_matches("s", r"^[A-Z][a-z'\-]{2,24}(?:\s+[A-Z][a-z'\-]{2,24}){1,4}$")} AND length(s) <= 80 AND NOT {_matches("s", "(?i)(?:^|" + chr(92) + "s)(?:" + "|".join(titles.NO_SURNAMES) + ")(?:" + chr(92) + "s|$)| of ")})) THEN 'authors' END"""
+_LINE = r"regexp_replace(line, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g') AS s, regexp_replace(lower(line), '[^\p{L}\p{M}\p{N}\p{Pc}]+', '', 'g') AS c"
+SQL["f13_line_kinds"] = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS "at" FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, "at", {_LINE} FROM l)
+    SELECT doc_id, "at", {_KIND} AS kind FROM n"""
+SQL["f17_plain_title"] = f"""WITH d AS (SELECT DISTINCT global_id, coalesce(text_content, '') AS t FROM slide_info), l AS (SELECT global_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS "at" FROM d),
+    n AS (SELECT global_id, "at", {_LINE} FROM l), k AS (SELECT *, {_KIND} AS kind FROM n),
+    w AS (SELECT *, coalesce(max((kind IS NULL)::INT) OVER (p ROWS UNBOUNDED PRECEDING), 0) AS seen, coalesce(max((kind IS NULL)::INT) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM k WINDOW p AS (PARTITION BY global_id ORDER BY "at")),
+    e AS (SELECT *, (seen = 1 AND NOT (kind IS NOT NULL AND kind NOT IN ('blank', 'authors')) AND (coalesce(kind IN ('blank', 'authors'), false) OR (length(s) < 220 AND regexp_matches(s, '^[^,]*,[^,]*,') AND regexp_matches(s, ',\\s*[A-Z][a-z]')) OR regexp_matches(s, '(?i)@|https?://|^doi[: ]|^citation:') OR (begun = 1 AND regexp_matches(s, '^[0-9]+\\s+'))))::INT AS ends FROM w),
+    g AS (SELECT *, max(ends) OVER (PARTITION BY global_id ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS stop FROM e), q AS (SELECT global_id, "at", trim(regexp_replace(s, '(?i)^Q[0-9]+\\b\\s*', '')) AS s FROM g WHERE seen = 1 AND stop = 0 AND kind IS NULL),
+    z AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY global_id ORDER BY "at" ROWS UNBOUNDED PRECEDING) - length(s) - 1 AS before FROM q WHERE s <> ''), j AS (SELECT global_id, regexp_replace(string_agg(s, ' ' ORDER BY "at"), '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g') AS title FROM z WHERE before <= 520 GROUP BY 1)
+    SELECT global_id, md5(title) AS title FROM j WHERE length(title) >= 20"""

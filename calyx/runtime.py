@@ -6,7 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,18 +112,16 @@ def _drop_stages() -> None:
 
 
 @contextmanager
-def removing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Inside, the shuffle files of a job are removed when it ends, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def session_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """The session's settings changed inside, and put back after."""
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -70,6 +70,22 @@ def test_line_kinds(spark):
     assert got == ["masthead", "masthead", "status", "metadata", "volume", None, "blank"]
 
 
+def test_noise_is_no_title(spark):
+    no = (
+        "Please cite this article in press as: Smith", "31 (2013) 1870–1876", "Klinman Scheiermann", "We need to verify that you are not a robot", "Smith, Jones, Miller",
+        "Expert Review Vaccines", "Emerging Microbes & Infections", "Research Article", "author's accepted manuscript", "Institutional Review Board", "a r t i c l e i n f o", "",
+    )
+    yes = ("Optimal approaches to data collection and analysis", "Clinical Evaluation Study", "Safety of a vaccine in 31 adults (2013)")
+    assert one(spark, titles.is_no_title, *no[:-2], no[-1]) == [True] * (len(no) - 1) and one(spark, titles.is_no_title, *yes) == [False] * len(yes)
+    assert one(spark, titles.line_kind, no[1], no[2], no[10], "www.nature.com/x", "JVAC 13456 1-9", "Nature") == ["volume", "authors", "kind", "boilerplate", "boilerplate", "masthead"]
+    assert one(spark, titles.file_name, no[0], "English head of things: 中文尾巴", "Academic Editor") == ["Untitled_Document", "English_Head_of_Things", "Academic_Editor"]
+
+
+def test_noise_before_and_after_a_title(spark):
+    noisy = ("Smith, J. in press. Clinical evaluation of vaccines", "Please cite this article: what it is", "Trial of a vaccine in adults - PMC | PubMed", "A press of grapes")
+    assert one(spark, titles.without_noise, *noisy) == ["Clinical evaluation of vaccines", "what it is", "Trial of a vaccine in adults", "A press of grapes"]
+
+
 def test_year(spark):
     df = spark.createDataFrame([("Vaccine 31 (2013) 1870-1876", "", ""), ("", "FDA-2019-D-1", ""), ("", "", "D:2015"), ("", "", "")], "a string, b string, c string")
     assert [r[0] for r in df.select(titles.publication_year(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["2013", "2019", "2015", "XXXX"]
@@ -138,5 +154,13 @@ def test_titles_from_lines(spark):
     rows = [("d", i, t, s) for i, (t, s) in enumerate(zip(lines, sizes))] + [("e", 0, "short", 9.0), ("f", 0, "", 9.0)]
     df = spark.createDataFrame(rows, "doc string, at int, line string, size double")
     title = "Optimal approaches to data collection and analysis of vaccines"
-    assert [tuple(r) for r in sequences.hierarchy_title(df, "doc", "at", "line", "size", titles.line_kind).collect()] == [("d", title)]
-    assert [tuple(r) for r in sequences.plain_title(df, "doc", "at", F.col("line"), titles.line_kind(F.col("line"))).collect()] == [("d", title)]
+    assert [tuple(r) for r in sequences.hierarchy_title(df, "doc", "at", "line", "size").collect()] == [("d", title)]
+    assert [tuple(r) for r in sequences.plain_title(df, "doc", "at", "line").collect()] == [("d", title)]
+
+
+def test_block_titles(spark):
+    from calyx.operators import sequences
+
+    rows = [("d", 0, "ARTICLE IN PRESS", 10.0), ("d", 2, "Optimal approaches to\n data collection", 50.0), ("d", 1, "Nature", 20.0), ("d", 3, "Another title of some kind", 60.0), ("e", 0, "A title that stands too low on its page", 90.0)]
+    df = spark.createDataFrame([(*r, 100.0) for r in rows], "doc string, at int, t string, top double, h double")
+    assert [tuple(r) for r in sequences.block_title(df, "doc", "at", "t", "top", "h").collect()] == [("d", "Optimal approaches to data collection")]
