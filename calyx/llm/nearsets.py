@@ -50,13 +50,15 @@ THRESHOLD = 0.7
 #: Counters of the cost sketch for each text, up to 2^24 counters, and the blocks they are sent in.
 SKETCH_PER_TEXT, SKETCH_MOST_BITS, SKETCH_BLOCKS = 8, 24, 32
 #: Signatures one task gathers, about.
-GROUP_SIGNATURES = 24_000_000
+GROUP_SIGNATURES = 16_000_000
 #: A signature with more holders than this is split over several groups, by pairs of blocks of holders.
 HOT_PARTNERS = 20_000
 #: Signatures whose partners are looked up at once.
 JOB_SIGNATURES = 1_000_000
 #: Pairs found that a worker holds before it hands them on.
 FOUND_PAIRS = 2_000_000
+#: Shuffle files go when their job ends, and workers get few large rows at a time.
+FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Keys of one text that meet in one task.
 MEMBER_BLOCK = 2_000
 #: Pairs compared at once within a task: few enough for the processor's cache.
@@ -599,7 +601,7 @@ def similar_representatives(reps: DataFrame, threshold: float = THRESHOLD, run:
         raise ValueError(f"runs have {RUN} characters")
     spark = reps.sparkSession
     bits = min(SKETCH_MOST_BITS, max(16, (SKETCH_PER_TEXT * reps.count()).bit_length()))
-    with runtime.removing_shuffles(spark):
+    with runtime.session_settings(spark, FRUGAL):
         seen = runtime.Stage(reps.mapInPandas(_count_signatures(threshold, bits), COUNTED), "signature-counts", ["kind"])
         for stage in used:
             stage.drop()
