@@ -131,9 +131,12 @@ def looked_back(rows: DataFrame, partition: Sequence[str], order: Sequence[str],
 
 
 def zipped(left: DataFrame, right: DataFrame, partition: Sequence[str], left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
-    """Rows side by side by position within a partition; the longer side is cut."""
-    a = left.withColumn("_at", F.row_number().over(W.partitionBy(*partition).orderBy(*left_order)))
-    b = right.withColumn("_at", F.row_number().over(W.partitionBy(*partition).orderBy(*right_order)))
+    """Rows side by side by position within a partition, which may hold most rows; the longer side is cut.
+
+    With the partition the order is unique.
+    """
+    a = runtime.numbered_within(left, partition, left_order, "_at")
+    b = runtime.numbered_within(right, partition, right_order, "_at")
     return a.join(b, [*partition, "_at"]).withColumnRenamed("_at", "position")
 
 

@@ -111,9 +111,19 @@ def with_dividers(rows: DataFrame, partition: Sequence[str], order: Sequence[str
 
 
 def capped(rows: DataFrame, partition: Sequence[str], must_keep: Column, order: Sequence, limit: int) -> DataFrame:
-    """At most ``limit`` rows, those that must stay first; all of them stay even beyond the limit."""
-    w = W.partitionBy(*partition).orderBy(F.when(must_keep, 0).otherwise(1), *order)
-    return rows.withColumn("_keep", (F.row_number().over(w) <= limit) | must_keep).where("_keep").drop("_keep")
+    """At most ``limit`` rows, those that must stay first; all of them stay even beyond the limit.
+
+    Of the others no task sends more than ``limit`` of a partition.
+    """
+    must = F.coalesce(must_keep, F.lit(False))
+    kept = rows.where(must)
+    counted = kept.groupBy(*[F.col(p).alias(f"_{p}") for p in partition]).agg(F.count(F.lit(1)).alias("_kept"))
+    same = F.lit(True)
+    for p in partition:
+        same = same & F.col(p).eqNullSafe(F.col(f"_{p}"))
+    few = rows.where(~must).withColumn("_rank", F.row_number().over(W.partitionBy(*partition).orderBy(*order))).where(F.col("_rank") <= limit)
+    room = few.join(counted, same, "left").where(F.col("_rank") <= limit - F.coalesce("_kept", F.lit(0)))
+    return kept.unionByName(room.select(*rows.columns))
 
 
 def tie_break(candidates: DataFrame, slot: str, mode: str) -> DataFrame:

@@ -48,7 +48,7 @@ def a7_keyword_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _risk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_type is not null")
+    docs = table(spark, d, "documents")
     text = F.lower(F.col("text"))
     numbers = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))))
     score = F.when(F.col("lang") == "de", 1).otherwise(keyed.keyword_score(text, {"query": 1, "audit": 1}) + 2 * F.regexp_count(text, F.lit("deviation")) + F.least(numbers, F.lit(5)))
@@ -100,7 +100,7 @@ def a15_folder_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a16_frequent_words(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").where("lang = 'en' and text is not null").select("doc_type", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
+    words = table(spark, d, "documents").where("text is not null").select("doc_type", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
     return keyed.frequent_items(words.where(~F.col("word").isin("the", "and", "of")), "word", "doc_type", 4)
 
 
@@ -199,7 +199,7 @@ QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and nam
 _TXT = "lower(text)"
 _HIT = " + ".join(f"len(regexp_extract_all({_TXT}, '{w}[^a-zA-Z0-9]')) * {n}" for w, n in WEIGHTS.items())
 _RISK = f"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN lang = 'de' THEN 1 ELSE len(regexp_extract_all({_TXT}, 'query[^a-zA-Z0-9]')) + len(regexp_extract_all({_TXT}, 'audit[^a-zA-Z0-9]'))
-    + 2 * len(regexp_extract_all({_TXT}, 'deviation')) + least(len(list_distinct(regexp_extract_all({_TXT}, '[0-9]+'))), 5) END AS score FROM documents WHERE doc_type IS NOT NULL"""
+    + 2 * len(regexp_extract_all({_TXT}, 'deviation')) + least(len(list_distinct(regexp_extract_all({_TXT}, '[0-9]+'))), 5) END AS score FROM documents"""
 _LEVEL = "CASE WHEN score IS NULL THEN 'UNKNOWN' WHEN score = 0 THEN 'LOW' WHEN score <= 4 THEN 'MEDIUM' ELSE 'HIGH' END"
 _PAIR = """SELECT least(global_id_a, global_id_b) AS a, greatest(global_id_a, global_id_b) AS b, max(similarity) AS similarity FROM slide_match
     WHERE global_id_a <> global_id_b AND similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY 1, 2"""
@@ -224,7 +224,7 @@ SQL = {
     "a15_folder_size": """WITH p AS (SELECT o_orderpriority AS a, o_orderstatus AS b, o_custkey % 20 AS c, cast(round_even(o_totalprice, 10) - (o_totalprice - floor(o_totalprice)) AS BIGINT) AS size, o_orderdate AS changed FROM orders),
         f AS (SELECT a AS folder, size, changed FROM p UNION ALL SELECT concat(a, '/', b), size, changed FROM p UNION ALL SELECT concat(a, '/', b, '/', c), size, changed FROM p)
         SELECT folder, sum(size)::BIGINT AS total_size, count(*) AS files, max(changed) AS latest FROM f GROUP BY 1""",
-    "a16_frequent_words": "WITH w AS (SELECT doc_type, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents WHERE lang = 'en') SELECT word, count(DISTINCT coalesce(doc_type, '?')) AS places FROM w WHERE word NOT IN ('the', 'and', 'of') GROUP BY 1 HAVING places >= 4",
+    "a16_frequent_words": "WITH w AS (SELECT doc_type, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents) SELECT word, count(DISTINCT coalesce(doc_type, '?')) AS places FROM w WHERE word NOT IN ('the', 'and', 'of') GROUP BY 1 HAVING places >= 4",
     "a17_routing": "SELECT l_orderkey, CASE WHEN count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_linenumber END) >= 1 THEN 'vector' ELSE 'scan' END AS route FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1",
     "a18_anomaly_totals": "SELECT l_orderkey, count(*) AS pages, count(*) FILTER (l_tax > 0.06) AS distorted, coalesce(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) FILTER (l_tax > 0.06), '') AS bad_pages FROM lineitem GROUP BY 1",
     "a19_max_similarity": f"WITH p AS ({_PAIR}), e AS (SELECT a AS id, similarity FROM p UNION ALL SELECT b, similarity FROM p) SELECT s.global_id, coalesce(max(similarity), 0) AS max_similarity FROM (SELECT DISTINCT global_id FROM slide_info) s LEFT JOIN e ON s.global_id = e.id GROUP BY 1",

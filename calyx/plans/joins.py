@@ -107,7 +107,7 @@ def j13_zipped(spark: SparkSession, d: str) -> DataFrame:
 
 def j14_verify(spark: SparkSession, d: str) -> DataFrame:
     """All cells compared, and whether the cell is on the diagonal that a lenient check looks at."""
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    rows = table(spark, d, "lineitem")
     cells = rows.select("l_orderkey", "l_linenumber", F.explode(F.array(F.struct(F.lit(1).alias("sub"), (F.col("l_discount") * 10).alias("v")), F.struct(F.lit(2).alias("sub"), (F.col("l_tax") * 10).alias("v")), F.struct(F.lit(3).alias("sub"), (F.col("l_quantity") / 100).alias("v")))).alias("c"))
     cells = cells.select("l_orderkey", "l_linenumber", "c.sub", "c.v")
     means = cells.groupBy("l_linenumber", "sub").agg(F.avg("v").alias("source"))
@@ -196,7 +196,7 @@ SQL = {
     "j11_kept_and_removed": "SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) THEN 'kept' ELSE 'removed' END AS state FROM part",
     "j12_not_registered": "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')",
     "j13_zipped": "WITH a AS (SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS position FROM customer), b AS (SELECT s_nationkey AS nation, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS position FROM supplier) SELECT * FROM a JOIN b USING (nation, position)",
-    "j14_verify": """WITH c AS (SELECT l_linenumber, 1 AS sub, l_discount * 10 AS v FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT l_linenumber, 2, l_tax * 10 FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT l_linenumber, 3, l_quantity / 100 FROM lineitem WHERE l_linenumber <= 3), m AS (SELECT l_linenumber, sub, avg(v) AS s FROM c GROUP BY 1, 2)
+    "j14_verify": """WITH c AS (SELECT l_linenumber, 1 AS sub, l_discount * 10 AS v FROM lineitem UNION ALL SELECT l_linenumber, 2, l_tax * 10 FROM lineitem UNION ALL SELECT l_linenumber, 3, l_quantity / 100 FROM lineitem), m AS (SELECT l_linenumber, sub, avg(v) AS s FROM c GROUP BY 1, 2)
         SELECT l_linenumber, sub, count(*) FILTER (abs(v - s) > 0.15) AS mismatches, (sub = l_linenumber)::INT AS diagonal FROM c JOIN m USING (l_linenumber, sub) GROUP BY 1, 2""",
     "j16_lookup": """WITH e AS (SELECT l_partkey, arg_min(l_quantity, (l_orderkey, l_linenumber)) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30 GROUP BY 1), a AS (SELECT l_partkey, arg_min(l_quantity, (l_orderkey, l_linenumber)) AS v FROM lineitem WHERE l_quantity > 20 GROUP BY 1)
         SELECT p_partkey, coalesce(e.v, a.v) AS found, CASE WHEN e.v IS NOT NULL THEN 'exact' WHEN a.v IS NOT NULL THEN 'fallback' ELSE 'none' END AS how FROM part LEFT JOIN e ON p_partkey = e.l_partkey LEFT JOIN a ON p_partkey = a.l_partkey""",
