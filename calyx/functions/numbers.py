@@ -63,13 +63,13 @@ def triple(text: Column) -> Column:
     forms = []
     for unit in ("%", ""):
         pattern = rf"{_DEC}{unit}\s*{_OPEN}\s*{_DEC}{unit}\s*{_COMMA}\s*{_DEC}{unit}\s*{_SHUT}"
-        forms.append(_with(F.regexp_extract_all(F.regexp_extract(text, pattern, 0), F.lit(_DEC), F.lit(1)), _three))
+        forms.append(with_value(F.regexp_extract_all(F.regexp_extract(text, pattern, 0), F.lit(_DEC), F.lit(1)), _three))
     one = number(part(text, _DEC, 1))
     forms.append(_all_or_none(F.struct(one.alias("lo"), one.alias("mid"), one.alias("up")), one))
     return F.coalesce(*forms)
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
