@@ -27,8 +27,8 @@ def graded_rows(rows: DataFrame, doc: str, order: str, cells: str) -> DataFrame:
     Of a term that repeats the later block wins, field by field. Gives ``doc, term, level, ord`` and the row's group values.
     """
     first = rules.first_filled(F.col(cells))
-    base = rows.select(doc, order, cells, first.alias("_first"), rules.group_values(F.col(cells)).alias("groups")).withColumn("_kind", rules.row_kind(F.col("_first")))
-    has_data = F.exists("groups", lambda g: g["events"].isNotNull())
+    base = rows.select(doc, order, cells, first.alias("_first")).withColumn("_kind", rules.row_kind(F.col("_first")))
+    has_data = F.exists(rules.group_values(F.col(cells)), lambda g: g["events"].isNotNull())  # looked for in terms only
     w = W.partitionBy(doc).orderBy(order)
     upto, before = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.unboundedPreceding, -1)
     starts = (F.col("_kind") == "term") & has_data
@@ -46,9 +46,9 @@ def graded_rows(rows: DataFrame, doc: str, order: str, cells: str) -> DataFrame:
     level = (
         F.when(F.col("_starts"), "Total").when(F.col("_open") == F.col(order), "1级").when(F.col("_second") == F.col(order), "2级").when(F.col("_third") == F.col(order), "3级")
     )
-    taken = marked.withColumn("level", level).where("level is not null").select(F.col(doc).alias("doc"), F.col("_term").alias("term"), "level", F.col(order).alias("ord"), "groups")
-    last = taken.groupBy("doc", "term", "level").agg(F.max_by(F.struct("ord", "groups"), F.col("ord")).alias("_r"))
-    return last.select("doc", "term", "level", "_r.ord", "_r.groups")
+    taken = marked.withColumn("level", level).where("level is not null").select(F.col(doc).alias("doc"), F.col("_term").alias("term"), "level", F.col(order).alias("ord"), F.col(cells).alias("_cells"))
+    last = taken.groupBy("doc", "term", "level").agg(F.max_by(F.struct("ord", "_cells"), F.col("ord")).alias("_r"))
+    return last.select("doc", "term", "level", "_r.ord", rules.group_values(F.col("_r._cells")).alias("groups"))
 
 
 def _merge(boxes: list[tuple], pad: float, most: int | None) -> list[tuple]:
