@@ -59,14 +59,17 @@ JOB_SIGNATURES = 1_000_000
 FOUND_PAIRS = 2_000_000
 #: Shuffle files go when their job ends, and workers get few large rows at a time.
 FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Case by Java's own tables, which are much faster on texts that are not ASCII.
+PLAIN_CASE = {"spark.sql.icu.caseMappings.enabled": "false"}
 #: Keys of one text that meet in one task.
 MEMBER_BLOCK = 2_000
 #: Pairs compared at once within a task: few enough for the processor's cache.
 BLOCK_PAIRS = 12_000
 #: Characters of texts a worker handles at once; a longer text is handled by itself.
 BATCH_CHARS = 400_000
-#: The smallest size band, and the runs a segment has at the band's upper edge.
-FIRST_BAND = 32
+#: Upper edges of the size bands: they double, and from 512 on grow by the root of two, as the runs of
+#: a segment, of which there is one for four runs of the edge, would else be too few at the lower end.
+EDGES = [32 << k for k in range(5)] + [int(512 * 2 ** (k / 2)) for k in range(1, 48)]
 _U = np.uint64
 
 
@@ -81,13 +84,14 @@ def _segments(hi: int) -> int:
 
 
 def _words(hi: int) -> int:
-    """64-bit words of a band's odd sketch: two bits per run, so that it does not fill up."""
-    return max(2, hi // 32)
+    """64-bit words of a band's odd sketch: about two bits per run, so that it does not fill up; whole multiples of 16 for long texts."""
+    return max(2, hi // 32) if hi < 512 else 16 * (hi // 512)
 
 
 def _in_band(size, hi: int, threshold: float):
     """Whether a set of this size has a similar partner, or is one, whose smaller set is of band ``hi``."""
-    return (size >= (hi // 2 if hi > FIRST_BAND else 0)) & (size * threshold < hi + 1e-9)
+    at = EDGES.index(hi)
+    return (size >= (EDGES[at - 1] if at else 0)) & (size * threshold < hi + 1e-9)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -190,8 +194,7 @@ def _count_signatures(threshold: float, bits: int):
             for part in _parts(pdf):
                 runs, docs, sizes = run_sets(list(part["text"]))
                 lone = np.zeros(len(part), dtype=bool)
-                hi = FIRST_BAND
-                while hi / 2 <= sizes.max(initial=0):
+                for hi in EDGES:
                     member = _in_band(sizes, hi, threshold)
                     if member.any():
                         band = _Band(runs, docs, member, hi, False)
@@ -199,7 +202,8 @@ def _count_signatures(threshold: float, bits: int):
                         made[hi] = made.get(hi, 0) + len(band.full) + int(band.count[band.several].sum())
                         weight = np.bincount(band.full_doc, minlength=len(sizes)) + np.bincount(band.full_doc[band.several], minlength=len(sizes))
                         lone |= member & (weight < _need(sizes, hi, threshold))
-                    hi *= 2
+                    elif hi > sizes.max(initial=0):
+                        break
                 yield pd.DataFrame({
                     "kind": np.where(lone, "lone", "text"), "number": part["rep"].to_numpy(), "size": sizes.astype("int32"),
                     "data": None, "text": part["text"].to_numpy(),
@@ -556,7 +560,8 @@ def text_classes(records: DataFrame, key: str, text: str, min_chars: int = MIN_C
     found = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("id"), normalised(F.col(text)).alias("text")
     ).where(F.char_length("text") >= min_chars).withColumn("hash", F.unhex(F.md5("text")))
-    stage = runtime.Stage(found, "texts")
+    with runtime.session_settings(records.sparkSession, PLAIN_CASE):
+        stage = runtime.Stage(found, "texts")
     rows = stage.df
     reps = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.first("text").alias("text")).select("rep", "text")
     copied = rows.groupBy("hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
