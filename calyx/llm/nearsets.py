@@ -50,7 +50,7 @@ THRESHOLD = 0.7
 #: Counters of the cost sketch for each text, up to 2^24 counters, and the blocks they are sent in.
 SKETCH_PER_TEXT, SKETCH_MOST_BITS, SKETCH_BLOCKS = 8, 24, 32
 #: Signatures one task gathers, about.
-GROUP_SIGNATURES = 16_000_000
+GROUP_SIGNATURES = 22_000_000
 #: A signature with more holders than this is split over several groups, by pairs of blocks of holders.
 HOT_PARTNERS = 20_000
 #: Signatures whose partners are looked up at once.
