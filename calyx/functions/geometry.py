@@ -1,10 +1,15 @@
-"""Boxes ``struct<x0, top, x1, bottom>`` on pages: rotation, clamping, overlap, union."""
+"""Boxes ``struct<x0, top, x1, bottom>`` on pages: rotation, clamping, overlap, union.
+
+A box is bound once in each function, so that expressions of functions of functions stay small.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from calyx.functions.numbers import with_value
+
 _SIDES = ("x0", "top", "x1", "bottom")
 
 
@@ -13,24 +18,28 @@ def box(x0: Column, top: Column, x1: Column, bottom: Column) -> Column:
 
 
 def area(b: Column) -> Column:
-    w, h = b["x1"] - b["x0"], b["bottom"] - b["top"]
-    return F.when((w > 0) & (h > 0), w * h).otherwise(0.0)
+    size = with_value(b, lambda v: F.struct((v["x1"] - v["x0"]).alias("w"), (v["bottom"] - v["top"]).alias("h")))
+    return with_value(size, lambda v: F.when((v["w"] > 0) & (v["h"] > 0), v["w"] * v["h"]).otherwise(0.0))
+
+
+def _both(a: Column, b: Column, body) -> Column:
+    return with_value(F.struct(a.alias("a"), b.alias("b")), lambda v: body(v["a"], v["b"]))
 
 
 def overlaps(a: Column, b: Column) -> Column:
     """Touching edges count."""
-    return (a["x1"] >= b["x0"]) & (a["x0"] <= b["x1"]) & (a["bottom"] >= b["top"]) & (a["top"] <= b["bottom"])
+    return _both(a, b, lambda a, b: (a["x1"] >= b["x0"]) & (a["x0"] <= b["x1"]) & (a["bottom"] >= b["top"]) & (a["top"] <= b["bottom"]))
 
 
 def union(a: Column, b: Column) -> Column:
-    return box(F.least(a["x0"], b["x0"]), F.least(a["top"], b["top"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["bottom"], b["bottom"]))
+    return _both(a, b, lambda a, b: box(F.least(a["x0"], b["x0"]), F.least(a["top"], b["top"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["bottom"], b["bottom"])))
 
 
 def clamped(b: Column, width: Column, height: Column) -> Column:
     """The part on the page; null if nothing is."""
     inside = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most))
-    out = box(inside(b["x0"], width), inside(b["top"], height), inside(b["x1"], width), inside(b["bottom"], height))
-    return F.when((out["x1"] > out["x0"]) & (out["bottom"] > out["top"]), out)
+    out = with_value(b, lambda v: box(inside(v["x0"], width), inside(v["top"], height), inside(v["x1"], width), inside(v["bottom"], height)))
+    return with_value(out, lambda v: F.when((v["x1"] > v["x0"]) & (v["bottom"] > v["top"]), v))
 
 
 def quarter(rotation: Column) -> Column:
@@ -41,20 +50,24 @@ def quarter(rotation: Column) -> Column:
 
 def rotated(b: Column, source: Column, target: Column, width: Column, height: Column) -> Column:
     """A box of a page seen at one rotation, as it lies at another; width and height are those of the source frame."""
-    s, t = quarter(source), quarter(target)
-    swap = s.isin(90, 270)
-    bw, bh = F.when(swap, height).otherwise(width), F.when(swap, width).otherwise(height)
-
-    def corner(x: Column, y: Column) -> tuple[Column, Column]:
-        xb = F.when(s == 90, y).when(s == 180, bw - x).when(s == 270, bw - y).otherwise(x)
-        yb = F.when(s == 90, bh - x).when(s == 180, bh - y).when(s == 270, x).otherwise(y)
-        return (
-            F.when(t == 90, bh - yb).when(t == 180, bw - xb).when(t == 270, yb).otherwise(xb),
-            F.when(t == 90, xb).when(t == 180, bh - yb).when(t == 270, bw - xb).otherwise(yb),
-        )
-
-    (ax, ay), (bx, by) = corner(b["x0"], b["top"]), corner(b["x1"], b["bottom"])
-    return box(F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by))
+    page = F.struct(b.alias("b"), quarter(source).alias("s"), quarter(target).alias("t"), width.alias("w"), height.alias("h"))
+
+    def base(v: Column) -> Column:
+        s, w, h = v["s"], v["w"], v["h"]
+        across = lambda x, y: F.when(s == 90, y).when(s == 180, w - x).when(s == 270, h - y).otherwise(x)
+        down = lambda x, y: F.when(s == 90, w - x).when(s == 180, h - y).when(s == 270, x).otherwise(y)
+        swap = s.isin(90, 270)
+        corners = [f(v["b"][x], v["b"][y]).alias(n) for f, x, y, n in ((across, "x0", "top", "ax"), (down, "x0", "top", "ay"), (across, "x1", "bottom", "bx"), (down, "x1", "bottom", "by"))]
+        return F.struct(*corners, v["t"].alias("t"), F.when(swap, h).otherwise(w).alias("w"), F.when(swap, w).otherwise(h).alias("h"))
+
+    def placed(v: Column) -> Column:
+        t, w, h = v["t"], v["w"], v["h"]
+        across = lambda x, y: F.when(t == 90, h - y).when(t == 180, w - x).when(t == 270, y).otherwise(x)
+        down = lambda x, y: F.when(t == 90, x).when(t == 180, h - y).when(t == 270, w - x).otherwise(y)
+        corners = [f(v[x], v[y]) for f in (across, down) for x, y in (("ax", "ay"), ("bx", "by"))]
+        return box(F.least(*corners[:2]), F.least(*corners[2:]), F.greatest(*corners[:2]), F.greatest(*corners[2:]))
+
+    return with_value(with_value(page, base), placed)
 
 
 def luma_hex(hue: Column, saturation: float, lightness: float) -> Column:

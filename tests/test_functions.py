@@ -134,6 +134,18 @@ def test_rotation_there_and_back(spark):
         assert tuple(back) == (1.0, 2.0, 5.0, 9.0)
 
 
+def test_boxes_of_boxes_stay_small(spark):
+    df = spark.createDataFrame([(10.0, 20.0, 50.0, 90.0, 270), (10.0, -5.0, 50.0, 40.0, 90), (70.0, 2.0, 75.0, 9.0, 0), (5.0, 5.0, 9.0, 9.0, None)], "x0 double, top double, x1 double, bottom double, turn int")
+    turned = geometry.rotated(geometry.box(F.col("x0"), F.col("top"), F.col("x1"), F.col("bottom")), F.col("turn"), F.lit(180), F.lit(60.0), F.lit(80.0))
+    shown = geometry.clamped(turned, F.lit(60.0), F.lit(60.0))
+    grown = geometry.union(shown, turned)
+    found = df.select(turned.alias("turned"), geometry.area(shown).alias("area"), geometry.overlaps(grown, shown).alias("meets"))
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 50_000
+    assert [(tuple(r.turned), r.area, r.meets) for r in found.collect()] == [
+        ((20.0, 10.0, 90.0, 50.0), 1600.0, True), ((40.0, 10.0, 85.0, 50.0), 800.0, True), ((-15.0, 71.0, -10.0, 78.0), 0.0, None), ((51.0, 71.0, 55.0, 75.0), 0.0, None),
+    ]
+
+
 def test_colours_do_not_change(spark):
     assert one(spark, lambda c: geometry.luma_hex(F.length(c), 1.0, 0.5), "", "x" * 120, "x" * 240) == ["FF0000", "00FF00", "0000FF"]
 
