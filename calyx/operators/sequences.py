@@ -1,21 +1,27 @@
 """Operators whose result depends on order so that no window expresses them.
 
 They run as grouped pandas functions over one document, page or component at a
-time; a group is bounded by what one document or component holds, and each takes
-an explicit order column.
+time, or over the rows in the order of such groups; a group is bounded by what one
+document or component holds, and each takes an explicit order column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from calyx.functions import rules, titles
 
+#: Cells of tables that a worker looks through at once, about.
+BATCH_CELLS = 100_000
+
 
 def graded_rows(rows: DataFrame, doc: str, order: str, cells: str) -> DataFrame:
     """The Total and the grades 1 to 3 of every term of a graded table, by windows.
@@ -134,39 +140,100 @@ def aligned_columns(cells: DataFrame, table_key: str, labels: Sequence[str], hea
     taken; the value column has most of the headers, then most numbers, then comes
     first. Gives ``table_key, cat_col, val_col, rows``; tables without a fit give none.
     """
-    match = match or _labels_match
-
-    def align(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = {(int(r), int(c)): (v or "").strip() for r, c, v in zip(pdf["row"], pdf["col"], pdf["value"])}
-        n_rows, n_cols = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
-        for col in range(n_cols):
-            for start in range(n_rows):
-                rows, at = [], start
-                for label in labels:
-                    while at < n_rows and not match(grid.get((at, col), ""), label):
-                        if not rows:
-                            at = n_rows
-                            break
-                        at += 1
-                    if at >= n_rows:
+    labels, headers = list(labels), list(headers)
+    kind = cells.schema[table_key].dataType.simpleString()
+    placed = cells.select(F.col(table_key), F.col("row").cast("long"), F.col("col").cast("long"), F.col("value")).repartition(table_key).sortWithinPartitions(table_key)
+    return placed.mapInArrow(_align_all(table_key, labels, headers, match or _labels_match), f"{table_key} {kind}, cat_col int, val_col int, rows array<int>")
+
+
+def _align_all(table_key: str, labels: list[str], headers: list[str], match: Callable[[str, str], bool]):
+    """Tables one after another, from rows in the order of their keys: many in one batch, none of them a call of its own."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match_once, number_once = lru_cache(100_000)(match), lru_cache(100_000)(_is_number)
+        anywhere = any(match_once("", label) for label in labels)  # labels that an absent cell would match
+
+        def fits(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            codes = part["value"].combine_chunks().dictionary_encode(null_encoding="encode")
+            words = [(v or "").strip() for v in codes.dictionary.to_pylist()]
+            value, row, col = codes.indices.to_numpy(zero_copy_only=False), part["row"].to_numpy(), part["col"].to_numpy()
+            ends = np.append(starts[1:], len(value))
+            some = np.ones(len(starts), dtype=bool)
+            if not anywhere:
+                table = np.repeat(np.arange(len(starts)), ends - starts)
+                for label in labels:  # a table without a cell for each label is passed over
+                    held = np.array([match_once(w, label) for w in words], dtype=bool)
+                    some &= np.bincount(table[held[value]], minlength=len(starts)) > 0
+            found: tuple[list, list, list, list] = [], [], [], []
+            for at in np.flatnonzero(some):
+                here = slice(starts[at], ends[at])
+                places = zip(row[here].tolist(), col[here].tolist(), value[here].tolist())
+                hit = _aligned({(r, c): words[v] for r, c, v in places}, labels, headers, match_once, number_once)
+                if hit:
+                    for out, x in zip(found, (starts[at], *hit)):
+                        out.append(x)
+            keys = part[table_key].combine_chunks().take(pa.array(found[0], pa.int64()))
+            rest = [pa.array(x, t) for x, t in zip(found[1:], (pa.int32(), pa.int32(), pa.list_(pa.int32())))]
+            return pa.RecordBatch.from_arrays([keys, *rest], names=[table_key, "cat_col", "val_col", "rows"])
+
+        held: list[pa.RecordBatch] = []
+        most = count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count <= max(most, BATCH_CELLS):
+                continue
+            part = pa.Table.from_batches(held)
+            starts = _starts(part[table_key])
+            if len(starts) > 1:  # the last table may go on
+                yield fits(part.slice(0, starts[-1]), starts[:-1])
+                held = part.slice(starts[-1]).combine_chunks().to_batches()
+            count = part.num_rows - starts[-1]
+            most = 2 * count  # a table of many batches is looked through a few times only
+        if count:
+            part = pa.Table.from_batches(held)
+            yield fits(part, _starts(part[table_key]))
+
+    return align
+
+
+def _starts(keys: pa.ChunkedArray) -> np.ndarray:
+    """Where each run of equal keys begins; nulls are equal."""
+    code = keys.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+
+
+def _aligned(grid: dict[tuple[int, int], str], labels: list[str], headers: list[str], match: Callable[[str, str], bool], is_number: Callable[[str], bool]) -> tuple[int, int, list[int]] | None:
+    n_rows, n_cols = max(r for r, _ in grid) + 1, max(c for _, c in grid) + 1
+    for col in range(n_cols):
+        for start in range(n_rows):
+            rows, at = [], start
+            for label in labels:
+                while at < n_rows and not match(grid.get((at, col), ""), label):
+                    if not rows:
+                        at = n_rows
                         break
-                    rows.append(at)
                     at += 1
-                if len(rows) < len(labels):
+                if at >= n_rows:
+                    break
+                rows.append(at)
+                at += 1
+            if len(rows) < len(labels):
+                if rows:  # a later start would find its labels no earlier
+                    break
+                continue
+            best = None
+            for other in range(n_cols):
+                numbers = sum(is_number(grid.get((r, other), "")) for r in rows)
+                if not numbers:
                     continue
-                best = None
-                for other in range(n_cols):
-                    numbers = sum(_is_number(grid.get((r, other), "")) for r in rows)
-                    texts = {grid.get((r, other), "") for r in range(n_rows)}
-                    score = (sum(h in texts for h in headers), numbers)
-                    if numbers and (best is None or score > best[0]):
-                        best = (score, other)
-                if best:
-                    return pd.DataFrame({table_key: [pdf[table_key].iloc[0]], "cat_col": [col], "val_col": [best[1]], "rows": [rows]})
-        return pd.DataFrame({c: pd.Series([], dtype=object) for c in (table_key, "cat_col", "val_col", "rows")})
-
-    kind = cells.schema[table_key].dataType.simpleString()
-    return cells.groupBy(table_key).applyInPandas(align, f"{table_key} {kind}, cat_col int, val_col int, rows array<int>")
+                texts = {grid.get((r, other), "") for r in range(n_rows)}
+                score = (sum(h in texts for h in headers), numbers)
+                if best is None or score > best[0]:
+                    best = (score, other)
+            if best:
+                return col, best[1], rows
+    return None
 
 
 def _is_number(text: str) -> bool:

@@ -168,7 +168,8 @@ def w18_merged_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j15_aligned_columns(spark: SparkSession, d: str) -> DataFrame:
-    grid = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.max("l_quantity").alias("q"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").repartition("l_orderkey")  # moved once, for both
+    grid = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.max("l_quantity").alias("q"))
     cells = grid.select("l_orderkey", (F.col("l_linenumber") - 1).alias("row"), F.posexplode(F.array(F.col("status"), F.col("flag"), F.col("q").cast("string"))).alias("col", "value"))
     out = sequences.aligned_columns(cells, "l_orderkey", ["N", "R"], ["17.0"])
     return out.select("l_orderkey", "cat_col", "val_col", F.array_join("rows", ",").alias("rows"))

@@ -87,6 +87,19 @@ def test_alignment(spark):
     assert [(r.k, r.cat_col, r.val_col, r.rows) for r in got] == [("t", 0, 1, [1, 3])]
 
 
+def test_alignment_of_many_tables_and_of_a_long_one(spark):
+    """Many small tables are looked through in one batch, and a table that spans batches is one table."""
+    small = spark.range(30_000).selectExpr("nullif(id, 7) AS k", "explode(sequence(0, 2)) AS row").selectExpr(
+        "k", "row", "posexplode(array(CASE WHEN row = coalesce(k, 7) % 3 THEN 'mild' WHEN row = 2 THEN 'severe' END, cast(row as string))) AS (col, value)"
+    )
+    long = spark.range(120_000).selectExpr("-1L AS k", "cast(id as int) AS row", "posexplode(array(CASE id WHEN 5 THEN 'mild' WHEN 119999 THEN 'severe' END, 'x', CASE WHEN id > 119000 THEN '1' END)) AS (col, value)")
+    found = sequences.aligned_columns(small.union(long).coalesce(1), "k", ["mild", "severe"], ["0"])
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = {r.k: (r.cat_col, r.val_col, list(r.rows)) for r in found.collect()}
+    assert got.pop(-1) == (0, 2, [5, 119_999])
+    assert got == {None if k == 7 else k: (0, 1, [k % 3, 2]) for k in range(30_000) if k % 3 < 2}
+
+
 def test_groups_are_numbered_across_ranges(spark):
     rows = [(i, None if i % 5 == 0 else "hot" if i % 3 else f"k{i % 7}") for i in range(500)]
     df = spark.createDataFrame(rows, "i int, k string").repartition(7)
