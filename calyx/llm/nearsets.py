@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,7 +75,7 @@ _U = np.uint64
 
 def normalised(text: Column) -> Column:
     """Lower case, letters and numbers of any script only."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9\p{L}\p{N}]+", "")  # the commonest first: they need no look at Unicode's tables
 
 
 def _segments(hi: int) -> int:
@@ -312,10 +312,11 @@ def _blobs(ids, sizes, hi, band, keys, number) -> Iterator[pd.DataFrame]:
     by one bit for each signature in a row of bits (Elias-Fano)."""
     width = _words(hi)
     bit = (band.runs >> _U(3)) % _U(64 * width)
-    flat = band.doc * width + (bit >> _U(6)).view(np.int64)
-    sketch = np.zeros(len(sizes) * width, dtype=np.uint64)
-    np.bitwise_xor.at(sketch, flat, _U(1) << (bit & _U(63)))
-    sketch = sketch.reshape(len(sizes), width)
+    flat = band.doc * (64 * width) + bit.view(np.int64)
+    odd = np.zeros(len(sizes) * width * 64, dtype=np.uint8)
+    np.add.at(odd, flat, np.uint8(1))
+    odd &= np.uint8(1)
+    sketch = np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(sizes), width)
     edges = np.searchsorted(keys, np.arange(number + 1, dtype=np.uint64) << _U(45))
     for g in range(number):
         part = keys[edges[g] : edges[g + 1]]
@@ -502,23 +503,63 @@ def _pairs(found: list[np.ndarray], ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
+def _exact_runs(texts: list[str], run: int) -> list[np.ndarray] | list[frozenset]:
+    """The set of runs of each text: as ordered words that hold a run's characters, numbered over all texts, whole;
+    as strings where there are too many different characters for that."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    there = np.zeros(int(codes.max(initial=0)) + 1, dtype=bool)
+    there[codes] = True
+    letters = int(there.sum())
+    if letters**run >= 1 << 64:
+        return [frozenset(text[i : i + run] for i in range(len(text) - run + 1)) for text in texts]
+    number = (np.cumsum(there) - 1).astype(np.uint64)[codes]
+    word = np.zeros(max(0, len(codes) - run + 1), dtype=np.uint64)
+    for k in range(run):
+        word *= _U(letters)
+        word += number[k : k + len(word)]
+    sets, at = [], 0
+    for text in texts:
+        own = np.sort(word[at : at + max(0, len(text) - run + 1)])
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = own[1:] != own[:-1]
+        sets.append(own[new])
+        at += len(text)
+    return sets
+
+
+def _in_common(x, y) -> int:
+    if isinstance(x, frozenset):
+        return len(x & y)
+    both = np.concatenate((x, y))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _together(left: Iterable[str], right: Iterable[str]) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+    """Pairs by the places of their texts among the different ones, in parts of bounded size: the pairs of a text come together."""
+    place: dict[str, int] = {}
+    pairs: list[tuple[int, int]] = []
+    total = 0
+    for two in zip(left, right):
+        total += sum(len(text) for text in two if text not in place)
+        pairs.append(tuple(place.setdefault(text, len(place)) for text in two))
+        if total > BATCH_CHARS:
+            yield pairs, list(place)
+            place, pairs, total = {}, [], 0
+    if pairs:
+        yield pairs, list(place)
+
+
 def _verify(threshold: float, run: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            similar = np.zeros(len(pdf))
-            cache: dict[str, frozenset] = {}  # kept small: the pairs of a text come together
-
-            def runs(text: str) -> frozenset:
-                if text not in cache:
-                    if len(cache) > 500:
-                        cache.clear()
-                    cache[text] = frozenset(text[i : i + run] for i in range(len(text) - run + 1))
-                return cache[text]
-
-            for i, (s, t) in enumerate(zip(pdf["text_a"], pdf["text_b"])):
-                x, y = runs(s), runs(t)
-                common = len(x & y)
-                similar[i] = common / (len(x) + len(y) - common)
+            similar: list[float] = []
+            for pairs, texts in _together(pdf["text_a"], pdf["text_b"]):
+                sets = _exact_runs(texts, run)
+                for a, b in pairs:
+                    common = _in_common(sets[a], sets[b])
+                    similar.append(common / (len(sets[a]) + len(sets[b]) - common))
+            similar = np.array(similar)
             kept = pdf[["a", "b"]].assign(similarity=similar)
             yield kept[similar >= threshold - 1e-12]
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from calyx.llm import nearsets, queries
@@ -74,6 +76,22 @@ def test_copies_of_one_text_meet_across_blocks(spark, monkeypatch):
     assert got == {(a, b) for a in range(20) for b in range(a + 1, 20)}
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij报告中𝒳", "".join(map(chr, range(0x4E00, 0x4E00 + 9_000)))])
+def test_verified_similarities_are_exact(monkeypatch, letters):
+    monkeypatch.setattr(nearsets, "BATCH_CHARS", 12_000)
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice(letters) for _ in range(rnd.randint(5, 3_000))) for _ in range(12)]
+    texts = base + [t[: len(t) // 2] + rnd.choice(letters) + t[len(t) // 2 :] for t in base]
+    pairs = [(i, j) for i in range(24) for j in range(i + 1, 24)]
+    runs = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    assert [len(s) for s in nearsets._exact_runs(texts, 5)] == [len(s) for s in runs]
+    pdf = pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "text_a": [texts[p[0]] for p in pairs], "text_b": [texts[p[1]] for p in pairs]})
+    got = pd.concat(nearsets._verify(0.7, 5)(iter([pdf, pdf.iloc[:0]])))
+    want = [(i, j, len(runs[i] & runs[j]) / len(runs[i] | runs[j])) for i, j in pairs]
+    assert [tuple(r) for r in got.itertuples(index=False)] == [p for p in want if p[2] >= 0.7 - 1e-12]
+    assert np.isin(got["b"] - got["a"], 12).any()
+
+
 def test_very_long_texts(spark):
     rnd = random.Random(9)
     base = [rnd.choice("abcdefghijklmnop") for _ in range(300_000)]
