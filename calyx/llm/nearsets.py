@@ -31,12 +31,15 @@ compared through single runs instead (``_lone_pairs``); such texts are rare.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,7 +53,9 @@ THRESHOLD = 0.7
 #: Counters of the cost sketch for each text, up to 2^24 counters, and the blocks they are sent in.
 SKETCH_PER_TEXT, SKETCH_MOST_BITS, SKETCH_BLOCKS = 8, 24, 32
 #: Signatures one task gathers, about.
-GROUP_SIGNATURES = 24_000_000
+GROUP_SIGNATURES = 12_000_000
+#: What a pass over a band may shuffle: this share of what the texts take on disk, or these bytes if they are more.
+PASS_SHARE, PASS_LEAST = 1.5, 256 << 20
 #: A signature with more holders than this is split over several groups, by pairs of blocks of holders.
 HOT_PARTNERS = 20_000
 #: Signatures whose partners are looked up at once.
@@ -104,9 +109,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return y
 
 
-def run_sets(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_sets(texts: list[str], run: int = RUN, among: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of up to 65,536 texts: 48-bit hashes, ordered by text and hash,
-    the number of the text of each, and the size of each text's set."""
+    the number of the text of each, and the size of each text's set.
+
+    ``among``: only runs whose hash lies from the first number up to below the second.
+    """
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     count = max(0, len(codes) - run + 1)
@@ -122,7 +130,11 @@ def run_sets(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray,
     ends = np.cumsum(lengths)
     for k in range(1, run):
         inside[np.maximum(ends - k, 0)[ends > 0]] = False
-    key = np.sort(h[inside[:count]])
+    inside = inside[:count]
+    if among:
+        own = h & _U((1 << 48) - 1)
+        inside &= (own >= _U(among[0])) & (own < _U(among[1]))
+    key = np.sort(h[inside])
     if len(key):
         key = key[np.r_[True, key[1:] != key[:-1]]]
     docs = (key >> _U(48)).astype(np.int64)
@@ -152,6 +164,7 @@ class _Band:
         whole += (segment[self.first] + _U(1)) * _U(0x9E3779B97F4A7C15) + _U(hi)
         self.full = whole
         self.full_doc = self.doc[self.first]
+        self.segment = segment[self.first]
         self.several = self.count > 1
         if neighbours:
             many = np.repeat(self.several, self.count)
@@ -179,16 +192,34 @@ def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[start:]
 
 
-COUNTED = "kind string, number long, size int, data binary, text string"
+COUNTED = "kind string, number long, size int, task int, place int, data binary, text string"
+
+
+def _row(kind: str, number: int, data: bytes) -> pd.DataFrame:
+    return pd.DataFrame({"kind": [kind], "number": [number], "size": [0], "task": [0], "place": [0], "data": [data], "text": [None]})
+
+
+def _places(sizes: np.ndarray, before: dict[int, int]) -> np.ndarray:
+    """The number of each among those of its size, counted on from ``before``."""
+    order = np.argsort(sizes, kind="stable")
+    values, first, counts = np.unique(sizes[order], return_index=True, return_counts=True)
+    start = np.array([before.get(v, 0) for v in values.tolist()], dtype=np.int64)
+    place = np.empty(len(sizes), dtype=np.int64)
+    place[order] = np.arange(len(sizes)) + np.repeat(start - first, counts)
+    before.update(zip(values.tolist(), (start + counts).tolist()))
+    return place
 
 
 def _count_signatures(threshold: float, bits: int):
-    """Every text with the size of its set, and the cost sketch: how many segments
-    have a content of each hash, whoever holds them."""
+    """Every text with the size of its set and its place among those of its task of
+    this size, the number of texts of each size, and the cost sketch: how many
+    segments have a content of each hash, whoever holds them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(1 << bits, dtype=np.uint32)
         made: dict[int, int] = {}
+        of_size: dict[int, int] = {}
+        task = TaskContext.get().partitionId()
         shift = _U(64 - bits)
         for pdf in batches:
             for part in _parts(pdf):
@@ -206,15 +237,17 @@ def _count_signatures(threshold: float, bits: int):
                         break
                 yield pd.DataFrame({
                     "kind": np.where(lone, "lone", "text"), "number": part["rep"].to_numpy(), "size": sizes.astype("int32"),
-                    "data": None, "text": part["text"].to_numpy(),
+                    "task": np.int32(task), "place": _places(sizes, of_size).astype("int32"), "data": None, "text": part["text"].to_numpy(),
                 })
         for hi, n in made.items():
-            yield pd.DataFrame({"kind": ["made"], "number": [hi], "size": [0], "data": [struct.pack("<q", n)], "text": [None]})
+            yield _row("made", hi, struct.pack("<q", n))
+        if of_size:
+            yield _row("sizes", task, np.array(sorted(of_size.items()), dtype=np.int64).tobytes())
         block = len(table) // SKETCH_BLOCKS
         for i in range(SKETCH_BLOCKS):
             part = table[i * block : (i + 1) * block]
             if part.any():
-                yield pd.DataFrame({"kind": ["block"], "number": [i], "size": [0], "data": [_packed(part)], "text": [None]})
+                yield _row("block", i, _packed(part))
 
     return count
 
@@ -240,12 +273,112 @@ def _add_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"kind": [kind], "number": [number], "data": [data]})
 
 
-def _emit_signatures(threshold: float, table, bits: int, hi: int, number: int, most: int):
-    """Blobs of the signatures of band ``hi``, by one of ``number`` groups."""
+class _Order:
+    """Texts numbered by the size of their sets, without a shuffle: those of a size by their task and their place in it.
+
+    ``of``: of each task the sizes of its texts, and the number of the first of each size;
+    ``sizes``, ``starts``: all sizes, and the number of the first text of each.
+    """
+
+    def __init__(self, counted: dict[int, np.ndarray]):
+        size, n = (np.concatenate([rows[:, i] for rows in counted.values()]) for i in (0, 1))
+        task = np.repeat(list(counted), [len(rows) for rows in counted.values()])
+        order = np.lexsort((task, size))
+        start = np.empty(len(size), dtype=np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        self.of = {t: (size[task == t], start[task == t]) for t in counted}
+        self.sizes, first = np.unique(size[order], return_index=True)
+        self.starts = start[order][first]
+        self.total = int(n.sum())
+
+    def numbers(self, pdf: pd.DataFrame) -> np.ndarray:
+        size, task, number = pdf["size"].to_numpy(), pdf["task"].to_numpy(), pdf["place"].to_numpy().astype(np.int64)
+        for t in np.unique(task):
+            own = task == t
+            sizes, starts = self.of[int(t)]
+            number[own] += starts[np.searchsorted(sizes, size[own])]
+        return number
+
+
+class _Held:
+    """What a band's passes need of each text, by its number, in files that workers
+    map into memory, so that no text is sent to a group with its signatures.
+
+    ``size``: of its set; ``text``: its id and its limit; ``sketch``: the folded one and the first half of the whole one.
+    """
+
+    def __init__(self, path: str, width: int):
+        self.path = path
+        self.kinds = {"size": ("<i4", 1), "text": ("<u8", 1), "sketch": ("<u8", width // 2)}
+
+    def put(self, number: np.ndarray, **rows: Sequence[np.ndarray]) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        for name, parts in rows.items():
+            values = np.column_stack([np.asarray(part).astype(self.kinds[name][0]) for part in parts])
+            out = os.open(f"{self.path}/{name}", os.O_WRONLY | os.O_CREAT, 0o644)
+            try:
+                data, size = memoryview(values.tobytes()), values.itemsize * values.shape[1]
+                for i, at in enumerate(number.tolist()):  # a repeated task writes the same
+                    os.pwrite(out, data[i * size : (i + 1) * size], at * size)
+            finally:
+                os.close(out)
+
+    def get(self, name: str) -> np.ndarray:
+        """All rows; of ``text`` and ``sketch`` two for each number."""
+        kind, width = self.kinds[name]
+        found = np.memmap(f"{self.path}/{name}", dtype=kind, mode="r").view(np.ndarray)
+        return found.reshape(-1, width) if width > 1 or name == "sketch" else found
+
+
+@dataclass(frozen=True)
+class _Pass:
+    """One of the passes over band ``hi``: that over a range of its segments, into ``number`` groups.
+
+    ``start``: the number of the band's first text; ``high``: bits of a signature that are
+    coded by place (0 or 8); ``held``: None where no files can be mapped: sketches then go
+    with the signatures, and what the first pass found is found again.
+    """
+
+    hi: int
+    at: int
+    passes: int
+    number: int
+    start: int
+    high: int
+    held: _Held | None
+
+    def segments(self) -> tuple[int, int]:
+        m = _segments(self.hi)
+        return m * self.at // self.passes, m * (self.at + 1) // self.passes
+
+    def runs(self) -> tuple[int, int]:
+        """The hashes of the runs that fall into these segments."""
+        m = _segments(self.hi)
+        low, up = ((-(-(s << 32) // m)) << 16 for s in self.segments())
+        return low, up
+
+
+def _sketches(runs: np.ndarray, doc: np.ndarray, texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the odd sketch of half as many bits, and the first half of the whole one."""
+    bit = (runs >> _U(3)) % _U(64 * width)
+    flat = doc * (64 * width) + bit.view(np.int64)
+    odd = np.zeros(texts * width * 64, dtype=np.uint8)
+    np.add.at(odd, flat, np.uint8(1))
+    odd &= np.uint8(1)
+    sketch = np.packbits(odd, bitorder="little").view(np.uint64).reshape(texts, width)
+    first = sketch[:, : width // 2]
+    return first ^ sketch[:, width // 2 :], first
+
+
+def _emit_signatures(threshold: float, table, bits: int, order, now: _Pass, most: int):
+    """Blobs of the signatures of a pass, by its groups."""
+    hi, held = now.hi, now.held
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         costs = table.value
         shift, low, far = _U(64 - bits), _U(0xFFFF), _U((1 << 44) - 1)
+        whole = now.at == 0 or held is None
+        limits = None if whole else held.get("text")
 
         def cost(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             count = costs[(s >> shift).view(np.int64)]
@@ -256,23 +389,37 @@ def _emit_signatures(threshold: float, table, bits: int, hi: int, number: int, m
 
         for pdf in batches:
             for part in _parts(pdf):
-                runs, docs, sizes = run_sets(list(part["text"]))
-                ids = part["number"].to_numpy()
+                ids, sizes = part["number"].to_numpy(), part["size"].to_numpy().astype(np.int64)
+                number = order.value.numbers(part) - now.start
+                runs, docs, _ = run_sets(list(part["text"]), among=None if whole else now.runs())
                 band = _Band(runs, docs, np.ones(len(part), dtype=bool), hi, True)
                 (full_cost, full_count), (less_cost, less_count) = cost(band.full), cost(band.less)
-                several = band.several
-                both = np.maximum(np.maximum.reduceat(less_cost, band.less_first), full_cost[several]) if several.any() else full_cost[:0]
-                by = band.full_doc.astype(np.uint64) << _U(44)
-                steps = np.sort(np.r_[by | full_cost, by[several] | both])
-                begin = np.searchsorted(steps, np.arange(len(sizes), dtype=np.uint64) << _U(44))
-                last = np.r_[begin[1:], len(steps)] - 1
-                at = np.minimum(begin + _need(sizes, hi, threshold) - 1, last)
-                limit = steps[np.clip(at, 0, len(steps) - 1)] & far
+                several, inline = band.several, None
+                if whole:
+                    both = np.maximum(np.maximum.reduceat(less_cost, band.less_first), full_cost[several]) if several.any() else full_cost[:0]
+                    by = band.full_doc.astype(np.uint64) << _U(44)
+                    steps = np.sort(np.r_[by | full_cost, by[several] | both])
+                    begin = np.searchsorted(steps, np.arange(len(sizes), dtype=np.uint64) << _U(44))
+                    last = np.r_[begin[1:], len(steps)] - 1
+                    at = np.minimum(begin + _need(sizes, hi, threshold) - 1, last)
+                    limit = steps[np.clip(at, 0, len(steps) - 1)] & far
+                    fold, rest = _sketches(band.runs, band.doc, len(sizes), _words(hi))
+                    if held is None:
+                        inline = ids, sizes, fold, rest
+                    else:
+                        held.put(number, size=[sizes], text=[ids, limit], sketch=[fold, rest])
+                else:
+                    limit = limits[2 * number + 1]
+                from_, to = now.segments()
+                here = (band.segment >= from_) & (band.segment < to)
+                less_here = np.repeat(here[several], band.count[several])
                 keys = []
-                for kind, signature, doc, price, count in ((0, band.full, band.full_doc, full_cost, full_count), (1, band.less, band.less_doc, less_cost, less_count)):
-                    kept = price <= limit[doc]
-                    keys += _placed(signature[kept], kind, doc[kept], count[kept], ids, number, most)
-                yield from _blobs(ids, sizes, hi, band, np.sort(np.concatenate(keys)), number)
+                for kind, signature, doc, price, count, there in (
+                    (0, band.full, band.full_doc, full_cost, full_count, here), (1, band.less, band.less_doc, less_cost, less_count, less_here),
+                ):
+                    kept = (price <= limit[doc]) & there
+                    keys += _placed(signature[kept], kind, doc[kept], count[kept], ids, now.number, most)
+                yield from _blobs(number, np.sort(np.concatenate(keys)), now, inline)
 
     return emit
 
@@ -306,50 +453,48 @@ def _placed(signature: np.ndarray, kind: int, doc: np.ndarray, count: np.ndarray
     return out
 
 
-def _blobs(ids, sizes, hi, band, keys, number) -> Iterator[pd.DataFrame]:
-    """Of each group the texts with their ids, sizes and sketches, and their signatures:
-    the low 16 of 24 bits as they are, the text and the high 8 bits, which rise,
-    by one bit for each signature in a row of bits (Elias-Fano)."""
-    width = _words(hi)
-    bit = (band.runs >> _U(3)) % _U(64 * width)
-    flat = band.doc * (64 * width) + bit.view(np.int64)
-    odd = np.zeros(len(sizes) * width * 64, dtype=np.uint8)
-    np.add.at(odd, flat, np.uint8(1))
-    odd &= np.uint8(1)
-    sketch = np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(sizes), width)
-    edges = np.searchsorted(keys, np.arange(number + 1, dtype=np.uint64) << _U(45))
-    for g in range(number):
+def _blobs(number: np.ndarray, keys: np.ndarray, now: _Pass, inline) -> Iterator[pd.DataFrame]:
+    """Of each group the numbers of the texts, with ids, sizes and sketches where these aren't
+    held, and their signatures: the low bits as they are, the text and the high bits,
+    which rise, by one bit for each signature in a row of bits (Elias-Fano)."""
+    low = _U(24 - now.high)
+    edges = np.searchsorted(keys, np.arange(now.number + 1, dtype=np.uint64) << _U(45))
+    for g in range(now.number):
         part = keys[edges[g] : edges[g + 1]]
         if not len(part):
             continue
         doc = ((part >> _U(25)) & _U(0xFFFFF)).view(np.int64)
         new = np.r_[True, doc[1:] != doc[:-1]]
         present = doc[new]
-        row = np.zeros(len(present) * 256 + len(part), dtype=np.uint8)
-        row[((np.cumsum(new) - 1) << 8) + ((part >> _U(17)) & _U(0xFF)).view(np.int64) + np.arange(len(part))] = 1
+        sig = (part >> _U(1)) & _U(0xFFFFFF)
+        row = np.zeros((len(present) << now.high) + len(part), dtype=np.uint8)
+        row[((np.cumsum(new) - 1) << now.high) + (sig >> low).view(np.int64) + np.arange(len(part))] = 1
+        words = (sig & _U(0xFFFF)).astype("<u2") if now.high else sig.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        texts = b"" if inline is None else b"".join(np.ascontiguousarray(x[present]).astype(k).tobytes() for x, k in zip(inline, ("<i8", "<i4", "<u8", "<u8")))
         data = b"".join((
-            struct.pack("<qqq", len(present), width, len(part)), ids[present].astype(np.int64).tobytes(), sizes[present].astype(np.int32).tobytes(),
-            sketch[present].tobytes(), ((part >> _U(1)) & _U(0xFFFF)).astype("<u2").tobytes(),
-            np.packbits((part & _U(1)).astype(np.uint8)).tobytes(), np.packbits(row).tobytes(),
+            struct.pack("<qq", len(present), len(part)), number[present].astype("<u4").tobytes(), texts,
+            words.tobytes(), np.packbits((part & _U(1)).astype(np.uint8)).tobytes(), np.packbits(row).tobytes(),
         ))
         yield pd.DataFrame({"grp": [g], "data": [data]})
 
 
-def _read_blobs(blobs: list[bytes]):
-    """Ids, sizes and sketches in the order of sizes, and of all signatures the 24 bits, the holder and the kind.
+def _read_blobs(blobs: list[bytes], now: _Pass):
+    """Of all signatures the 24 bits, the number of the holder and the kind; and of the holders
+    sizes, ids and sketches, as ``_Held`` has them, where those came with them.
 
     Each blob is let go once it is read; the arrays are made once, at their full length.
     """
-    heads = [struct.unpack_from("<qqq", blob) for blob in blobs]
-    texts, total = sum(h[0] for h in heads), sum(h[2] for h in heads)
-    ids, sizes = np.empty(texts, dtype=np.int64), np.empty(texts, dtype=np.int32)
-    sketches = np.empty((texts, heads[0][1]), dtype=np.uint64)
+    heads = [struct.unpack_from("<qq", blob) for blob in blobs]
+    texts, total, half = sum(h[0] for h in heads), sum(h[1] for h in heads), _words(now.hi) // 2
     sig, doc, less = np.empty(total, dtype=np.uint32), np.empty(total, dtype=np.uint32), np.empty(total, dtype=bool)
+    came = None
+    if now.held is None:
+        came = [np.empty(texts, dtype=k) for k in (np.uint32, np.int64, np.int32)] + [np.empty((texts, half), dtype=np.uint64) for _ in range(2)]
     base = done = 0
     while blobs:
         blob = blobs.pop()
-        n, width, count = struct.unpack_from("<qqq", blob)
-        at = 24
+        n, count = struct.unpack_from("<qq", blob)
+        at = 16
 
         def take(kind, count):
             nonlocal at
@@ -357,25 +502,35 @@ def _read_blobs(blobs: list[bytes]):
             at += out.nbytes
             return out
 
-        ids[base : base + n] = take(np.int64, n)
-        sizes[base : base + n] = take(np.int32, n)
-        sketches[base : base + n] = take(np.uint64, n * width).reshape(n, width)
+        number = take("<u4", n)
+        if came is not None:
+            rows = number, take("<i8", n), take("<i4", n), take("<u8", n * half).reshape(n, half), take("<u8", n * half).reshape(n, half)
+            for all_, own in zip(came, rows):
+                all_[base : base + n] = own
         here = slice(done, done + count)
-        sig[here] = take("<u2", count)
+        if now.high:
+            sig[here] = take("<u2", count)
+        else:
+            words = np.zeros((count, 4), dtype=np.uint8)
+            words[:, :3] = take(np.uint8, count * 3).reshape(count, 3)
+            sig[here] = words.view("<u4")[:, 0]
         less[here] = np.unpackbits(take(np.uint8, -(-count // 8)), count=count)
-        row = np.flatnonzero(np.unpackbits(take(np.uint8, -(-(n * 256 + count) // 8)), count=n * 256 + count))
+        bits = (n << now.high) + count
+        row = np.flatnonzero(np.unpackbits(take(np.uint8, -(-bits // 8)), count=bits))
         row -= np.arange(count)
-        sig[here] |= ((row & 0xFF) << 16).astype(np.uint32)
-        row >>= 8
-        row += base
-        doc[here] = row
+        sig[here] |= ((row & ((1 << now.high) - 1)) << (24 - now.high)).astype(np.uint32)
+        row >>= now.high
+        doc[here] = number[row] if came is None else row + base
         base, done = base + n, done + count
-    order = np.argsort(sizes, kind="stable")
+    if came is None:
+        return [sig, doc, less], None
+    order = np.argsort(came[0], kind="stable")
     place = np.empty(len(order), dtype=np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
     for part in range(0, total, 1 << 20):
         doc[part : part + (1 << 20)] = place[doc[part : part + (1 << 20)]]
-    return ids[order], sizes[order], sketches[order], sig, doc, less
+    _, ids, sizes, fold, rest = (x[order] for x in came)
+    return [sig, doc, less], (sizes, np.column_stack((ids, ids)).reshape(-1), np.stack((fold, rest), axis=1).reshape(-1, half))
 
 
 def _met(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -402,7 +557,7 @@ def _met(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     keyed = []
     for at in (own, other):
         key = sig[at].astype(np.uint64)
-        key <<= _U(26)
+        key <<= _U(32)
         key |= doc[at]
         key.sort()
         keyed.append(key)
@@ -441,7 +596,20 @@ def _ranges(left: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[
         at = to
 
 
-def _match_groups(threshold: float, upper: int):
+def _fitting(sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ones of rising sizes - or all from the first to the last, if these aren't too
+    many - and of each the places from and up to which the sizes that a similar set may have lie."""
+    if len(sizes) and sizes[-1] - sizes[0] < 1 << 20:
+        value = np.arange(sizes[0], sizes[-1] + 1, dtype=np.int32)
+    else:
+        value = np.unique(sizes)
+    edges = np.append(np.searchsorted(sizes, value), len(sizes))
+    least = edges[np.searchsorted(value, np.ceil(value * threshold - 1e-9))]
+    most = edges[np.searchsorted(value, np.floor(value / threshold + 1e-9), side="right")]
+    return value, least.astype(np.uint64), most
+
+
+def _match_groups(threshold: float, now: _Pass):
     ratio = (1 - threshold) / (1 + threshold)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -451,42 +619,46 @@ def _match_groups(threshold: float, upper: int):
                 groups.setdefault(g, []).append(data)
         while groups:
             _, blobs = groups.popitem()
-            ids, sizes, sketch, *held = _read_blobs(blobs)
+            held, came = _read_blobs(blobs, now)
             full, less = _met(held)
-            mask = _U((1 << 26) - 1)
-            least = np.searchsorted(sizes, np.ceil(sizes * threshold - 1e-9)).astype(np.uint64)
-            most = np.searchsorted(sizes, np.floor(sizes / threshold + 1e-9), side="right").astype(np.uint64)
-            inside = np.searchsorted(sizes, upper)  # two sets beyond the band meet in their own
-            most[inside:] = inside
-
-            def jobs(full=full, less=less, least=least, most=most, inside=inside):
+            sizes, ids, sketch = came or (now.held.get(name) for name in ("size", "text", "sketch"))
+            mask = _U((1 << 32) - 1)
+            inside = np.searchsorted(sizes, np.int32(min(now.hi, (1 << 31) - 1)))  # two sets beyond the band meet in their own
+            value, least, most = _fitting(sizes, threshold)
+            most = np.where(value < now.hi, most, inside).astype(np.uint64)
+            close = len(value) and value[-1] - value[0] + 1 == len(value)
+
+            def jobs(full=full, less=less, sizes=sizes, value=value, close=close, least=least, most=most, inside=inside):
                 """Holders, and where in ``full`` their partners of fitting size lie."""
+
+                def place(left):
+                    return sizes[left] - value[0] if close else np.searchsorted(value, sizes[left])
+
                 for at in range(0, len(full), JOB_SIGNATURES):
                     part = full[at : at + JOB_SIGNATURES]
                     left = (part & mask).view(np.int64)
-                    upto = np.searchsorted(full, (part & ~mask) | most[left])
+                    upto = np.searchsorted(full, (part & ~mask) | most[place(left)])
                     yield left, np.arange(at + 1, at + len(part) + 1), np.where(left < inside, upto, 0)
                 for at in range(0, len(less), JOB_SIGNATURES):
                     part = less[at : at + JOB_SIGNATURES]
                     left = (part & mask).view(np.int64)
-                    part = part & ~mask
-                    yield left, np.searchsorted(full, part | least[left]), np.searchsorted(full, part | most[left])
+                    part, size = part & ~mask, place(left)
+                    yield left, np.searchsorted(full, part | least[size]), np.searchsorted(full, part | most[size])
 
             found, waiting = [], 0
-            half = sketch.shape[1] // 2
-            fold = np.ascontiguousarray(sketch[:, :half] ^ sketch[:, half:])  # the sketch of half as many bits
             for left, lo, hi in jobs():
                 for a, j in _ranges(left, lo, hi):
                     b = (full[j] & mask).view(np.int64)
-                    apart = fold.take(a, axis=0)
-                    apart ^= fold.take(b, axis=0)
+                    apart = sketch.take(2 * a, axis=0)
+                    apart ^= sketch.take(2 * b, axis=0)
                     most_apart = ratio * (sizes[a] + sizes[b]) + 1e-9
                     near = np.flatnonzero((_bits(apart) <= most_apart) & (a != b))
-                    x, y = a[near], b[near]
-                    near = _bits(sketch[x] ^ sketch[y]) <= most_apart[near]
+                    x, y, apart = a[near], b[near], apart[near]
+                    first = sketch.take(2 * x + 1, axis=0) ^ sketch.take(2 * y + 1, axis=0)
+                    near = _bits(first) + _bits(first ^ apart) <= most_apart[near]
                     x, y = x[near], y[near]
                     if len(x):
-                        found.append((np.minimum(x, y) << 26) | np.maximum(x, y))
+                        found.append((np.minimum(x, y).view(np.uint64) << _U(32)) | np.maximum(x, y).view(np.uint64))
                         waiting += len(x)
                     if waiting > FOUND_PAIRS:
                         yield _pairs(found, ids)
@@ -499,7 +671,7 @@ def _match_groups(threshold: float, upper: int):
 
 def _pairs(found: list[np.ndarray], ids: np.ndarray) -> pd.DataFrame:
     pairs = np.unique(np.concatenate(found))
-    x, y = ids[pairs >> 26], ids[pairs & ((1 << 26) - 1)]
+    x, y = (ids[2 * number.view(np.int64)].astype(np.int64) for number in (pairs >> _U(32), pairs & _U((1 << 32) - 1)))
     return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
@@ -617,10 +789,10 @@ def text_classes(records: DataFrame, key: str, text: str, min_chars: int = MIN_C
     return reps, members.select("id", "rep").distinct(), [stage, held]
 
 
-def _cost_table(counted: DataFrame, bits: int) -> tuple[np.ndarray, dict[int, int]]:
-    """The cost sketch, and of every band the signatures that could be made.
+def _cost_table(counted: DataFrame, bits: int) -> tuple[np.ndarray, dict[int, int], _Order | None]:
+    """The cost sketch, of every band the signatures that could be made, and the texts in the order of sizes.
 
-    The driver gets 32 blocks of a sketch of bounded size, and one number per band.
+    The driver gets 32 blocks of a sketch of bounded size, one number per band, and one per task and size of sets.
     """
     sums = counted.where("kind in ('block', 'made')").select("kind", "number", "data")
     sums = sums.repartition(SKETCH_BLOCKS, "kind", "number").mapInPandas(_add_blocks, "kind string, number long, data binary")
@@ -632,14 +804,29 @@ def _cost_table(counted: DataFrame, bits: int) -> tuple[np.ndarray, dict[int, in
             table[number * block : (number + 1) * block] = _unpacked(bytes(data))
         else:
             made[number] = made.get(number, 0) + struct.unpack("<q", bytes(data))[0]
-    return table, made
+    sizes = {number: np.frombuffer(bytes(data), dtype=np.int64).reshape(-1, 2) for number, data in counted.where("kind = 'sizes'").select("number", "data").collect()}
+    return table, made, _Order(sizes) if sizes else None
+
+
+def _passes(hi: int, start: int, texts: int, made: int, room: float, folder: runtime.Folder) -> list[_Pass]:
+    """The passes over a band of so many texts and signatures, so that none shuffles more than ``room`` bytes, by estimate."""
+    kept = made * 3 // 4
+    groups = max(1, -(-kept // GROUP_SIGNATURES))
+    each = max(1.0, kept / max(1, texts) / groups)  # signatures that a group gets of a text
+    path = folder.mapped()
+    beside = 4 + (0 if path else 12 + 8 * _words(hi))
+    high, size = min(((8, 2.2 + (beside + 32) / each), (0, 3.2 + beside / each)), key=lambda x: x[1])
+    passes = int(min(_segments(hi), max(1, -(-kept * size // room))))
+    held = _Held(path, _words(hi)) if path else None
+    return [_Pass(hi, at, passes, -(-groups // passes), start, high, held) for at in range(passes)]
 
 
 def similar_representatives(reps: DataFrame, threshold: float = THRESHOLD, run: int = RUN, used: Sequence[runtime.Stage] = (), most: int = HOT_PARTNERS) -> runtime.Stage:
     """``a, b, similarity`` of all pairs of representatives at or above the threshold.
 
-    Bands are worked through one after another, and what a band shuffles is removed
-    once its candidates are written, so that the disk in use is that of one band.
+    Bands are worked through one after another, each in passes over its segments,
+    and what a pass shuffles is removed once its candidates are written, so that the
+    disk in use is that of one pass, which is bounded by what the texts take.
     ``used``: stages that ``reps`` is read from, dropped once they aren't needed.
     ``most``: holders of a signature beyond which it is split over groups.
     """
@@ -651,24 +838,33 @@ def similar_representatives(reps: DataFrame, threshold: float = THRESHOLD, run:
         seen = runtime.Stage(reps.mapInPandas(_count_signatures(threshold, bits), COUNTED), "signature-counts", ["kind"])
         for stage in used:
             stage.drop()
-        table, made = _cost_table(seen.df, bits)
-        for kind in ("block", "made"):
+        table, made, order = _cost_table(seen.df, bits)
+        for kind in ("block", "made", "sizes"):
             seen.drop(f"kind={kind}")
+        room = max(PASS_LEAST, PASS_SHARE * seen.size())
         texts = seen.df.where("kind in ('text', 'lone')")
-        held = spark.sparkContext.broadcast(table)
+        held, ordered = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(order)
         met = []
         for hi, n in sorted(made.items()):
-            number = max(1, -(-n * 3 // (4 * GROUP_SIGNATURES)))
-            inside = texts.where(_in_band(F.col("size"), hi, threshold)).select("number", "text")
-            blobs = inside.mapInPandas(_emit_signatures(threshold, held, bits, hi, number, most), "grp int, data binary")
-            pairs = blobs.repartition(number, "grp").mapInPandas(_match_groups(threshold, hi), "a long, b long").distinct()
-            met.append(runtime.Stage(pairs, "candidates"))
+            member = np.flatnonzero(_in_band(order.sizes, hi, threshold))
+            start, end = (int(order.starts[at]) if at < len(order.starts) else order.total for at in (member[0], member[-1] + 1))
+            if end - start >= 1 << 32:
+                raise ValueError(f"{end - start} texts in a band: their numbers have 32 bits")
+            folder = runtime.Folder(spark, "sketches")
+            inside = texts.where(_in_band(F.col("size"), hi, threshold)).select("number", "size", "task", "place", "text")
+            for now in _passes(hi, start, end - start, n, room, folder):
+                blobs = inside.mapInPandas(_emit_signatures(threshold, held, bits, ordered, now, most), "grp int, data binary")
+                placed = blobs.repartitionById(now.number, F.col("grp"))
+                pairs = placed.mapInPandas(_match_groups(threshold, now), "a long, b long").distinct()
+                met.append(runtime.Stage(pairs, "candidates"))
+            folder.drop()
         lone = texts.where("kind = 'lone'").select(F.col("number").alias("rep"))
         if lone.limit(1).count():
             met.append(runtime.Stage(_lone_pairs(texts.select(F.col("number").alias("rep"), "text"), lone, threshold).distinct(), "candidates"))
         both = spark.createDataFrame([], "a long, b long")
         for stage in met:
             both = both.unionByName(stage.df)
+        both = both.distinct()  # a pair may be met in several passes
         for side in "ab":
             both = both.join(texts.select(F.col("number").alias(side), F.col("text").alias(f"text_{side}")), side)
         verified = both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(threshold, run), "a long, b long, similarity double")
@@ -676,6 +872,7 @@ def similar_representatives(reps: DataFrame, threshold: float = THRESHOLD, run:
         for stage in (seen, *met):
             stage.drop()
         held.destroy()
+        ordered.destroy()
     return linked
 
 

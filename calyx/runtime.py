@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,20 +78,24 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
             fs.delete(beside, False)
 
 
-class Stage:
-    """A DataFrame written to the shared folder: recomputing lost tasks reads the
-    files again instead of the whole lineage. ``drop`` removes the files."""
+class Folder:
+    """A place of its own in the shared folder. ``drop`` removes the files."""
 
-    def __init__(self, df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+    def __init__(self, spark: SparkSession, label: str = "stage"):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _STAGES.append(self)
 
+    def mapped(self) -> str | None:
+        """Its path for files that workers map into memory; None if it lies on no mounted file system."""
+        at = urlparse(self.path)
+        return at.path if at.scheme in ("", "file") else None
+
+    def size(self) -> int:
+        """Bytes of its files."""
+        fs, path = _filesystem(self.spark, self.path)
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
     def drop(self, part: str = "") -> None:
         """Remove the files, or those of one part of a partitioned stage."""
         if not part and self in _STAGES:
@@ -102,7 +107,20 @@ class Stage:
             pass
 
 
-_STAGES: list[Stage] = []
+class Stage(Folder):
+    """A DataFrame written to the shared folder: recomputing lost tasks reads the
+    files again instead of the whole lineage."""
+
+    def __init__(self, df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()):
+        super().__init__(df.sparkSession, label)
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+
+_STAGES: list[Folder] = []
 
 
 @atexit.register

@@ -109,3 +109,42 @@ def test_every_slide_has_a_group(spark, tmp_path):
     spark.createDataFrame(rows, "global_id int, text_content string").write.parquet(f"{tmp_path}/slide_info.parquet")
     got = sorted(tuple(r) for r in queries.queries()["p5_groups"](spark, str(tmp_path)).collect())
     assert got == [(1, 1, 0, 1.0), (2, 1, 0, 1.0), *[(i, i, None, None) for i in (3, 4, 5, 6)], (7, 7, 0, None)]
+
+
+@pytest.mark.parametrize("mapped", [True, False])
+def test_all_pairs_are_found_in_many_groups_and_passes(spark, monkeypatch, mapped):
+    monkeypatch.setattr(nearsets, "GROUP_SIGNATURES", 1_000)
+    monkeypatch.setattr(nearsets, "PASS_LEAST", 12_000 if mapped else 50_000)
+    monkeypatch.setattr(nearsets, "PASS_SHARE", 0)
+    if not mapped:
+        monkeypatch.setattr(nearsets.runtime.Folder, "mapped", lambda self: None)
+    made, passes = nearsets._passes, []
+    monkeypatch.setattr(nearsets, "_passes", lambda *args: passes.append(made(*args)) or passes[-1])
+    rows = _texts(6, 40)
+    reps = _reps(spark, rows)
+    got = {(r.a, r.b) for r in nearsets.similar_representatives(reps.repartition(3)).df.collect()}
+    ids = {r.rep for r in reps.collect()}
+    assert got == {p for p in _brute(rows) if set(p) <= ids} and got
+    assert max(len(of_band) for of_band in passes) > 1 and max(now.number for of_band in passes for now in of_band) > 1
+
+
+def test_what_a_pass_shuffles_does_not_grow_with_the_groups(spark, monkeypatch, tmp_path):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklm") for _ in range(6)) for _ in range(400)]
+    reps = spark.createDataFrame([(i, "".join(rnd.choice(words) for _ in range(70))) for i in range(600)], "rep long, text string").repartition(1)
+    counted = nearsets.runtime.Stage(reps.mapInPandas(nearsets._count_signatures(0.7, 16), nearsets.COUNTED), "counts")
+    table, made, order = nearsets._cost_table(counted.df, 16)
+    assert set(order.numbers(counted.df.where("kind = 'text'").toPandas())) == set(range(600))
+    costs, ordered = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(order)
+    texts = counted.df.where("kind = 'text'").select("number", "size", "task", "place", "text")
+
+    def sent(signatures, room):
+        monkeypatch.setattr(nearsets, "GROUP_SIGNATURES", signatures)
+        passes = nearsets._passes(512, 0, order.total, made[512], room, nearsets.runtime.Folder(spark, "sketches"))
+        blobs = [texts.mapInPandas(nearsets._emit_signatures(0.7, costs, 16, ordered, now, 20_000), "grp int, data binary") for now in passes]
+        return sum(now.number for now in passes), [b.selectExpr("sum(length(data))").first()[0] for b in blobs]
+
+    one, (whole,) = sent(1 << 40, 1 << 40)
+    many, parts = sent(2_000, 400_000)
+    assert one == 1 and many > 50 and len(parts) > 1
+    assert max(parts) < 440_000 and sum(parts) < 3 * whole
